@@ -92,3 +92,12 @@ def histogram(df: DataFrame, value, group: list[str], hi: float, bins: int = 30,
     return (df.where(v <= hi).select(*group, b.alias("bin"))
             .groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("bin_lo", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 12)))
+
+
+def keep_frequent(df: DataFrame, key: str, min_n: int) -> DataFrame:
+    """Keep every row whose ``key`` occurs at least ``min_n`` times.
+
+    A count aggregate plus a semi join (not a window over the key, which would
+    put all rows of a hot key in one task)."""
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_n).select(key)
+    return df.join(hot, df[key].eqNullSafe(hot[key]), "left_semi")

@@ -362,3 +362,159 @@ def m7_graph_summary(spark, sf_dir):
     from ..operators.graph import summary
     return summary(_edges(spark, sf_dir)[0])
 
+
+
+# ------------------------------------------------------------------ C2 / C3 / A9 / O5 / O6 / W1 / P13
+BENCH_GROUP = "src0"
+GROUPS = [f"src{i}" for i in range(20)]
+OTHERS = [g for g in GROUPS if g != BENCH_GROUP]
+_IN_OTHERS = ", ".join(f"'{g}'" for g in OTHERS)
+
+_FREQ_SQL = f"""
+ext AS (SELECT source AS author, nullif(regexp_extract(word, '([a-z'']+)', 1), '') AS word FROM tidyc),
+cnt AS (SELECT author, word, count(*) AS n FROM ext GROUP BY ALL),
+shares AS (SELECT author, word, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY author) AS proportion FROM cnt),
+words AS (SELECT DISTINCT word FROM cnt),
+others AS (SELECT unnest([{_IN_OTHERS}]) AS author),
+frequency AS (
+  SELECT w.word, b.proportion AS {BENCH_GROUP}, a.author, p.proportion
+  FROM words w CROSS JOIN others a
+  LEFT JOIN shares p ON p.word IS NOT DISTINCT FROM w.word AND p.author = a.author
+  LEFT JOIN shares b ON b.word IS NOT DISTINCT FROM w.word AND b.author = '{BENCH_GROUP}')
+"""
+
+
+def frequency_table(spark, sf_dir):
+    """Share of each word per group, benchmark group as a column, the other
+    groups gathered into ``(author, proportion)`` (the correlogram data)."""
+    from ..functions.text import extract_word
+    toks = tidy_tokens(spark, sf_dir, custom=True).select(
+        F.col(GROUP).alias("author"), extract_word("word").alias("word"))
+    shares = freq.share_within(freq.count_by(toks, "author", "word"), ["author"]).drop("n")
+    wide = reshape.spread(shares, "author", "proportion", GROUPS)
+    return reshape.gather(wide.select("word", *GROUPS), "author", "proportion", OTHERS)
+
+
+@register("c2_correlogram", with_base(f"""
+SELECT word, round({BENCH_GROUP}, 9) AS {BENCH_GROUP}, author, round(proportion, 9) AS proportion,
+       round(abs({BENCH_GROUP} - proportion), 9) AS deviation
+FROM frequency
+""", _FREQ_SQL))
+def c2_correlogram(spark, sf_dir):
+    """Correlogram table: per word the benchmark group's share against each
+    other group's share, plus their absolute deviation."""
+    f = frequency_table(spark, sf_dir)
+    return f.select("word", F.round(BENCH_GROUP, R).alias(BENCH_GROUP), "author",
+                    F.round("proportion", R).alias("proportion"),
+                    F.round(F.abs(F.col(BENCH_GROUP) - F.col("proportion")), R).alias("deviation"))
+
+
+_CORTEST_SQL = f"""
+ct AS (SELECT author, corr(proportion, {BENCH_GROUP}) AS r,
+              count(*) FILTER (WHERE proportion IS NOT NULL AND {BENCH_GROUP} IS NOT NULL) AS n
+       FROM frequency GROUP BY author)
+"""
+
+
+@register("c3_cor_test", with_base("""
+SELECT author, round(r, 9) AS estimate, n,
+       round(r * sqrt(CAST(n AS DOUBLE) - 2) / sqrt(1.0 - r * r), 6) AS statistic, n - 2 AS df,
+       round(tanh(atanh(r) - 1.959963984540054 / sqrt(CAST(n AS DOUBLE) - 3)), 9) AS conf_low,
+       round(tanh(atanh(r) + 1.959963984540054 / sqrt(CAST(n AS DOUBLE) - 3)), 9) AS conf_high
+FROM ct
+""", _FREQ_SQL + "," + _CORTEST_SQL))
+def c3_cor_test(spark, sf_dir):
+    """Pearson test of each group's word shares against the benchmark group:
+    r, complete pairs, t, df and the 95 % interval."""
+    t = stats.cor_test(frequency_table(spark, sf_dir), "proportion", BENCH_GROUP, ["author"], p_value=False)
+    return t.select("author", F.round("estimate", R).alias("estimate"), "n",
+                    F.round("statistic", 6).alias("statistic"), "df",
+                    F.round("conf_low", R).alias("conf_low"), F.round("conf_high", R).alias("conf_high"))
+
+
+@register("a9_cor_test_pvalue")
+def a9_cor_test_pvalue(spark, sf_dir):
+    """The same test with its two-sided p-value (t distribution; the p-value
+    runs on the one aggregated row per group)."""
+    return stats.cor_test(frequency_table(spark, sf_dir), "proportion", BENCH_GROUP, ["author"])
+
+
+# ------------------------------------------------------------------ C19 / M1 / M2 / F6 / J9
+MIN_WORD_N = 100
+ANCHORS = ["th", "er", "nd", "ha"]
+ANCHORS_ITEM2 = ["re", "es"]
+
+_PHI_SQL = f"""
+tk2 AS (SELECT doc_id, nullif(regexp_extract(word, '([a-z'']+)', 1), '') AS word FROM tok),
+fw AS (SELECT word FROM tk2 GROUP BY word HAVING count(*) >= {MIN_WORD_N}),
+inc AS (SELECT DISTINCT word AS item, doc_id AS feature FROM tk2
+        WHERE word IS NOT NULL AND word IN (SELECT word FROM fw WHERE word IS NOT NULL)),
+marg AS (SELECT item, count(*) AS n FROM inc GROUP BY item),
+nn AS (SELECT CAST(count(DISTINCT feature) AS DOUBLE) AS big_n FROM inc),
+co AS (SELECT a.item AS item1, b.item AS item2, count(*) AS n11
+       FROM inc a JOIN inc b USING (feature) WHERE a.item <> b.item GROUP BY ALL),
+phi AS (
+  SELECT m1.item AS item1, m2.item AS item2,
+         CASE WHEN m1.n * (big_n - m1.n) * m2.n * (big_n - m2.n) > 0 THEN
+           (big_n * coalesce(co.n11, 0) - CAST(m1.n AS DOUBLE) * m2.n)
+           / sqrt((m1.n * (big_n - m1.n)) * (m2.n * (big_n - m2.n))) END AS correlation
+  FROM marg m1 CROSS JOIN marg m2 CROSS JOIN nn
+  LEFT JOIN co ON co.item1 = m1.item AND co.item2 = m2.item
+  WHERE m1.item <> m2.item)
+"""
+
+
+def review_tokens(spark, sf_dir):
+    """English tokens (stop words kept), word clean-up applied, only words
+    seen at least ``MIN_WORD_N`` times."""
+    from ..functions.text import extract_word
+    toks = unnest_tokens(documents(spark, sf_dir)).select("doc_id", extract_word("word").alias("word"))
+    return freq.keep_frequent(toks, "word", MIN_WORD_N)
+
+
+@register("c19_pairwise_cor", with_base(
+    "SELECT item1, item2, round(correlation, 9) AS correlation FROM phi", _PHI_SQL))
+def c19_pairwise_cor(spark, sf_dir):
+    """Phi correlation of every ordered pair of frequent words over documents."""
+    from ..operators.pairwise import pairwise_cor
+    out = pairwise_cor(review_tokens(spark, sf_dir), "word", "doc_id")
+    return out.select("item1", "item2", F.round("correlation", R).alias("correlation"))
+
+
+_IN_ANCH = ", ".join(f"'{a}'" for a in ANCHORS)
+_IN_ANCH2 = ", ".join(f"'{a}'" for a in ANCHORS_ITEM2)
+
+
+@register("m2_cor_anchor_top", with_base(f"""
+SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
+WHERE item1 IN ({_IN_ANCH}) AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = phi.item2)
+  AND correlation IS NOT NULL
+QUALIFY rank() OVER (PARTITION BY item1 ORDER BY round(correlation, 9) DESC) <= 10
+""", _PHI_SQL))
+def m2_cor_anchor_top(spark, sf_dir):
+    """Ten words most correlated with each anchor word (stop words excluded
+    as partners)."""
+    from ..operators.pairwise import pairwise_cor_anchored
+    from .common import stop as stop_table
+    cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS)
+    cors = remove_stop_words(cors.withColumn("correlation", F.round("correlation", R)),
+                             stop_table(spark), ["item2"])
+    return freq.top_n(cors, 10, "correlation", group=["item1"])
+
+
+@register("m2_cor_anchor_item2_top", with_base(f"""
+SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
+WHERE item2 IN ({_IN_ANCH2}) AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = phi.item1)
+  AND correlation IS NOT NULL
+QUALIFY rank() OVER (PARTITION BY item2 ORDER BY round(correlation, 9) DESC) <= 10
+""", _PHI_SQL))
+def m2_cor_anchor_item2_top(spark, sf_dir):
+    """Ten words most correlated with each anchor used as ``item2`` (phi is
+    symmetric, so the anchored pairs are swapped)."""
+    from ..operators.pairwise import pairwise_cor_anchored
+    from .common import stop as stop_table
+    cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS_ITEM2)
+    cors = cors.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"),
+                       F.round("correlation", R).alias("correlation"))
+    cors = remove_stop_words(cors, stop_table(spark), ["item1"])
+    return freq.top_n(cors, 10, "correlation", group=["item2"])
