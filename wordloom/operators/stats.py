@@ -17,18 +17,27 @@ from ..functions.stats import p_value_col
 Z_975 = 1.959963984540054
 
 
-def tf_idf(counts: DataFrame, term: str, doc: str, n: str = "n") -> DataFrame:
+def tf_idf(counts: DataFrame, term: str, doc: str, n: str = "n", total: str | None = None) -> DataFrame:
     """Add ``tf = n / sum(n) per doc``, ``idf = ln(N_docs / docs_with_term)``
-    and ``tf_idf = tf * idf`` to a ``(doc, term, n)`` count table."""
-    total = counts.groupBy(doc).agg(F.sum(n).alias("_total"))
-    dfreq = counts.groupBy(term).agg(F.count(F.lit(1)).alias("_df"))
-    n_docs = counts.select(F.count_distinct(doc)).scalar()
-    out = counts.join(total, doc).join(dfreq, term)
+    and ``tf_idf = tf * idf`` to a ``(doc, term, n)`` count table.
+
+    The three uses of ``counts`` (row side, totals, document frequencies) are
+    the same subtree joined null-safely, so Spark computes it once and reuses
+    its shuffle output (``ReusedExchange``) instead of re-reading the input.
+    ``total`` (optional) also keeps the per-document total under that name.
+    """
+    tot = counts.groupBy(doc).agg(F.sum(n).alias("_total"))
+    dfreq = counts.groupBy(term).agg(F.count(n).alias("_df"))  # uses n: keeps the shared subtree
+    n_docs = tot.select(F.count("_total")).scalar()
+    out = (counts.join(tot, counts[doc].eqNullSafe(tot[doc]), "left").drop(tot[doc])
+           .join(dfreq, counts[term].eqNullSafe(dfreq[term]), "left").drop(dfreq[term]))
     tf = F.col(n).cast("double") / F.col("_total").cast("double")
     idf = F.ln(n_docs.cast("double") / F.col("_df").cast("double"))
-    return (out.withColumn("tf", tf).withColumn("idf", idf)
-            .withColumn("tf_idf", F.col("tf") * F.col("idf"))
-            .drop("_total", "_df"))
+    out = (out.withColumn("tf", tf).withColumn("idf", idf)
+           .withColumn("tf_idf", F.col("tf") * F.col("idf")))
+    if total:
+        out = out.withColumnRenamed("_total", total)
+    return out.drop("_total", "_df")
 
 
 def cor_test(df: DataFrame, x: str, y: str, group: list[str] | None = None,

@@ -56,9 +56,17 @@ def anti_join_words(df: DataFrame, words: DataFrame, on: str = "word") -> DataFr
     return df.join(sw, df[on] == sw["_sw"], "left_anti")
 
 
-def remove_stop_words(df: DataFrame, stop: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Anti join per column (``word1``, ``word2``...): a row survives when none
-    of its words is a stop word; nulls never match, so null rows survive."""
+def remove_stop_words(df: DataFrame, stop: DataFrame | list[str],
+                      cols: list[str] | None = None) -> DataFrame:
+    """Drop rows where any of ``cols`` (default ``word``) is a stop word; a
+    null word never matches, so such rows survive.
+
+    ``stop`` is a word table (anti join per column) or a literal word list,
+    which becomes a hash-set filter inside the scan stage (no join at all).
+    """
     for c in cols or ["word"]:
-        df = anti_join_words(df, stop, on=c)
+        if isinstance(stop, DataFrame):
+            df = anti_join_words(df, stop, on=c)
+        else:
+            df = df.where(F.col(c).isNull() | ~F.col(c).isin(list(stop)))
     return df

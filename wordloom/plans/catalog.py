@@ -100,8 +100,8 @@ tfidf AS (
 
 
 def _tfidf(spark, sf_dir):
-    counts = freq.with_totals(freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word"), [GROUP])
-    out = stats.tf_idf(counts, "word", GROUP)
+    counts = freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word")
+    out = stats.tf_idf(counts, "word", GROUP, total="total")
     return out.select(GROUP, "word", "n", "total", *[F.round(c, R).alias(c) for c in ("tf", "idf", "tf_idf")])
 
 

@@ -29,8 +29,9 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
     return spread(d.select(*cols), "doc_id")
 
 
-def stop(spark: SparkSession) -> DataFrame:
-    return lexicons.stop_words(spark)
+def stop(spark: SparkSession) -> list[str]:
+    """The stop-word list (a fixed list: filtered as a hash set, no join)."""
+    return list(lexicons.STOP_WORDS)
 
 
 def tidy_tokens(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
@@ -38,7 +39,7 @@ def tidy_tokens(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
     """English tokens without stop words: ``(doc_id, source, word)``."""
     toks = remove_stop_words(unnest_tokens(documents(spark, sf_dir, lang)), stop(spark))
     if custom:
-        toks = remove_stop_words(toks, lexicons.with_custom_words(spark, CUSTOM_WORDS))
+        toks = remove_stop_words(toks, CUSTOM_WORDS)
     return toks
 
 

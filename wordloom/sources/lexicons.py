@@ -36,15 +36,30 @@ STOP_WORDS = (
 EMOTIONS = ["anger", "anticipation", "fear", "negative", "positive", "sadness", "trust"]
 
 
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def word_table(spark: SparkSession, words: list[str], lexicon: str) -> DataFrame:
+    """A literal ``(word, lexicon)`` table.
+
+    Built as SQL ``VALUES`` so it is a local relation whose exact size the
+    planner knows (it is broadcast in joins); a parallelised RDD would have no
+    size and force a shuffle of the other side.
+    """
+    rows = ", ".join(f"({_sql_str(w)}, {_sql_str(lexicon)})" for w in words)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(word, lexicon)")
+
+
 def stop_words(spark: SparkSession, lexicon: str = "spark") -> DataFrame:
     """Stop-word table ``(word, lexicon)``."""
-    return spark.createDataFrame([(w, lexicon) for w in STOP_WORDS], "word string, lexicon string")
+    return word_table(spark, STOP_WORDS, lexicon)
 
 
 def with_custom_words(spark: SparkSession, words: list[str], base: DataFrame | None = None,
                       lexicon: str = "custom") -> DataFrame:
     """Custom words (lexicon ``custom``) appended to a stop-word table."""
-    custom = spark.createDataFrame([(w, lexicon) for w in words], "word string, lexicon string")
+    custom = word_table(spark, words, lexicon)
     base = base if base is not None else stop_words(spark)
     return custom.unionByName(base)
 
