@@ -518,3 +518,54 @@ def m2_cor_anchor_item2_top(spark, sf_dir):
                        F.round("correlation", R).alias("correlation"))
     cors = remove_stop_words(cors, stop_table(spark), ["item1"])
     return freq.top_n(cors, 10, "correlation", group=["item2"])
+
+
+# ------------------------------------------------------------------ X4 language identification
+def _grams_sql(src: str, key: str) -> str:
+    """SQL for ``(key, g, cnt)``: char 1..3-grams of padded distinct tokens."""
+    return f"""
+SELECT {key}, g, sum(c) AS cnt FROM (
+  SELECT {key}, c, unnest(list_transform(range(1, length(p) + 1), lambda i: substring(p, i, 1))) AS g FROM {src}
+  UNION ALL
+  SELECT {key}, c, unnest(list_transform(range(1, length(p)), lambda i: substring(p, i, 2))) AS g FROM {src}
+  UNION ALL
+  SELECT {key}, c, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3))) AS g FROM {src})
+GROUP BY ALL"""
+
+
+_LANG_SQL = f"""
+ltok AS (SELECT lang, '_' || w || '_' AS p, count(*) AS c FROM (
+  SELECT lang, unnest(regexp_extract_all(lower(text), {{P}})) AS w FROM documents WHERE lang IS NOT NULL)
+  GROUP BY ALL),
+lgram AS ({_grams_sql("ltok", "lang")}),
+lp AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, g) AS pr FROM lgram QUALIFY pr <= 400),
+"""
+
+
+def _classify_sql(src: str, key: str, name: str) -> str:
+    """CTEs ending in ``{name}(key, predicted)`` for texts in ``src(key, text)``."""
+    return f"""
+{name}_tok AS (SELECT {key}, '_' || w || '_' AS p, count(*) AS c FROM (
+  SELECT {key}, unnest(regexp_extract_all(lower(text), {{P}})) AS w FROM {src}) GROUP BY ALL),
+{name}_gram AS ({_grams_sql(name + "_tok", key)}),
+{name}_dp AS (SELECT {key}, g, row_number() OVER (PARTITION BY {key} ORDER BY cnt DESC, g) AS r
+              FROM {name}_gram QUALIFY r <= 400),
+{name}_n AS (SELECT {key}, count(*) AS n FROM {name}_dp GROUP BY ALL),
+{name}_m AS (SELECT {key}, lang, sum(abs(r - pr)) AS s, count(*) AS k FROM {name}_dp JOIN lp USING (g) GROUP BY ALL),
+{name}_best AS (SELECT {key}, lang FROM (
+  SELECT {key}, lang, s + 400 * (n - k) AS distance FROM {name}_m JOIN {name}_n USING ({key}))
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY distance, lang) = 1),
+{name} AS (SELECT {key}, b.lang AS predicted FROM {name}_n LEFT JOIN {name}_best b USING ({key}))
+"""
+
+
+@register("x4_language_id", with_base(
+    "SELECT doc_id, predicted FROM langid",
+    _LANG_SQL + _classify_sql("documents", "doc_id", "langid")))
+def x4_language_id(spark, sf_dir):
+    """Language of every document from character n-gram profiles trained on
+    the labelled documents (out-of-place distance, top 400 grams)."""
+    from ..operators import language
+    docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
+    profiles = language.train(docs.select("lang", "text"))
+    return language.classify(docs.select("doc_id", "text"), profiles, "doc_id")
