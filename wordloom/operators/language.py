@@ -66,7 +66,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top: int
     return ranked(char_grams(counted, [lang]), [lang], top, "pr")
 
 
-def classify(df: DataFrame, profiles: DataFrame, key: str, text: str = "text",
+def classify(df: DataFrame, profiles: DataFrame, key: str | list[str], text: str = "text",
              lang: str = "lang", top: int = TOP, out: str = "predicted") -> DataFrame:
     """``(key, out)``: the closest language for every text that has tokens.
 
@@ -76,11 +76,12 @@ def classify(df: DataFrame, profiles: DataFrame, key: str, text: str = "text",
     group that ranks last, so a text sharing no gram with any profile gets a
     null language.
     """
-    doc = ranked(char_grams(token_counts(df, [key], text), [key]), [key], top, "r", with_size="_n")
+    keys = [key] if isinstance(key, str) else list(key)
+    doc = ranked(char_grams(token_counts(df, keys, text), keys), keys, top, "r", with_size="_n")
     scored = (doc.join(profiles, "gram", "left")
-              .groupBy(key, lang).agg(F.sum(F.abs(F.col("r") - F.col("pr"))).alias("_s"),
+              .groupBy(*keys, lang).agg(F.sum(F.abs(F.col("r") - F.col("pr"))).alias("_s"),
                                       F.count("pr").alias("_k"), F.max("_n").alias("_n"))
               .withColumn("distance", F.col("_s") + F.lit(top) * (F.col("_n") - F.col("_k"))))
-    w = Window.partitionBy(key).orderBy(F.col(lang).isNull(), F.asc("distance"), F.asc(lang))
+    w = Window.partitionBy(*keys).orderBy(F.col(lang).isNull(), F.asc("distance"), F.asc(lang))
     best = scored.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") == 1)
-    return best.select(key, F.col(lang).alias(out))
+    return best.select(*keys, F.col(lang).alias(out))

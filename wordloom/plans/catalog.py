@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import freq, reshape, sentiment, stats
 from ..operators.tokens import remove_stop_words, unnest_ngrams, unnest_tokens
 from ..sources.tables import read_table
+from ..sources.tables import spread
 from .common import (GROUP, afinn, bing, documents, nrc, stop, tidy_tokens, with_base)
 
 R = 9  # digits kept when doubles are compared
@@ -569,3 +570,81 @@ def x4_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
     profiles = language.train(docs.select("lang", "text"))
     return language.classify(docs.select("doc_id", "text"), profiles, "doc_id")
+
+
+# ------------------------------------------------------------------ C1 / S1 / S13 / P1 / P3 / P6 / P10 / P11 / J1
+@register("c1_review_etl", with_base("""
+SELECT l.listing_id, l.page_id, l.url, r.conv_id, r.turn, r.role, r.review_text
+FROM (SELECT page_id, url,
+             TRY_CAST(string_split(regexp_replace(url, '[?].*$', ''), '/')[5] AS DOUBLE) AS listing_id
+      FROM pages) l
+JOIN rev r ON l.listing_id = r.conv_id
+JOIN revlang USING (conv_id, turn)
+WHERE revlang.predicted = 'en'
+""", _LANG_SQL + """
+rev AS (SELECT conv_id, turn, role, coalesce(role, 'NA') || '_' || coalesce(text, 'NA') AS review_text,
+               coalesce(role, 'NA') || '_' || coalesce(text, 'NA') AS text FROM conversations),
+""" + _classify_sql("rev", "conv_id, turn", "revlang")))
+def c1_review_etl(spark, sf_dir):
+    """Listing/review ETL: nested reviews flattened, review text united,
+    language detected (English kept), listing id parsed from the URL, reviews
+    joined to listings, columns pruned by position and renamed."""
+    from ..functions.text import unite, url_id
+    from ..operators import language
+    from ..sources.tables import flatten, nest
+
+    # the nested collection (one row per listing, reviews as a list of structs)
+    convs = read_table(spark, sf_dir, "conversations")
+    nested = nest(convs, "conv_id", "reviews", ["turn", "role", "text"])
+    reviews = flatten(nested, "reviews")
+    reviews = spread(reviews.select("conv_id", "turn", "role",
+                                    unite("role", "text").alias("review_text")), "conv_id")
+    docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
+    profiles = language.train(docs.select("lang", "text"))
+    lang = language.classify(reviews.withColumnRenamed("review_text", "text"), profiles, ["conv_id", "turn"])
+    english = reviews.join(lang.where(F.col("predicted") == "en").select("conv_id", "turn"),
+                           ["conv_id", "turn"])
+    listings = read_table(spark, sf_dir, "pages").select(url_id("url").alias("id"), "page_id", "url", "html")
+    listings = reshape.drop_at(listings, [4])            # html: not needed downstream
+    listings = reshape.rename_at(listings, 1, "listing_id")
+    return (listings.join(english, listings["listing_id"] == english["conv_id"])
+            .select("listing_id", "page_id", "url", "conv_id", "turn", "role", "review_text"))
+
+
+# ------------------------------------------------------------------ S5 / S6 / S7
+@register("s5_corpus_item_id", """
+SELECT idx, url FROM (SELECT row_number() OVER (ORDER BY url) AS idx, url FROM pages) WHERE idx = 1
+""")
+def s5_corpus_item_id(spark, sf_dir):
+    """Id (file name / URL) of the first item of a corpus ordered by id."""
+    from ..sources.tables import corpus_item
+    return corpus_item(read_table(spark, sf_dir, "pages"), "url", 1, ["url"])
+
+
+@register("s5_corpus_item_language", """
+SELECT idx, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) AS idx, lang FROM documents) WHERE idx = 7
+""")
+def s5_corpus_item_language(spark, sf_dir):
+    """Language of the seventh item of a corpus ordered by id."""
+    from ..sources.tables import corpus_item
+    return corpus_item(read_table(spark, sf_dir, "documents"), "doc_id", 7, ["lang"])
+
+
+@register("s6_document_lines", """
+SELECT doc_id, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line, unnest(parts) AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
+""")
+def s6_document_lines(spark, sf_dir):
+    """Every document as one row per text line (``line`` from 1)."""
+    from ..sources.tables import lines
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return lines(docs, "text", keep=["doc_id"])
+
+
+@register("s7_doc_term_counts", with_base("""
+SELECT doc_id, word AS term, count(*) AS n FROM tok GROUP BY ALL
+"""))
+def s7_doc_term_counts(spark, sf_dir):
+    """Document-term counts ``(doc_id, term, n)`` (the input of a topic model)."""
+    toks = unnest_tokens(documents(spark, sf_dir, cols=("doc_id", "text")))
+    return freq.count_by(toks.withColumnRenamed("word", "term"), "doc_id", "term")
