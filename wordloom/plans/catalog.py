@@ -648,3 +648,27 @@ def s7_doc_term_counts(spark, sf_dir):
     """Document-term counts ``(doc_id, term, n)`` (the input of a topic model)."""
     toks = unnest_tokens(documents(spark, sf_dir, cols=("doc_id", "text")))
     return freq.count_by(toks.withColumnRenamed("word", "term"), "doc_id", "term")
+
+
+# ------------------------------------------------------------------ C20 / M3 / M4 / M5 / P14 / P19 / F5
+def _lda(spark, sf_dir):
+    from ..operators import topics
+    from ..sources.lexicons import STOP_WORDS
+    arrays = topics.token_arrays(documents(spark, sf_dir, cols=("doc_id", "text")), "doc_id",
+                                 drop=list(STOP_WORDS))
+    cv, model = topics.fit_lda(arrays, k=2, seed=123, max_iter=10)
+    return topics.topic_beta(spark, cv, model)
+
+
+@register("m4_topic_beta")
+def m4_topic_beta(spark, sf_dir):
+    """Two-topic LDA (seed 123) of the documents; topic-term betas in long form."""
+    return _lda(spark, sf_dir)
+
+
+@register("c20_topic_log_ratio")
+def c20_topic_log_ratio(spark, sf_dir):
+    """Terms separating the two topics: spread betas, keep terms above the
+    limits in either topic, ``log2(topic2 / topic1)``."""
+    from ..operators import topics
+    return topics.topic_log_ratio(_lda(spark, sf_dir))
