@@ -77,3 +77,14 @@ def sign_label(value) -> Column:
     v = _c(value)
     return (F.when(v > 0, F.lit("positive"))
             .when(v <= 0, F.lit("negative")))
+
+
+def round_half_even(col, digits: int = 0) -> Column:
+    """Rounding with ties to even (0.125 -> 0.12), as R's ``round``."""
+    return F.bround(_c(col), digits)
+
+
+def log10_axis(col) -> Column:
+    """Log10 coordinate of a positive share; null otherwise."""
+    v = _c(col)
+    return F.when(v > 0, F.log10(v))

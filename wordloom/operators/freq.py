@@ -49,15 +49,19 @@ def share_within(df: DataFrame, group: list[str], value: str = "n", name: str =
     return out if keep_total else out.drop("_total")
 
 
-def top_n(df: DataFrame, k: int, weight, group: list[str] | None = None,
+def top_n(df: DataFrame, k: int, weight=None, group: list[str] | None = None,
           ties: bool = True) -> DataFrame:
     """Rows with the ``k`` largest weights (per group when ``group`` is given).
 
+    ``weight`` defaults to the last column.  Without ``group`` the rank filter
+    still runs as a per-partition limit first, so only k rows (plus ties) per
+    task reach the single final partition.
+
     ``ties=True`` keeps every row tied with the k-th (rank); ``False`` cuts at
     exactly ``k`` rows, breaking ties by the remaining columns ascending.
     Rows with a null weight are never selected.
     """
-    w = _col(weight)
+    w = _col(weight if weight is not None else df.columns[-1])
     cols = df.columns
     df = df.where(w.isNotNull())
     order = [w.desc()]

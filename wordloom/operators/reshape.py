@@ -19,6 +19,11 @@ def drop_at(df: DataFrame, positions: list[int]) -> DataFrame:
     return df.select(*[c for i, c in enumerate(df.columns) if i not in gone])
 
 
+def lift(df: DataFrame, path: str, name: str) -> DataFrame:
+    """Copy a nested field (``address.country``) to a top-level column."""
+    return df.withColumn(name, F.col(path))
+
+
 def tag(df: DataFrame, name: str, value) -> DataFrame:
     return df.withColumn(name, F.lit(value))
 

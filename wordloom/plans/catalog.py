@@ -672,3 +672,45 @@ def c20_topic_log_ratio(spark, sf_dir):
     limits in either topic, ``log2(topic2 / topic1)``."""
     from ..operators import topics
     return topics.topic_log_ratio(_lda(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ F1 + W3/W4 (one group, global top-k) / P12 / P21
+ONE_GROUP = "src1"
+
+
+@register("w4_top_words_one_group", with_base(f"""
+SELECT word, n FROM (SELECT word, count(*) AS n FROM tidy WHERE source = '{ONE_GROUP}' GROUP BY word)
+QUALIFY rank() OVER (ORDER BY n DESC) <= 15
+"""))
+def w4_top_words_one_group(spark, sf_dir):
+    """Top 15 words of one group (filter, then a global tie-keeping top-k)."""
+    toks = tidy_tokens(spark, sf_dir).where(F.col(GROUP) == ONE_GROUP)
+    return freq.top_n(freq.count_by(toks, "word"), 15)
+
+
+RECODE = [("src1", "Group 1"), ("src2", "Group 2"), ("src3", "Group 3")]
+
+
+@register("p12_recode_groups", """
+SELECT doc_id, source, replace(replace(replace(source, 'src1', 'Group 1'), 'src2', 'Group 2'), 'src3', 'Group 3')
+       AS resort FROM documents
+""")
+def p12_recode_groups(spark, sf_dir):
+    """Group names recoded by chained literal replacements (``src10`` becomes
+    ``Group 10`` too, as chained substitutions do)."""
+    from ..functions.text import recode
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", GROUP, recode(GROUP, RECODE).alias("resort"))
+
+
+@register("p21_correlogram_axes", with_base(f"""
+SELECT word, author, round(CASE WHEN proportion > 0 THEN log10(proportion) END, 9) AS x,
+       round(CASE WHEN {BENCH_GROUP} > 0 THEN log10({BENCH_GROUP}) END, 9) AS y
+FROM frequency
+""", _FREQ_SQL))
+def p21_correlogram_axes(spark, sf_dir):
+    """Log10 plot coordinates of the correlogram table."""
+    from ..functions.text import log10_axis
+    f = frequency_table(spark, sf_dir)
+    return f.select("word", "author", F.round(log10_axis("proportion"), R).alias("x"),
+                    F.round(log10_axis(BENCH_GROUP), R).alias("y"))
