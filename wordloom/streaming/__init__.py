@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads each input once (a CSV file, a folder of documents, a
+download) and has no watermark, window or state.  The row-local operators in
+``wordloom.operators.tokens`` work unchanged on a streaming DataFrame, but no
+streaming operator is part of the inventory, so none is provided.
+"""
