@@ -10,6 +10,9 @@ topic matrix is k x vocabulary; it is read back through ``describeTopics``
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame
@@ -31,10 +34,19 @@ def token_arrays(df: DataFrame, key: str, text: str = "text", drop: list[str] |
 
 def fit_lda(arrays: DataFrame, k: int = 2, seed: int = 123, max_iter: int = 10,
             optimizer: str = "online", vocab_size: int = 1 << 18, min_df: float = 1.0):
-    """Fit ``CountVectorizer`` + ``LDA``; returns ``(vectorizer_model, lda_model)``."""
-    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size, minDF=min_df).fit(arrays)
-    vecs = cv.transform(arrays).select("features")
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features").fit(vecs)
+    """Fit ``CountVectorizer`` + ``LDA``; returns ``(vectorizer_model, lda_model)``.
+
+    The token arrays are persisted for the two passes (vocabulary, vectors)
+    and released after the fit; lost partitions are recomputed from lineage.
+    """
+    arrays = arrays.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size,
+                             minDF=min_df).fit(arrays)
+        vecs = cv.transform(arrays).select("features")
+        model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features").fit(vecs)
+    finally:
+        arrays.unpersist()
     return cv, model
 
 
@@ -42,7 +54,7 @@ def topic_beta(spark, cv_model, lda_model) -> DataFrame:
     """Long topic-term table ``(topic, term, beta)``; topics counted from 1,
     betas of a topic sum to 1."""
     vocab = cv_model.vocabulary
-    terms = spark.createDataFrame([(i, t) for i, t in enumerate(vocab)], "idx int, term string")
+    terms = spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(vocab), dtype=np.int32), "term": vocab}))
     desc = lda_model.describeTopics(maxTermsPerTopic=len(vocab))
     long = desc.select((F.col("topic") + 1).alias("topic"),
                        F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z"))

@@ -190,8 +190,8 @@ scores AS (
 
 
 def _tidy_rated(spark, sf_dir):
-    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return tidy_tokens(spark, sf_dir, custom=True).join(lab, "doc_id", "left")
+    from .common import rated_documents, tidy
+    return tidy(rated_documents(spark, sf_dir), custom=True)
 
 
 def _scores(spark, sf_dir):
@@ -215,9 +215,10 @@ QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= 10
 """, _SCORES_SQL))
 def c14_negative_doc_words(spark, sf_dir):
     """Top 10 words per group in documents whose score is negative."""
+    from .common import tidy
     neg = _scores(spark, sf_dir).where(F.col("sentiment") < 0).select("doc_id")
-    toks = tidy_tokens(spark, sf_dir, custom=True).join(neg, "doc_id")
-    return freq.top_n(freq.count_by(toks, GROUP, "word"), 10, "n", group=[GROUP])
+    docs = documents(spark, sf_dir).join(neg, "doc_id", "left_semi")  # per document, before tokenising
+    return freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), 10, "n", group=[GROUP])
 
 
 # ------------------------------------------------------------------ n-grams
@@ -288,9 +289,10 @@ def c16_bigrams_by_rating(spark, sf_dir):
     """Ten most frequent stop-word-free bigrams per (group, rating); ties cut
     by the bigram text."""
     from ..functions.text import unite
-    lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("rating"))
-    grams = remove_stop_words(_bigrams(spark, sf_dir), stop(spark), ["word1", "word2"])
-    grams = grams.join(lab, "doc_id").select(GROUP, "rating", unite("word1", "word2", sep=" ").alias("word"))
+    from .common import rated_documents
+    docs = rated_documents(spark, sf_dir, how="inner").withColumnRenamed("quality", "rating")
+    grams = remove_stop_words(unnest_ngrams(docs, 2), stop(spark), ["word1", "word2"])
+    grams = grams.select(GROUP, "rating", unite("word1", "word2", sep=" ").alias("word"))
     return freq.top_n(freq.count_by(grams, GROUP, "rating", "word"), 10, "n",
                       group=[GROUP, "rating"], ties=False)
 

@@ -34,15 +34,28 @@ def stop(spark: SparkSession) -> list[str]:
     return list(lexicons.STOP_WORDS)
 
 
-def tidy_tokens(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
-                custom: bool = False) -> DataFrame:
-    """English tokens without stop words: ``(doc_id, source, word)``."""
-    toks = remove_stop_words(unnest_tokens(documents(spark, sf_dir, lang)), stop(spark))
+def rated_documents(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
+    """English documents with their rating (``labels.quality``), joined per
+    document before tokenising, so no token-level join is needed later."""
+    d = read_table(spark, sf_dir, "documents").where(F.col("lang") == LANG).select("doc_id", GROUP, "text")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return spread(d.join(lab, "doc_id", how), "doc_id")
+
+
+def tidy(docs: DataFrame, custom: bool = False) -> DataFrame:
+    """Tokens of a document table without stop words (and custom words)."""
+    toks = remove_stop_words(unnest_tokens(docs), stop(None))
     if custom:
         toks = remove_stop_words(toks, CUSTOM_WORDS)
     return toks
 
 
+def tidy_tokens(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
+                custom: bool = False) -> DataFrame:
+    """English tokens without stop words: ``(doc_id, source, word)``."""
+    return tidy(documents(spark, sf_dir, lang), custom)
+
+
 def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicons.benchmark_vocabulary(read_table(spark, sf_dir, "benchmark"))
 
