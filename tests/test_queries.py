@@ -54,3 +54,14 @@ def test_phi_symmetric_and_bounded(spark):
         assert v is None or -1 - 1e-9 <= v <= 1 + 1e-9
         assert (rows[(b, a)] is None) == (v is None)
         assert v is None or math.isclose(v, rows[(b, a)], abs_tol=1e-12)
+
+
+def test_oracle_column_types_match(spark):
+    con = duck(SF001)
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+    for name in sorted(ORACLE):
+        spark_types = dict(QUERIES[name](spark, SF001).dtypes)
+        res = con.sql(ORACLE[name])
+        duck_types = dict(zip(res.columns, [str(t) for t in res.types]))
+        for col, t in spark_types.items():
+            assert names.get(t, t) == duck_types[col], (name, col, t, duck_types[col])

@@ -75,7 +75,7 @@ def c9_group_word_counts(spark, sf_dir):
 
 # ------------------------------------------------------------------ C10
 @register("c10_frequent_words", with_base("""
-SELECT source, word, n, row_number() OVER (PARTITION BY source ORDER BY n, word) AS ord
+SELECT source, word, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n, word) AS INTEGER) AS ord
 FROM (SELECT source, word, count(*) AS n FROM tidyc GROUP BY source, word) WHERE n > 50
 """))
 def c10_frequent_words(spark, sf_dir):
@@ -88,7 +88,7 @@ def c10_frequent_words(spark, sf_dir):
 # ------------------------------------------------------------------ C7 / A11 / W8
 _TFIDF_SQL = """
 cnt AS (SELECT source, word, count(*) AS n FROM tidy GROUP BY source, word),
-tot AS (SELECT source, sum(n) AS total FROM cnt GROUP BY source),
+tot AS (SELECT source, CAST(sum(n) AS BIGINT) AS total FROM cnt GROUP BY source),
 dfq AS (SELECT word, count(*) AS dfreq FROM cnt GROUP BY word),
 tfidf AS (
   SELECT c.source, c.word, c.n, t.total,
@@ -183,7 +183,7 @@ def c12_emotion_top_words(spark, sf_dir):
 _SCORES_SQL = """
 lab AS (SELECT doc_id, quality FROM labels),
 scores AS (
-  SELECT doc_id, source, avg(quality) AS mean_rating, sum(value) AS sentiment
+  SELECT doc_id, source, avg(quality) AS mean_rating, CAST(sum(value) AS BIGINT) AS sentiment
   FROM tidyc JOIN afinn USING (word) LEFT JOIN lab USING (doc_id)
   GROUP BY doc_id, source)
 """
@@ -599,8 +599,8 @@ def c1_review_etl(spark, sf_dir):
     convs = read_table(spark, sf_dir, "conversations")
     nested = nest(convs, "conv_id", "reviews", ["turn", "role", "text"])
     reviews = flatten(nested, "reviews")
-    reviews = spread(reviews.select("conv_id", "turn", "role",
-                                    unite("role", "text").alias("review_text")), "conv_id")
+    # already hash-partitioned by the nesting aggregate: no spreading needed
+    reviews = reviews.select("conv_id", "turn", "role", unite("role", "text").alias("review_text"))
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
     profiles = language.train(docs.select("lang", "text"))
     lang = language.classify(reviews.withColumnRenamed("review_text", "text"), profiles, ["conv_id", "turn"])
@@ -615,7 +615,7 @@ def c1_review_etl(spark, sf_dir):
 
 # ------------------------------------------------------------------ S5 / S6 / S7
 @register("s5_corpus_item_id", """
-SELECT idx, url FROM (SELECT row_number() OVER (ORDER BY url) AS idx, url FROM pages) WHERE idx = 1
+SELECT idx, url FROM (SELECT CAST(row_number() OVER (ORDER BY url) AS INTEGER) AS idx, url FROM pages) WHERE idx = 1
 """)
 def s5_corpus_item_id(spark, sf_dir):
     """Id (file name / URL) of the first item of a corpus ordered by id."""
@@ -624,7 +624,7 @@ def s5_corpus_item_id(spark, sf_dir):
 
 
 @register("s5_corpus_item_language", """
-SELECT idx, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) AS idx, lang FROM documents) WHERE idx = 7
+SELECT idx, lang FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS idx, lang FROM documents) WHERE idx = 7
 """)
 def s5_corpus_item_language(spark, sf_dir):
     """Language of the seventh item of a corpus ordered by id."""

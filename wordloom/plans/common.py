@@ -37,9 +37,8 @@ def stop(spark: SparkSession) -> list[str]:
 def rated_documents(spark: SparkSession, sf_dir: str, how: str = "left") -> DataFrame:
     """English documents with their rating (``labels.quality``), joined per
     document before tokenising, so no token-level join is needed later."""
-    d = read_table(spark, sf_dir, "documents").where(F.col("lang") == LANG).select("doc_id", GROUP, "text")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return spread(d.join(lab, "doc_id", how), "doc_id")
+    return documents(spark, sf_dir).join(lab, "doc_id", how)
 
 
 def tidy(docs: DataFrame, custom: bool = False) -> DataFrame:

@@ -20,7 +20,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A big input already arrives in many splits and is left alone (no shuffle);
     an input that lands in fewer splits than the cluster has cores (a file
-    with one row group) is hash-partitioned on ``keys`` first.
+    with one row group) is hash-partitioned on ``keys`` first.  Apply it to a
+    scan (filter/project over a file source): the split count of a scan is
+    known without running anything.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism
