@@ -66,10 +66,19 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top: int
     return ranked(char_grams(counted, [lang]), [lang], top, "pr")
 
 
+def text_grams(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """``(key…, gram, cnt)`` for every text."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return char_grams(token_counts(df, keys, text), keys)
+
+
 def classify(df: DataFrame, profiles: DataFrame, key: str | list[str], text: str = "text",
              lang: str = "lang", top: int = TOP, out: str = "predicted") -> DataFrame:
     """``(key, out)``: the closest language for every text that has tokens.
 
+    ``df`` holds texts (``key``, ``text``) or their grams (``key``, ``gram``,
+    ``cnt``) from ``text_grams``.
+
     One pass: text grams are left-joined to the profiles on the gram; per
     (text, language) the matched grams give sum|r - pr| and the unmatched
     ones cost ``top`` each; grams matching no language form a null-language
@@ -77,7 +86,8 @@ def classify(df: DataFrame, profiles: DataFrame, key: str | list[str], text: str
     null language.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    doc = ranked(char_grams(token_counts(df, keys, text), keys), keys, top, "r", with_size="_n")
+    grams = df if "gram" in df.columns else text_grams(df, keys, text)
+    doc = ranked(grams.select(*keys, "gram", "cnt"), keys, top, "r", with_size="_n")
     scored = (doc.join(profiles, "gram", "left")
               .groupBy(*keys, lang).agg(F.sum(F.abs(F.col("r") - F.col("pr"))).alias("_s"),
                                       F.count("pr").alias("_k"), F.max("_n").alias("_n"))

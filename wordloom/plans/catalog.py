@@ -570,6 +570,8 @@ def x4_language_id(spark, sf_dir):
     the labelled documents (out-of-place distance, top 400 grams)."""
     from ..operators import language
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
+    # training aggregates tokens per language before cutting grams (few
+    # distinct words per language), classifying per document
     profiles = language.train(docs.select("lang", "text"))
     return language.classify(docs.select("doc_id", "text"), profiles, "doc_id")
 
