@@ -42,10 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the folder is set by the deployment and is read from the
     session.  Only when it is unset (local tests) a scratch folder is made.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="wordloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if d:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(d)
+        return d
+    d = tempfile.mkdtemp(prefix="wordloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    try:
         spark.conf.set("spark.checkpoint.dir", d)
+    except Exception:  # core confs may be read-only at runtime; the context setting suffices
+        pass
     spark.sparkContext.setCheckpointDir(d)
     return d
 
