@@ -468,11 +468,18 @@ phi AS (
 
 
 def review_tokens(spark, sf_dir):
-    """English tokens (stop words kept), word clean-up applied, only words
-    seen at least ``MIN_WORD_N`` times."""
+    """``(doc_id, word)`` presence rows of English words (stop words kept,
+    word clean-up applied) seen at least ``MIN_WORD_N`` times.
+
+    Tokens are counted once per (word, document); word totals come from those
+    counts and the rare words are dropped by a semi join on the same
+    aggregate (one tokenising pass, the shuffle is reused)."""
     from ..functions.text import extract_word
     toks = unnest_tokens(documents(spark, sf_dir)).select("doc_id", extract_word("word").alias("word"))
-    return freq.keep_frequent(toks, "word", MIN_WORD_N)
+    per_doc = toks.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    hot = (per_doc.groupBy("word").agg(F.sum("c").alias("n"))
+           .where(F.col("n") >= MIN_WORD_N).select("word"))
+    return per_doc.join(hot, per_doc["word"].eqNullSafe(hot["word"]), "left_semi").select("doc_id", "word")
 
 
 @register("c19_pairwise_cor", with_base(
