@@ -13,11 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import freq, reshape, sentiment, stats
+from ..functions.text import extract_word, log10_axis, recode, unite, url_id
+from ..operators import freq, graph, language, reshape, sentiment, stats, topics
+from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
 from ..operators.tokens import remove_stop_words, unnest_ngrams, unnest_tokens
-from ..sources.tables import read_table
-from ..sources.tables import spread
-from .common import (GROUP, afinn, bing, documents, nrc, stop, tidy_tokens, with_base)
+from ..sources.lexicons import STOP_WORDS
+from ..sources.tables import corpus_item, flatten, lines, nest, read_table, spread
+from .common import (GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
+                     tidy_tokens, with_base)
 
 R = 9  # digits kept when doubles are compared
 
@@ -26,7 +29,6 @@ ORACLE: dict[str, str] = {}
 
 
 def fill_sql(sql: str) -> str:
-    from .common import P
     return sql.replace("{P}", P)
 
 
@@ -190,7 +192,6 @@ scores AS (
 
 
 def _tidy_rated(spark, sf_dir):
-    from .common import rated_documents, tidy
     return tidy(rated_documents(spark, sf_dir), custom=True)
 
 
@@ -215,7 +216,6 @@ QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= 10
 """, _SCORES_SQL))
 def c14_negative_doc_words(spark, sf_dir):
     """Top 10 words per group in documents whose score is negative."""
-    from .common import tidy
     neg = _scores(spark, sf_dir).where(F.col("sentiment") < 0).select("doc_id")
     docs = documents(spark, sf_dir).join(neg, "doc_id", "left_semi")  # per document, before tokenising
     return freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), 10, "n", group=[GROUP])
@@ -288,8 +288,6 @@ QUALIFY row_number() OVER (PARTITION BY source, rating ORDER BY n DESC, word) <=
 def c16_bigrams_by_rating(spark, sf_dir):
     """Ten most frequent stop-word-free bigrams per (group, rating); ties cut
     by the bigram text."""
-    from ..functions.text import unite
-    from .common import rated_documents
     docs = rated_documents(spark, sf_dir, how="inner").withColumnRenamed("quality", "rating")
     grams = remove_stop_words(unnest_ngrams(docs, 2), stop(spark), ["word1", "word2"])
     grams = grams.select(GROUP, "rating", unite("word1", "word2", sep=" ").alias("word"))
@@ -325,10 +323,9 @@ edges AS (SELECT word1 AS "from", word2 AS "to", count(*) AS n FROM (
 
 
 def _edges(spark, sf_dir):
-    from ..operators.graph import graph_from_edges
     grams = remove_stop_words(_bigrams(spark, sf_dir), stop(spark), ["word1", "word2"])
     counts = freq.count_by(grams.select("word1", "word2"), "word1", "word2")
-    return graph_from_edges(counts.where(F.col("n") > EDGE_MIN))
+    return graph.graph_from_edges(counts.where(F.col("n") > EDGE_MIN))
 
 
 @register("m6_graph_edges", with_base('SELECT "from", "to", n FROM edges', _NGRAM_SQL + "," + _EDGES_SQL))
@@ -352,8 +349,7 @@ FULL JOIN (SELECT "to" AS name, count(*) AS in_degree FROM edges GROUP BY 1) i U
 """, _NGRAM_SQL + "," + _EDGES_SQL))
 def m7_graph_degrees(spark, sf_dir):
     """In/out degree of every vertex of the bigram graph."""
-    from ..operators.graph import degrees
-    return degrees(_edges(spark, sf_dir)[0])
+    return graph.degrees(_edges(spark, sf_dir)[0])
 
 
 @register("m7_graph_summary", with_base("""
@@ -362,8 +358,7 @@ SELECT (SELECT count(DISTINCT name) FROM (SELECT "from" AS name FROM edges UNION
 """, _NGRAM_SQL + "," + _EDGES_SQL))
 def m7_graph_summary(spark, sf_dir):
     """Vertex and edge count of the bigram graph."""
-    from ..operators.graph import summary
-    return summary(_edges(spark, sf_dir)[0])
+    return graph.summary(_edges(spark, sf_dir)[0])
 
 
 
@@ -390,7 +385,6 @@ frequency AS (
 def frequency_table(spark, sf_dir):
     """Share of each word per group, benchmark group as a column, the other
     groups gathered into ``(author, proportion)`` (the correlogram data)."""
-    from ..functions.text import extract_word
     toks = tidy_tokens(spark, sf_dir, custom=True).select(
         F.col(GROUP).alias("author"), extract_word("word").alias("word"))
     shares = freq.share_within(freq.count_by(toks, "author", "word"), ["author"]).drop("n")
@@ -474,7 +468,6 @@ def review_tokens(spark, sf_dir):
     Tokens are counted once per (word, document); word totals come from those
     counts and the rare words are dropped by a semi join on the same
     aggregate (one tokenising pass, the shuffle is reused)."""
-    from ..functions.text import extract_word
     toks = unnest_tokens(documents(spark, sf_dir)).select("doc_id", extract_word("word").alias("word"))
     per_doc = toks.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     hot = (per_doc.groupBy("word").agg(F.sum("c").alias("n"))
@@ -486,7 +479,6 @@ def review_tokens(spark, sf_dir):
     "SELECT item1, item2, round(correlation, 9) AS correlation FROM phi", _PHI_SQL))
 def c19_pairwise_cor(spark, sf_dir):
     """Phi correlation of every ordered pair of frequent words over documents."""
-    from ..operators.pairwise import pairwise_cor
     out = pairwise_cor(review_tokens(spark, sf_dir), "word", "doc_id")
     return out.select("item1", "item2", F.round("correlation", R).alias("correlation"))
 
@@ -504,11 +496,9 @@ QUALIFY rank() OVER (PARTITION BY item1 ORDER BY round(correlation, 9) DESC) <=
 def m2_cor_anchor_top(spark, sf_dir):
     """Ten words most correlated with each anchor word (stop words excluded
     as partners)."""
-    from ..operators.pairwise import pairwise_cor_anchored
-    from .common import stop as stop_table
     cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS)
     cors = remove_stop_words(cors.withColumn("correlation", F.round("correlation", R)),
-                             stop_table(spark), ["item2"])
+                             stop(spark), ["item2"])
     return freq.top_n(cors, 10, "correlation", group=["item1"])
 
 
@@ -521,12 +511,10 @@ QUALIFY rank() OVER (PARTITION BY item2 ORDER BY round(correlation, 9) DESC) <=
 def m2_cor_anchor_item2_top(spark, sf_dir):
     """Ten words most correlated with each anchor used as ``item2`` (phi is
     symmetric, so the anchored pairs are swapped)."""
-    from ..operators.pairwise import pairwise_cor_anchored
-    from .common import stop as stop_table
     cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS_ITEM2)
     cors = cors.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"),
                        F.round("correlation", R).alias("correlation"))
-    cors = remove_stop_words(cors, stop_table(spark), ["item1"])
+    cors = remove_stop_words(cors, stop(spark), ["item1"])
     return freq.top_n(cors, 10, "correlation", group=["item2"])
 
 
@@ -575,7 +563,6 @@ def _classify_sql(src: str, key: str, name: str) -> str:
 def x4_language_id(spark, sf_dir):
     """Language of every document from character n-gram profiles trained on
     the labelled documents (out-of-place distance, top 400 grams)."""
-    from ..operators import language
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
     # training aggregates tokens per language before cutting grams (few
     # distinct words per language), classifying per document
@@ -600,9 +587,6 @@ def c1_review_etl(spark, sf_dir):
     """Listing/review ETL: nested reviews flattened, review text united,
     language detected (English kept), listing id parsed from the URL, reviews
     joined to listings, columns pruned by position and renamed."""
-    from ..functions.text import unite, url_id
-    from ..operators import language
-    from ..sources.tables import flatten, nest
 
     # the nested collection (one row per listing, reviews as a list of structs)
     convs = read_table(spark, sf_dir, "conversations")
@@ -628,7 +612,6 @@ SELECT idx, url FROM (SELECT CAST(row_number() OVER (ORDER BY url) AS INTEGER) A
 """)
 def s5_corpus_item_id(spark, sf_dir):
     """Id (file name / URL) of the first item of a corpus ordered by id."""
-    from ..sources.tables import corpus_item
     return corpus_item(read_table(spark, sf_dir, "pages"), "url", 1, ["url"])
 
 
@@ -637,7 +620,6 @@ SELECT idx, lang FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGE
 """)
 def s5_corpus_item_language(spark, sf_dir):
     """Language of the seventh item of a corpus ordered by id."""
-    from ..sources.tables import corpus_item
     return corpus_item(read_table(spark, sf_dir, "documents"), "doc_id", 7, ["lang"])
 
 
@@ -647,7 +629,6 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 """)
 def s6_document_lines(spark, sf_dir):
     """Every document as one row per text line (``line`` from 1)."""
-    from ..sources.tables import lines
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return lines(docs, "text", keep=["doc_id"])
 
@@ -663,8 +644,6 @@ def s7_doc_term_counts(spark, sf_dir):
 
 # ------------------------------------------------------------------ C20 / M3 / M4 / M5 / P14 / P19 / F5
 def _lda(spark, sf_dir):
-    from ..operators import topics
-    from ..sources.lexicons import STOP_WORDS
     arrays = topics.token_arrays(documents(spark, sf_dir, cols=("doc_id", "text")), "doc_id",
                                  drop=list(STOP_WORDS))
     cv, model = topics.fit_lda(arrays, k=2, seed=123, max_iter=10)
@@ -681,7 +660,6 @@ def m4_topic_beta(spark, sf_dir):
 def c20_topic_log_ratio(spark, sf_dir):
     """Terms separating the two topics: spread betas, keep terms above the
     limits in either topic, ``log2(topic2 / topic1)``."""
-    from ..operators import topics
     return topics.topic_log_ratio(_lda(spark, sf_dir))
 
 
@@ -709,7 +687,6 @@ SELECT doc_id, source, replace(replace(replace(source, 'src1', 'Group 1'), 'src2
 def p12_recode_groups(spark, sf_dir):
     """Group names recoded by chained literal replacements (``src10`` becomes
     ``Group 10`` too, as chained substitutions do)."""
-    from ..functions.text import recode
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", GROUP, recode(GROUP, RECODE).alias("resort"))
 
@@ -721,7 +698,6 @@ FROM frequency
 """, _FREQ_SQL))
 def p21_correlogram_axes(spark, sf_dir):
     """Log10 plot coordinates of the correlogram table."""
-    from ..functions.text import log10_axis
     f = frequency_table(spark, sf_dir)
     return f.select("word", "author", F.round(log10_axis("proportion"), R).alias("x"),
                     F.round(log10_axis(BENCH_GROUP), R).alias("y"))
