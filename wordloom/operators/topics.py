@@ -27,8 +27,8 @@ def token_arrays(df: DataFrame, key: str, text: str = "text", drop: list[str] |
     """``(key, words)``: the token array of each text, listed words removed."""
     toks = tokens(text)
     if drop:
-        stop = F.array(*[F.lit(w) for w in drop])
-        toks = F.filter(toks, lambda w: ~F.array_contains(stop, w))
+        words = list(drop)
+        toks = F.filter(toks, lambda w: ~w.isin(words))
     return df.select(key, toks.alias("words"))
 
 

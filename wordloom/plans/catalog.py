@@ -18,7 +18,7 @@ from ..operators import freq, graph, language, reshape, sentiment, stats, topics
 from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
 from ..operators.tokens import remove_stop_words, unnest_ngrams, unnest_tokens
 from ..sources.lexicons import STOP_WORDS
-from ..sources.tables import corpus_item, flatten, lines, nest, read_table, spread
+from ..sources.tables import corpus_item, file_catalog, flatten, lines, nest, read_table, spread
 from .common import (GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
                      tidy_tokens, with_base)
 
@@ -606,7 +606,15 @@ def c1_review_etl(spark, sf_dir):
             .select("listing_id", "page_id", "url", "conv_id", "turn", "role", "review_text"))
 
 
-# ------------------------------------------------------------------ S5 / S6 / S7
+# ------------------------------------------------------------------ S4 / S5 / S6 / S7
+@register("s4_file_catalog")
+def s4_file_catalog(spark, sf_dir):
+    """Listing of the table files in the data folder: name and size (file
+    bodies are not read)."""
+    return file_catalog(spark, sf_dir, "*.parquet").select("name", "length")
+
+
+
 @register("s5_corpus_item_id", """
 SELECT idx, url FROM (SELECT CAST(row_number() OVER (ORDER BY url) AS INTEGER) AS idx, url FROM pages) WHERE idx = 1
 """)
