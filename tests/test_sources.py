@@ -43,3 +43,10 @@ def test_corpus_item_and_lines(spark):
     assert [(r.idx, r.doc_id) for r in got] == [(7, first)]
     df = spark.createDataFrame([(1, "a\nb\n")], "id int, text string")
     assert [(r.line, r.text) for r in lines(df).collect()] == [(1, "a"), (2, "b"), (3, "")]
+
+
+def test_nest_with_buckets_bounds_rows(spark):
+    df = spark.range(10).select(F.lit(1).alias("k"), F.col("id").alias("turn"))
+    nested = nest(df, "k", "items", ["turn"], bucket=F.floor(F.col("turn") / 4))
+    assert sorted(len(r.items) for r in nested.collect()) == [2, 4, 4]
+    assert sorted(r.turn for r in flatten(nested, "items").collect()) == list(range(10))

@@ -571,6 +571,8 @@ def x4_language_id(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ C1 / S1 / S13 / P1 / P3 / P6 / P10 / P11 / J1
+REVIEWS_PER_ROW = 1000
+
 @register("c1_review_etl", with_base("""
 SELECT l.listing_id, l.page_id, l.url, r.conv_id, r.turn, r.role, r.review_text
 FROM (SELECT page_id, url,
@@ -588,9 +590,11 @@ def c1_review_etl(spark, sf_dir):
     language detected (English kept), listing id parsed from the URL, reviews
     joined to listings, columns pruned by position and renamed."""
 
-    # the nested collection (one row per listing, reviews as a list of structs)
+    # the nested collection: listing rows with reviews as a list of structs,
+    # at most REVIEWS_PER_ROW reviews per row (bucket pattern)
     convs = read_table(spark, sf_dir, "conversations")
-    nested = nest(convs, "conv_id", "reviews", ["turn", "role", "text"])
+    nested = nest(convs, "conv_id", "reviews", ["turn", "role", "text"],
+                  bucket=F.floor(F.col("turn") / REVIEWS_PER_ROW))
     reviews = flatten(nested, "reviews")
     # already hash-partitioned by the nesting aggregate: no spreading needed
     reviews = reviews.select("conv_id", "turn", "role", unite("role", "text").alias("review_text"))

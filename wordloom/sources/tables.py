@@ -42,9 +42,17 @@ def literal_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame([(i + 1, t) for i, t in enumerate(lines)], "line int, text string")
 
 
-def nest(df: DataFrame, key: str, field: str, cols: list[str]) -> DataFrame:
-    """One row per ``key`` with a list-of-struct column ``field`` (a nested collection)."""
-    return df.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias(field))
+def nest(df: DataFrame, key: str, field: str, cols: list[str], bucket=None) -> DataFrame:
+    """Nested collection: rows per ``key`` gathered into a list-of-struct
+    column ``field``.
+
+    ``bucket`` (a column expression) splits a key's rows over several nested
+    rows (the bucket pattern of document stores), so one hot key never becomes
+    one unbounded row; ``flatten`` reads either layout.
+    """
+    keys = [key] if bucket is None else [key, bucket.alias("bucket")]
+    out = df.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias(field))
+    return out if bucket is None else out.drop("bucket")
 
 
 def flatten(df: DataFrame, field: str, keep: list[str] | None = None) -> DataFrame:
