@@ -103,8 +103,14 @@ def test_pairwise_cor_against_brute_force(spark):
     rows += [("everywhere", f) for f in range(60)] + [("w1", 1), ("w1", 1)]  # zero variance, duplicates
     df = spark.createDataFrame(rows, "word string, doc long")
     ref = _phi_brute(set(rows))
-    got = {(r.item1, r.item2): r.correlation
-           for r in pairwise_cor(df, "word", "doc", items_per_block=7, rows_per_block=150).collect()}
+    # tiny Arrow batches: features straddle batch boundaries inside a task
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.item1, r.item2): r.correlation
+               for r in pairwise_cor(df, "word", "doc", items_per_block=7, partitions=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert set(got) == set(ref)
     for k, v in ref.items():
         assert (v is None and got[k] is None) or math.isclose(got[k], v, abs_tol=1e-9)
