@@ -65,3 +65,21 @@ def test_oracle_column_types_match(spark):
         duck_types = dict(zip(res.columns, [str(t) for t in res.types]))
         for col, t in spark_types.items():
             assert names.get(t, t) == duck_types[col], (name, col, t, duck_types[col])
+
+
+def test_idf_non_negative_and_tf_sums(spark):
+    t = QUERIES["a11_tf_idf"](spark, SF001)
+    assert t.where(F.col("idf") < 0).count() == 0
+    sums = [r.s for r in t.groupBy("source").agg(F.sum("tf").alias("s")).collect()]
+    assert all(abs(s - 1) < 1e-6 for s in sums)
+
+
+def test_ngram_rows_match_token_counts_on_documents(spark):
+    from wordloom.functions.text import tokens
+    from wordloom.operators.tokens import unnest_ngrams
+    from wordloom.plans.common import documents
+    docs = documents(spark, SF001)
+    sizes = [r.n for r in docs.select(F.size(tokens("text")).alias("n")).collect()]
+    for n in (2, 4):
+        want = sum(max(s - n + 1, 0) if s >= n else 1 for s in sizes)
+        assert unnest_ngrams(docs, n).count() == want
