@@ -573,6 +573,7 @@ def x4_language_id(spark, sf_dir):
 # ------------------------------------------------------------------ C1 / S1 / S13 / P1 / P3 / P6 / P10 / P11 / J1
 REVIEWS_PER_ROW = 1000
 
+
 @register("c1_review_etl", with_base("""
 SELECT l.listing_id, l.page_id, l.url, r.conv_id, r.turn, r.role, r.review_text
 FROM (SELECT page_id, url,
@@ -589,7 +590,6 @@ def c1_review_etl(spark, sf_dir):
     """Listing/review ETL: nested reviews flattened, review text united,
     language detected (English kept), listing id parsed from the URL, reviews
     joined to listings, columns pruned by position and renamed."""
-
     # the nested collection: listing rows with reviews as a list of structs,
     # at most REVIEWS_PER_ROW reviews per row (bucket pattern)
     convs = read_table(spark, sf_dir, "conversations")
@@ -618,7 +618,6 @@ def s4_file_catalog(spark, sf_dir):
     return file_catalog(spark, sf_dir, "*.parquet").select("name", "length")
 
 
-
 @register("s5_corpus_item_id", """
 SELECT idx, url FROM (SELECT CAST(row_number() OVER (ORDER BY url) AS INTEGER) AS idx, url FROM pages) WHERE idx = 1
 """)
