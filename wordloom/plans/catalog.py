@@ -24,6 +24,18 @@ from .common import (GROUP, P, afinn, bing, documents, nrc, rated_documents, sto
 
 R = 9  # digits kept when doubles are compared
 
+# Fixed values from the reference's queries (sizes, limits, seed):
+TOP_WORDS = 15         # top words per group, positive/negative words per group
+TOP_EMOTION = 10       # words per emotion
+TOP_NEGATIVE_DOC = 10  # words of negative documents
+TOP_TFIDF = 10         # tf-idf words per group
+TOP_BIGRAMS = 10       # bigrams per (group, rating)
+TOP_NEGATED = 20       # words after the head word, by |contribution|
+TOP_CORRELATED = 10    # partners per anchor word
+SHARE_LIMIT = 0.0009   # axis limit of the term-share histogram
+HIST_BINS = 30         # bins of the term-share histogram
+LDA_K, LDA_SEED = 2, 123
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -42,14 +54,14 @@ def register(name: str, sql: str | None = None):
 
 
 # ------------------------------------------------------------------ C4
-@register("c4_top_words", with_base("""
+@register("c4_top_words", with_base(f"""
 SELECT source, word, n FROM (SELECT source, word, count(*) AS n FROM tidy GROUP BY source, word)
-QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= 15
+QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= {TOP_WORDS}
 """))
 def c4_top_words(spark, sf_dir):
-    """Top 15 words per group, stop words removed, ties kept."""
+    """Top words per group, stop words removed, ties kept."""
     counts = freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word")
-    return freq.top_n(counts, 15, "n", group=[GROUP])
+    return freq.top_n(counts, TOP_WORDS, "n", group=[GROUP])
 
 
 # ------------------------------------------------------------------ C21
@@ -115,40 +127,41 @@ def a11_tf_idf(spark, sf_dir):
 
 
 @register("c7_tf_idf_top", with_base(
-    "SELECT * FROM tfidf QUALIFY rank() OVER (PARTITION BY source ORDER BY tf_idf DESC) <= 10",
+    f"SELECT * FROM tfidf QUALIFY rank() OVER (PARTITION BY source ORDER BY tf_idf DESC) <= {TOP_TFIDF}",
     _TFIDF_SQL))
 def c7_tf_idf_top(spark, sf_dir):
     """Ten highest tf-idf words per group (ties kept)."""
-    return freq.top_n(_tfidf(spark, sf_dir), 10, "tf_idf", group=[GROUP])
+    return freq.top_n(_tfidf(spark, sf_dir), TOP_TFIDF, "tf_idf", group=[GROUP])
 
 
 # ------------------------------------------------------------------ C8 / A12
-@register("c8_term_share_hist", with_base("""
-SELECT source, CAST(least(floor((share - 0.0) * 30 / 0.0009), 29) AS INTEGER) AS bin, count(*) AS n
+@register("c8_term_share_hist", with_base(f"""
+SELECT source, CAST(least(floor((share - 0.0) * {HIST_BINS} / {SHARE_LIMIT}), {HIST_BINS - 1}) AS INTEGER) AS bin,
+       count(*) AS n
 FROM (SELECT c.source, CAST(c.n AS DOUBLE) / t.total AS share
       FROM (SELECT source, word, count(*) AS n FROM tidy GROUP BY source, word) c
       JOIN (SELECT source, count(*) AS total FROM tidy GROUP BY source) t USING (source))
-WHERE share <= 0.0009
+WHERE share <= {SHARE_LIMIT}
 GROUP BY ALL
 """))
 def c8_term_share_hist(spark, sf_dir):
-    """Histogram (30 bins, axis limit 0.0009) of term shares ``n/total`` per group."""
+    """Histogram (equal bins up to an axis limit) of term shares ``n/total`` per group."""
     counts = freq.with_totals(freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word"), [GROUP])
     share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double"))
-    return freq.histogram(counts, share, [GROUP], hi=0.0009, bins=30).drop("bin_lo")
+    return freq.histogram(counts, share, [GROUP], hi=SHARE_LIMIT, bins=HIST_BINS).drop("bin_lo")
 
 
 # ------------------------------------------------------------------ C5 (bing)
-@register("c5_sentiment_words", with_base("""
+@register("c5_sentiment_words", with_base(f"""
 SELECT source, word, sentiment, n FROM (
   SELECT source, word, sentiment, count(*) AS n FROM tidy JOIN bing USING (word)
   GROUP BY source, word, sentiment)
-QUALIFY rank() OVER (PARTITION BY source, sentiment ORDER BY n DESC) <= 15
+QUALIFY rank() OVER (PARTITION BY source, sentiment ORDER BY n DESC) <= {TOP_WORDS}
 """))
 def c5_sentiment_words(spark, sf_dir):
-    """Top 15 positive and negative words per group (bing-shaped lexicon)."""
+    """Top positive and negative words per group (bing-shaped lexicon)."""
     counts = sentiment.label_counts(tidy_tokens(spark, sf_dir), bing(spark, sf_dir), [GROUP])
-    return freq.top_n(counts, 15, "n", group=[GROUP, "sentiment"])
+    return freq.top_n(counts, TOP_WORDS, "n", group=[GROUP, "sentiment"])
 
 
 # ------------------------------------------------------------------ C11 / A7
@@ -172,12 +185,12 @@ SELECT source, word, sentiment, n FROM (
   SELECT source, word, sentiment, count(*) AS n FROM tidyc JOIN nrc USING (word)
   GROUP BY source, word, sentiment)
 WHERE sentiment IN ({", ".join("'" + e + "'" for e in EMO_KEEP)})
-QUALIFY rank() OVER (PARTITION BY source, sentiment ORDER BY n DESC) <= 10
+QUALIFY rank() OVER (PARTITION BY source, sentiment ORDER BY n DESC) <= {TOP_EMOTION}
 """))
 def c12_emotion_top_words(spark, sf_dir):
     """Ten most frequent words per emotion and group."""
     counts = sentiment.label_counts(tidy_tokens(spark, sf_dir, custom=True), nrc(spark, sf_dir), [GROUP])
-    return freq.top_n(counts.where(F.col("sentiment").isin(EMO_KEEP)), 10, "n",
+    return freq.top_n(counts.where(F.col("sentiment").isin(EMO_KEEP)), TOP_EMOTION, "n",
                       group=[GROUP, "sentiment"])
 
 
@@ -208,17 +221,18 @@ def c13_doc_sentiment(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ C14 / J5
-@register("c14_negative_doc_words", with_base("""
+@register("c14_negative_doc_words", with_base(f"""
 SELECT source, word, n FROM (
   SELECT t.source, t.word, count(*) AS n
   FROM tidyc t JOIN scores s USING (doc_id) WHERE s.sentiment < 0 GROUP BY t.source, t.word)
-QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= 10
+QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= {TOP_NEGATIVE_DOC}
 """, _SCORES_SQL))
 def c14_negative_doc_words(spark, sf_dir):
     """Top 10 words per group in documents whose score is negative."""
     neg = _scores(spark, sf_dir).where(F.col("sentiment") < 0).select("doc_id")
     docs = documents(spark, sf_dir).join(neg, "doc_id", "left_semi")  # per document, before tokenising
-    return freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), 10, "n", group=[GROUP])
+    return freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), TOP_NEGATIVE_DOC, "n",
+                      group=[GROUP])
 
 
 # ------------------------------------------------------------------ n-grams
@@ -278,12 +292,12 @@ def c17_fourgram_counts(spark, sf_dir):
     return freq.count_by(grams, GROUP, "word1", "word2", "word3", "word4")
 
 
-@register("c16_bigrams_by_rating", with_base("""
+@register("c16_bigrams_by_rating", with_base(f"""
 SELECT source, rating, word, n FROM (
   SELECT source, l.quality AS rating,
          coalesce(word1, 'NA') || ' ' || coalesce(word2, 'NA') AS word, count(*) AS n
   FROM bif JOIN labels l USING (doc_id) GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY source, rating ORDER BY n DESC, word) <= 10
+QUALIFY row_number() OVER (PARTITION BY source, rating ORDER BY n DESC, word) <= {TOP_BIGRAMS}
 """, _NGRAM_SQL))
 def c16_bigrams_by_rating(spark, sf_dir):
     """Ten most frequent stop-word-free bigrams per (group, rating); ties cut
@@ -291,25 +305,26 @@ def c16_bigrams_by_rating(spark, sf_dir):
     docs = rated_documents(spark, sf_dir, how="inner").withColumnRenamed("quality", "rating")
     grams = remove_stop_words(unnest_ngrams(docs, 2), stop(spark), ["word1", "word2"])
     grams = grams.select(GROUP, "rating", unite("word1", "word2", sep=" ").alias("word"))
-    return freq.top_n(freq.count_by(grams, GROUP, "rating", "word"), 10, "n",
+    return freq.top_n(freq.count_by(grams, GROUP, "rating", "word"), TOP_BIGRAMS, "n",
                       group=[GROUP, "rating"], ties=False)
 
 
 NEG_HEADS = ["the"]
 
 
-@register("c6_negated_bigrams", with_base("""
+@register("c6_negated_bigrams", with_base(f"""
 SELECT word1, word2, value, n, contribution, sign FROM (
   SELECT word1, word2, value, count(*) AS n, count(*) * value AS contribution,
          CASE WHEN value > 0 THEN 'positive' WHEN value <= 0 THEN 'negative' END AS sign
   FROM bi JOIN (SELECT word AS word2, value FROM afinn) a USING (word2)
   WHERE word1 IN ('the') GROUP BY word1, word2, value)
-QUALIFY rank() OVER (PARTITION BY word1 ORDER BY abs(contribution) DESC) <= 20
+QUALIFY rank() OVER (PARTITION BY word1 ORDER BY abs(contribution) DESC) <= {TOP_NEGATED}
 """, _NGRAM_SQL))
 def c6_negated_bigrams(spark, sf_dir):
     """Words after a head word, with lexicon value, count, contribution and
     sign; the 20 strongest |contribution| per head word."""
-    return sentiment.negated_contributions(_bigrams(spark, sf_dir), NEG_HEADS, afinn(spark, sf_dir), k=20)
+    return sentiment.negated_contributions(_bigrams(spark, sf_dir), NEG_HEADS, afinn(spark, sf_dir),
+                                           k=TOP_NEGATED)
 
 
 # ------------------------------------------------------------------ C18 / M6 / M7
@@ -491,7 +506,7 @@ _IN_ANCH2 = ", ".join(f"'{a}'" for a in ANCHORS_ITEM2)
 SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
 WHERE item1 IN ({_IN_ANCH}) AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = phi.item2)
   AND correlation IS NOT NULL
-QUALIFY rank() OVER (PARTITION BY item1 ORDER BY round(correlation, 9) DESC) <= 10
+QUALIFY rank() OVER (PARTITION BY item1 ORDER BY round(correlation, 9) DESC) <= {TOP_CORRELATED}
 """, _PHI_SQL))
 def m2_cor_anchor_top(spark, sf_dir):
     """Ten words most correlated with each anchor word (stop words excluded
@@ -499,14 +514,14 @@ def m2_cor_anchor_top(spark, sf_dir):
     cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS)
     cors = remove_stop_words(cors.withColumn("correlation", F.round("correlation", R)),
                              stop(spark), ["item2"])
-    return freq.top_n(cors, 10, "correlation", group=["item1"])
+    return freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item1"])
 
 
 @register("m2_cor_anchor_item2_top", with_base(f"""
 SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
 WHERE item2 IN ({_IN_ANCH2}) AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = phi.item1)
   AND correlation IS NOT NULL
-QUALIFY rank() OVER (PARTITION BY item2 ORDER BY round(correlation, 9) DESC) <= 10
+QUALIFY rank() OVER (PARTITION BY item2 ORDER BY round(correlation, 9) DESC) <= {TOP_CORRELATED}
 """, _PHI_SQL))
 def m2_cor_anchor_item2_top(spark, sf_dir):
     """Ten words most correlated with each anchor used as ``item2`` (phi is
@@ -515,7 +530,7 @@ def m2_cor_anchor_item2_top(spark, sf_dir):
     cors = cors.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"),
                        F.round("correlation", R).alias("correlation"))
     cors = remove_stop_words(cors, stop(spark), ["item1"])
-    return freq.top_n(cors, 10, "correlation", group=["item2"])
+    return freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item2"])
 
 
 # ------------------------------------------------------------------ X4 language identification
@@ -657,7 +672,7 @@ def s7_doc_term_counts(spark, sf_dir):
 def _lda(spark, sf_dir):
     arrays = topics.token_arrays(documents(spark, sf_dir, cols=("doc_id", "text")), "doc_id",
                                  drop=list(STOP_WORDS))
-    cv, model = topics.fit_lda(arrays, k=2, seed=123, max_iter=10)
+    cv, model = topics.fit_lda(arrays, k=LDA_K, seed=LDA_SEED, max_iter=10)
     return topics.topic_beta(spark, cv, model)
 
 
@@ -680,12 +695,12 @@ ONE_GROUP = "src1"
 
 @register("w4_top_words_one_group", with_base(f"""
 SELECT word, n FROM (SELECT word, count(*) AS n FROM tidy WHERE source = '{ONE_GROUP}' GROUP BY word)
-QUALIFY rank() OVER (ORDER BY n DESC) <= 15
+QUALIFY rank() OVER (ORDER BY n DESC) <= {TOP_WORDS}
 """))
 def w4_top_words_one_group(spark, sf_dir):
-    """Top 15 words of one group (filter, then a global tie-keeping top-k)."""
+    """Top words of one group (filter, then a global tie-keeping top-k)."""
     toks = tidy_tokens(spark, sf_dir).where(F.col(GROUP) == ONE_GROUP)
-    return freq.top_n(freq.count_by(toks, "word"), 15)
+    return freq.top_n(freq.count_by(toks, "word"), TOP_WORDS)
 
 
 RECODE = [("src1", "Group 1"), ("src2", "Group 2"), ("src3", "Group 3")]
