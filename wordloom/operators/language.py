@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+# Profile length and the longest character n-gram.
 TOP = 400
 MAX_N = 3
 

@@ -62,7 +62,12 @@ def topic_beta(spark, cv_model, lda_model) -> DataFrame:
             .join(terms, "idx").select("topic", "term", "beta"))
 
 
-def topic_log_ratio(beta: DataFrame, lo1: float = 1e-7, lo2: float = 1e-6) -> DataFrame:
+# Beta limits of the topic comparison (they differ per topic).
+TOPIC1_LIMIT = 1e-7
+TOPIC2_LIMIT = 1e-6
+
+
+def topic_log_ratio(beta: DataFrame, lo1: float = TOPIC1_LIMIT, lo2: float = TOPIC2_LIMIT) -> DataFrame:
     """Terms that separate topic 1 from topic 2: ``log_ratio = log2(topic2/topic1)``
     for terms with ``topic1 > lo1`` or ``topic2 > lo2``."""
     labelled = beta.select(label("topic", "topic").alias("topic"), "term", "beta")
