@@ -313,18 +313,21 @@ NEG_HEADS = ["the"]
 
 
 @register("c6_negated_bigrams", with_base(f"""
-SELECT word1, word2, value, n, contribution, sign FROM (
-  SELECT word1, word2, value, count(*) AS n, count(*) * value AS contribution,
-         CASE WHEN value > 0 THEN 'positive' WHEN value <= 0 THEN 'negative' END AS sign
-  FROM bi JOIN (SELECT word AS word2, value FROM afinn) a USING (word2)
-  WHERE word1 IN ('the') GROUP BY word1, word2, value)
-QUALIFY rank() OVER (PARTITION BY word1 ORDER BY abs(contribution) DESC) <= {TOP_NEGATED}
+SELECT *, CAST(row_number() OVER (PARTITION BY word1 ORDER BY contribution, word2) AS INTEGER) AS ord FROM (
+  SELECT word1, word2, value, n, contribution, sign FROM (
+    SELECT word1, word2, value, count(*) AS n, count(*) * value AS contribution,
+           CASE WHEN value > 0 THEN 'positive' WHEN value <= 0 THEN 'negative' END AS sign
+    FROM bi JOIN (SELECT word AS word2, value FROM afinn) a USING (word2)
+    WHERE word1 IN ('the') GROUP BY word1, word2, value)
+  QUALIFY rank() OVER (PARTITION BY word1 ORDER BY abs(contribution) DESC) <= {TOP_NEGATED})
 """, _NGRAM_SQL))
 def c6_negated_bigrams(spark, sf_dir):
     """Words after a head word, with lexicon value, count, contribution and
-    sign; the 20 strongest |contribution| per head word."""
-    return sentiment.negated_contributions(_bigrams(spark, sf_dir), NEG_HEADS, afinn(spark, sf_dir),
-                                           k=TOP_NEGATED)
+    sign; the strongest |contribution| per head word, with their display
+    order by contribution within the head word (``ord``)."""
+    top = sentiment.negated_contributions(_bigrams(spark, sf_dir), NEG_HEADS, afinn(spark, sf_dir),
+                                          k=TOP_NEGATED)
+    return freq.order_column(top, "contribution", "word2", group=["word1"])
 
 
 # ------------------------------------------------------------------ C18 / M6 / M7
