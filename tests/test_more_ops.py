@@ -60,3 +60,5 @@ def test_label_helpers(spark):
     r = df.select(round_half_even("x", 2).alias("b"), F.round("x", 2).alias("h"),
                   percent_label("s").alias("p")).collect()[0]
     assert (r.b, r.h, r.p) == (0.12, 0.13, "1.23%")
+    none = spark.createDataFrame([(None,)], "s double").select(percent_label("s").alias("p")).collect()[0]
+    assert none.p is None

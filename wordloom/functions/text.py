@@ -68,8 +68,9 @@ def label(prefix: str, col) -> Column:
 
 
 def percent_label(col, digits: int = 2) -> Column:
-    """Axis label of a share: ``0.0123`` -> ``1.23%``."""
-    return F.format_string(f"%.{digits}f%%", _c(col) * 100)
+    """Axis label of a share: ``0.0123`` -> ``1.23%``; null stays null."""
+    v = _c(col)
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits}f%%", v * 100))
 
 
 def sign_label(value) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_word, log10_axis, recode, unite, url_id
+from ..functions.text import extract_word, log10_axis, percent_label, recode, unite, url_id
 from ..operators import freq, graph, language, reshape, sentiment, stats, topics
 from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
 from ..operators.tokens import remove_stop_words, unnest_ngrams, unnest_tokens
@@ -722,11 +722,15 @@ def p12_recode_groups(spark, sf_dir):
 
 @register("p21_correlogram_axes", with_base(f"""
 SELECT word, author, round(CASE WHEN proportion > 0 THEN log10(proportion) END, 9) AS x,
-       round(CASE WHEN {BENCH_GROUP} > 0 THEN log10({BENCH_GROUP}) END, 9) AS y
+       round(CASE WHEN {BENCH_GROUP} > 0 THEN log10({BENCH_GROUP}) END, 9) AS y,
+       CASE WHEN proportion IS NOT NULL THEN printf('%.2f%%', proportion * 100) END AS x_label,
+       CASE WHEN {BENCH_GROUP} IS NOT NULL THEN printf('%.2f%%', {BENCH_GROUP} * 100) END AS y_label
 FROM frequency
 """, _FREQ_SQL))
 def p21_correlogram_axes(spark, sf_dir):
-    """Log10 plot coordinates of the correlogram table."""
+    """Log10 plot coordinates of the correlogram table and their percent labels."""
     f = frequency_table(spark, sf_dir)
     return f.select("word", "author", F.round(log10_axis("proportion"), R).alias("x"),
-                    F.round(log10_axis(BENCH_GROUP), R).alias("y"))
+                    F.round(log10_axis(BENCH_GROUP), R).alias("y"),
+                    percent_label("proportion").alias("x_label"),
+                    percent_label(BENCH_GROUP).alias("y_label"))
