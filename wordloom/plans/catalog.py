@@ -293,20 +293,22 @@ def c17_fourgram_counts(spark, sf_dir):
 
 
 @register("c16_bigrams_by_rating", with_base(f"""
-SELECT source, rating, word, n FROM (
-  SELECT source, l.quality AS rating,
-         coalesce(word1, 'NA') || ' ' || coalesce(word2, 'NA') AS word, count(*) AS n
-  FROM bif JOIN labels l USING (doc_id) GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY source, rating ORDER BY n DESC, word) <= {TOP_BIGRAMS}
+SELECT *, CAST(row_number() OVER (PARTITION BY source, rating ORDER BY n, word) AS INTEGER) AS ord FROM (
+  SELECT source, rating, word, n FROM (
+    SELECT source, l.quality AS rating,
+           coalesce(word1, 'NA') || ' ' || coalesce(word2, 'NA') AS word, count(*) AS n
+    FROM bif JOIN labels l USING (doc_id) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY source, rating ORDER BY n DESC, word) <= {TOP_BIGRAMS})
 """, _NGRAM_SQL))
 def c16_bigrams_by_rating(spark, sf_dir):
-    """Ten most frequent stop-word-free bigrams per (group, rating); ties cut
-    by the bigram text."""
+    """Most frequent stop-word-free bigrams per (group, rating), ties cut by
+    the bigram text, with their display order inside the (group, rating) facet."""
     docs = rated_documents(spark, sf_dir, how="inner").withColumnRenamed("quality", "rating")
     grams = remove_stop_words(unnest_ngrams(docs, 2), stop(spark), ["word1", "word2"])
     grams = grams.select(GROUP, "rating", unite("word1", "word2", sep=" ").alias("word"))
-    return freq.top_n(freq.count_by(grams, GROUP, "rating", "word"), TOP_BIGRAMS, "n",
-                      group=[GROUP, "rating"], ties=False)
+    top = freq.top_n(freq.count_by(grams, GROUP, "rating", "word"), TOP_BIGRAMS, "n",
+                     group=[GROUP, "rating"], ties=False)
+    return freq.order_column(top, "n", "word", group=[GROUP, "rating"])
 
 
 NEG_HEADS = ["the"]
