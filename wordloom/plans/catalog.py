@@ -127,11 +127,13 @@ def a11_tf_idf(spark, sf_dir):
 
 
 @register("c7_tf_idf_top", with_base(
-    f"SELECT * FROM tfidf QUALIFY rank() OVER (PARTITION BY source ORDER BY tf_idf DESC) <= {TOP_TFIDF}",
+    "SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY tf_idf, word) AS INTEGER) AS ord FROM ("
+    f"SELECT * FROM tfidf QUALIFY rank() OVER (PARTITION BY source ORDER BY tf_idf DESC) <= {TOP_TFIDF})",
     _TFIDF_SQL))
 def c7_tf_idf_top(spark, sf_dir):
-    """Ten highest tf-idf words per group (ties kept)."""
-    return freq.top_n(_tfidf(spark, sf_dir), TOP_TFIDF, "tf_idf", group=[GROUP])
+    """Highest tf-idf words per group (ties kept), with their display order."""
+    top = freq.top_n(_tfidf(spark, sf_dir), TOP_TFIDF, "tf_idf", group=[GROUP])
+    return freq.order_column(top, "tf_idf", "word", group=[GROUP])
 
 
 # ------------------------------------------------------------------ C8 / A12
@@ -222,17 +224,19 @@ def c13_doc_sentiment(spark, sf_dir):
 
 # ------------------------------------------------------------------ C14 / J5
 @register("c14_negative_doc_words", with_base(f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY n, word) AS INTEGER) AS ord FROM (
 SELECT source, word, n FROM (
   SELECT t.source, t.word, count(*) AS n
   FROM tidyc t JOIN scores s USING (doc_id) WHERE s.sentiment < 0 GROUP BY t.source, t.word)
-QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= {TOP_NEGATIVE_DOC}
+QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= {TOP_NEGATIVE_DOC})
 """, _SCORES_SQL))
 def c14_negative_doc_words(spark, sf_dir):
     """Top 10 words per group in documents whose score is negative."""
     neg = _scores(spark, sf_dir).where(F.col("sentiment") < 0).select("doc_id")
     docs = documents(spark, sf_dir).join(neg, "doc_id", "left_semi")  # per document, before tokenising
-    return freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), TOP_NEGATIVE_DOC, "n",
-                      group=[GROUP])
+    top = freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), TOP_NEGATIVE_DOC, "n",
+                     group=[GROUP])
+    return freq.order_column(top, "n", "word", group=[GROUP])
 
 
 # ------------------------------------------------------------------ n-grams
@@ -508,10 +512,11 @@ _IN_ANCH2 = ", ".join(f"'{a}'" for a in ANCHORS_ITEM2)
 
 
 @register("m2_cor_anchor_top", with_base(f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY item1 ORDER BY correlation, item2) AS INTEGER) AS ord FROM (
 SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
 WHERE item1 IN ({_IN_ANCH}) AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = phi.item2)
   AND correlation IS NOT NULL
-QUALIFY rank() OVER (PARTITION BY item1 ORDER BY round(correlation, 9) DESC) <= {TOP_CORRELATED}
+QUALIFY rank() OVER (PARTITION BY item1 ORDER BY round(correlation, 9) DESC) <= {TOP_CORRELATED})
 """, _PHI_SQL))
 def m2_cor_anchor_top(spark, sf_dir):
     """Ten words most correlated with each anchor word (stop words excluded
@@ -519,14 +524,16 @@ def m2_cor_anchor_top(spark, sf_dir):
     cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS)
     cors = remove_stop_words(cors.withColumn("correlation", F.round("correlation", R)),
                              stop(spark), ["item2"])
-    return freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item1"])
+    top = freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item1"])
+    return freq.order_column(top, "correlation", "item2", group=["item1"])
 
 
 @register("m2_cor_anchor_item2_top", with_base(f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY item2 ORDER BY correlation, item1) AS INTEGER) AS ord FROM (
 SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
 WHERE item2 IN ({_IN_ANCH2}) AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = phi.item1)
   AND correlation IS NOT NULL
-QUALIFY rank() OVER (PARTITION BY item2 ORDER BY round(correlation, 9) DESC) <= {TOP_CORRELATED}
+QUALIFY rank() OVER (PARTITION BY item2 ORDER BY round(correlation, 9) DESC) <= {TOP_CORRELATED})
 """, _PHI_SQL))
 def m2_cor_anchor_item2_top(spark, sf_dir):
     """Ten words most correlated with each anchor used as ``item2`` (phi is
@@ -535,7 +542,8 @@ def m2_cor_anchor_item2_top(spark, sf_dir):
     cors = cors.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"),
                        F.round("correlation", R).alias("correlation"))
     cors = remove_stop_words(cors, stop(spark), ["item1"])
-    return freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item2"])
+    top = freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item2"])
+    return freq.order_column(top, "correlation", "item1", group=["item2"])
 
 
 # ------------------------------------------------------------------ X4 language identification
