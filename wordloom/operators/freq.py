@@ -75,15 +75,17 @@ def top_n(df: DataFrame, k: int, weight=None, group: list[str] | None = None,
 
 
 def order_column(df: DataFrame, by, label: str, group: list[str] | None = None,
-                 name: str = "ord", descending: bool = False) -> DataFrame:
+                 name: str = "ord", descending: bool = False, dense: bool = False) -> DataFrame:
     """Display order of a category by a statistic: 1, 2, ... within ``group``.
 
-    Meant for already-reduced results (after a top-k), where a group is small.
+    ``dense`` gives rows of the same category the same position (a category
+    that appears on several rows, e.g. a word with two emotions).  Meant for
+    already-reduced results (after a top-k), where a group is small.
     """
     b = _col(by)
     order = [b.desc() if descending else b.asc(), F.col(label).asc()]
     spec = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-    return df.withColumn(name, F.row_number().over(spec))
+    return df.withColumn(name, (F.dense_rank() if dense else F.row_number()).over(spec))
 
 
 def histogram(df: DataFrame, value, group: list[str], hi: float, bins: int = 30,

@@ -183,17 +183,20 @@ EMO_KEEP = ["positive", "negative", "trust", "fear", "anticipation", "sadness"]
 
 
 @register("c12_emotion_top_words", with_base(f"""
-SELECT source, word, sentiment, n FROM (
-  SELECT source, word, sentiment, count(*) AS n FROM tidyc JOIN nrc USING (word)
-  GROUP BY source, word, sentiment)
-WHERE sentiment IN ({", ".join("'" + e + "'" for e in EMO_KEEP)})
-QUALIFY rank() OVER (PARTITION BY source, sentiment ORDER BY n DESC) <= {TOP_EMOTION}
+SELECT *, CAST(dense_rank() OVER (PARTITION BY source ORDER BY n, word) AS INTEGER) AS ord FROM (
+  SELECT source, word, sentiment, n FROM (
+    SELECT source, word, sentiment, count(*) AS n FROM tidyc JOIN nrc USING (word)
+    GROUP BY source, word, sentiment)
+  WHERE sentiment IN ({", ".join("'" + e + "'" for e in EMO_KEEP)})
+  QUALIFY rank() OVER (PARTITION BY source, sentiment ORDER BY n DESC) <= {TOP_EMOTION})
 """))
 def c12_emotion_top_words(spark, sf_dir):
-    """Ten most frequent words per emotion and group."""
+    """Most frequent words per emotion and group, with the words' display order."""
     counts = sentiment.label_counts(tidy_tokens(spark, sf_dir, custom=True), nrc(spark, sf_dir), [GROUP])
-    return freq.top_n(counts.where(F.col("sentiment").isin(EMO_KEEP)), TOP_EMOTION, "n",
-                      group=[GROUP, "sentiment"])
+    top = freq.top_n(counts.where(F.col("sentiment").isin(EMO_KEEP)), TOP_EMOTION, "n",
+                     group=[GROUP, "sentiment"])
+    # one position per word across its emotions (a word's count is the same in each)
+    return freq.order_column(top, "n", "word", group=[GROUP], dense=True)
 
 
 # ------------------------------------------------------------------ C13 / A6 / J4
