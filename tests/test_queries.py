@@ -83,3 +83,14 @@ def test_ngram_rows_match_token_counts_on_documents(spark):
     for n in (2, 4):
         want = sum(max(s - n + 1, 0) if s >= n else 1 for s in sizes)
         assert unnest_ngrams(docs, n).count() == want
+
+
+def test_p_values_consistent_with_statistic(spark):
+    from wordloom.functions.stats import t_two_sided_p
+    rows = QUERIES["a9_cor_test_pvalue"](spark, SF001).collect()
+    c3 = {r.author: r for r in QUERIES["c3_cor_test"](spark, SF001).collect()}
+    assert len(rows) == len(c3) > 0
+    for r in rows:
+        assert 0.0 <= r.p_value <= 1.0
+        assert math.isclose(r.p_value, t_two_sided_p(r.statistic, float(r.df)), rel_tol=1e-12, abs_tol=1e-300)
+        assert r.n == c3[r.author].n and math.isclose(round(r.estimate, 9), c3[r.author].estimate)
