@@ -94,3 +94,13 @@ def test_p_values_consistent_with_statistic(spark):
         assert 0.0 <= r.p_value <= 1.0
         assert math.isclose(r.p_value, t_two_sided_p(r.statistic, float(r.df)), rel_tol=1e-12, abs_tol=1e-300)
         assert r.n == c3[r.author].n and math.isclose(round(r.estimate, 9), c3[r.author].estimate)
+
+
+def test_topic_log_ratio_rows(spark):
+    from wordloom.operators.topics import TOPIC1_LIMIT, TOPIC2_LIMIT
+    rows = QUERIES["c20_topic_log_ratio"](spark, SF001).collect()
+    assert rows
+    for r in rows:
+        assert r.topic1 > TOPIC1_LIMIT or r.topic2 > TOPIC2_LIMIT
+        if r.topic1 and r.topic2:
+            assert math.isclose(r.log_ratio, math.log2(r.topic2 / r.topic1), rel_tol=1e-9, abs_tol=1e-12)
