@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (chat_format, packing, pii, quality_rules, sentencepiece_codec, token_counts,
-               topk_search, url_filter)
+from . import (chat_format, jaccard_join, line_dedup, packing, pii, quality_rules,
+               sentencepiece_codec, token_counts, topk_search, url_filter)
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the lines of every document that repeat an earlier line."""
+    return line_dedup.judged_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text and its longest prefix within 4096 tokens."""
     return token_counts.count_documents(
@@ -60,18 +65,26 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of copies, links and group of every document."""
+    return jaccard_join.join_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_url_filters": op5_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {
+    "op8_chat_formatting": chat_format.ORACLE,
     "op1_topk_search": topk_search.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
