@@ -13,10 +13,11 @@ aggregate; between different sets the join works on prefixes:
   words behind it (positional filter), and 64-bit outlines of the sets differ
   in few bits;
 * a semi join keeps the prefix rows that have any partner left; only their
-  lines' words are read again, and pairs are verified on the words.
+  lines are read again, a wider outline repeats the semi join, and pairs are
+  verified on the words.
 
 A group of many near copies is not paired off: each line is first verified
-against the earliest line of its bucket, twice, and only lines that match
+against the earliest line of its buckets, twice, and only lines that match
 neither are compared with all earlier partners.
 
 Built-in functions only.  Defined results: words are separated by ASCII white
@@ -36,13 +37,15 @@ from pyspark.sql import functions as F
 from .scratch import stash
 from .url_filter import MAX_BITS, Level
 
-SPACES = r"[\x20\x09-\x0D]+"
 CELLS = 1 << 20
 CHUNK = 1 << 10
 #: rounds against the earliest line of a bucket
 LEADER_ROUNDS = 2
 PLACE = ["doc", "line"]
 ROW = [*PLACE, "n", "p", "bits"]
+#: words of 64 bits in the wide outline of a line that has a possible partner
+WIDE = 4
+WIDE_ROW = [f"w{i}" for i in range(WIDE)]
 
 
 def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -50,15 +53,18 @@ def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
                      F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "s"))
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES), lambda w: w != "")
+def _split(line: Column) -> Column:
+    """The words of a line, and an empty string for every further space."""
+    for c in "\t\x0b\x0c\r":
+        line = F.replace(line, F.lit(c), F.lit(" "))
+    return F.split(line, " ")
 
 
 def rarity_classes(lines: DataFrame) -> DataFrame:
     """One row: for every hash cell the rounded logarithm of its words' count,
     as an array of arrays."""
     cell = F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")
-    counts = (lines.select(F.explode(F.split("s", SPACES)).alias("w")).groupBy(cell)
+    counts = (lines.select(F.explode(_split(F.col("s"))).alias("w")).groupBy(cell)
               .agg(F.count(F.lit(1)).alias("c")))
     spark = lines.sparkSession
     dense = (spark.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
@@ -76,20 +82,20 @@ def line_sets(lines: DataFrame, classes: DataFrame) -> DataFrame:
     lines = (lines.where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
              .withColumn("_classes", classes.select("classes").scalar()))
 
-    def key(w):
-        cell = F.pmod(F.xxhash64(w), F.lit(CELLS))
-        k = F.get(F.get(F.col("_classes"), F.shiftright(cell, 10).cast("int")), cell.bitwiseAND(F.lit(CHUNK - 1)).cast("int"))
-        return F.shiftleft(k.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 7))
+    def key(h):
+        k = F.get(F.get(F.col("_classes"), F.shiftright(h, 10).bitwiseAND(F.lit(CHUNK - 1)).cast("int")),
+                  h.bitwiseAND(F.lit(CHUNK - 1)).cast("int"))
+        return F.shiftleft(k.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    keyed = lines.select(*PLACE, F.sort_array(F.array_distinct(F.transform(_words(F.col("s")), key))).alias("keys"))
+    hashes = F.array_distinct(F.transform(_split(F.col("s")), lambda w: F.xxhash64(w)))
+    keys = F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key)
+    keyed = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
     keyed = keyed.withColumn("n", F.size("keys"))
     need = (4 * F.col("n") + 4) / 5
-    outline = F.aggregate("keys", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(
-        F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
     return keyed.select(
         *PLACE, "n", F.xxhash64("keys").alias("f1"), F.xxhash64(F.lit(7), "keys").alias("f2"),
         F.slice("keys", F.lit(1), F.col("n") - F.floor(need).cast("int") + 1).alias("prefix"),
-        outline.alias("bits"))
+        _outline("keys").alias("bits"))
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -99,6 +105,24 @@ def _earlier(x: str, y: str) -> Column:
         (F.col(b + "doc") == F.col(a + "doc")) & (F.col(b + "line") < F.col(a + "line")))
 
 
+def _outline(keys, part: int | None = None) -> Column:
+    """64 bits, each the parity of the words that fall on it (of one part of the
+    words): bits that differ are at most the words that differ."""
+    def fold(a, k):
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+        if part is not None:
+            mine = F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == part
+            bit = F.when(mine, bit).otherwise(F.lit(0).cast("long"))
+        return a.bitwiseXOR(bit)
+    return F.aggregate(keys, F.lit(0).cast("long"), fold)
+
+
+def _wide_possible() -> Column:
+    """The filters of ``_possible`` with the wide outlines."""
+    differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
+    return _possible("x", "y") & (9 * differ <= F.col("x.n") + F.col("y.n"))
+
+
 def _possible(x: str, y: str) -> Column:
     """Length, positional and outline filters of two prefix rows with one key."""
     def c(side, name):
@@ -109,22 +133,23 @@ def _possible(x: str, y: str) -> Column:
             & (9 * F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= nx + ny))
 
 
-def _verify(pairs: DataFrame, words: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Places x whose pair (x, y) has similarity 0.8 or more on the words."""
-    x = words.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xw"))
-    y = words.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yw"))
+    x = texts.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("s").alias("xs"))
+    y = texts.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("s").alias("ys"))
     full = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    common = F.size(F.array_intersect("xw", "yw"))
-    return full.where(9 * common >= 4 * (F.size("xw") + F.size("yw"))).select(
+    common = F.array_remove(F.array_intersect(_split(F.col("xs")), _split(F.col("ys"))), "")
+    return full.where(9 * F.size(common) >= 4 * F.col("n")).select(
         F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct()
 
 
 def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Distinct places of possible pairs, y before x."""
+    """Places of possible pairs, y before x, a pair for every shared key."""
     joined = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key"))
-                               & _earlier("x", "y") & _possible("x", "y"))
+                               & _earlier("x", "y") & _wide_possible())
     return joined.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"),
-                         F.col("y.doc").alias("yd"), F.col("y.line").alias("yl")).distinct()
+                         F.col("y.doc").alias("yd"), F.col("y.line").alias("yl"),
+                         (F.col("x.n") + F.col("y.n")).alias("n"))
 
 
 def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
@@ -140,20 +165,28 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     n_docs = places.select("doc").distinct().count()
     if not n_docs:
         return places
-    # the words of those lines; a Bloom filter spares the shuffle the other documents
+    # the texts of those lines; a Bloom filter spares the shuffle the other documents
     rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_docs))
     level = Level(places.select(F.col("doc").alias("key")).distinct(), n_docs, min(rate, 0.9), 1)
-    words = stash(lines.where(level.has(F.col("doc"))).join(places, PLACE)
-                  .select(*PLACE, F.array_distinct(_words(F.col("s"))).alias("words")), "line-words")
+    texts = lines.where(level.has(F.col("doc"))).join(places, PLACE)
+    hashed = texts.withColumn("_h", F.array_distinct(F.transform(_split(F.col("s")), lambda w: F.xxhash64(w))))
+    texts = stash(hashed.select(*PLACE, "s", *[_outline("_h", i).alias(f"w{i}") for i in range(WIDE)]),
+                  "line-texts")
+    rows = rows.join(texts.drop("s"), PLACE)
+    rows = stash(rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other
+                                      & _wide_possible(), "left_semi"), "line-rows")
+    texts = texts.drop(*WIDE_ROW)
     found, left = None, rows
     for _ in range(LEADER_ROUNDS):
-        lead = left.groupBy("key").agg(F.min(F.struct(*ROW)).alias("r")).select("key", "r.*")
-        hit = stash(_verify(_pairs(left, lead), words), "line-hits")
+        lead = left.groupBy("key").agg(F.min(F.struct(*ROW, *WIDE_ROW)).alias("r")).select("key", "r.*")
+        first = (_pairs(left, lead).groupBy("xd", "xl").agg(F.min(F.struct("yd", "yl", "n")).alias("y"))
+                 .select("xd", "xl", "y.*"))
+        hit = stash(_verify(first, texts), "line-hits")
         found = hit if found is None else found.union(hit)
         rest = left.join(hit, PLACE, "left_anti").alias("x").join(
             lead.alias("y"), (F.col("x.key") == F.col("y.key")) & ~other, "left_anti")
         left = stash(rest, "line-rest")
-    last = stash(_verify(_pairs(left, rows), words), "line-hits")
+    last = stash(_verify(_pairs(left, rows).distinct(), texts), "line-hits")
     return found.union(last).distinct()
 
 
@@ -176,8 +209,8 @@ def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 def judged_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` of every document."""
     removed = removed_lines(df, text_col, id_col)
-    n_lines = F.char_length(text_col) - F.char_length(F.translate(text_col, "\n", "")) + 1
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(n_lines, F.lit(0)).alias("n_lines"),
+    n_lines = F.size(F.split(text_col, "\n"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.greatest(n_lines, F.lit(0)).alias("n_lines"),
                      F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("doc"))
     none = F.array().cast("array<int>")
     return docs.join(removed, "doc", "left").select(
