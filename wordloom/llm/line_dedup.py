@@ -43,8 +43,9 @@ CHUNK = 1 << 10
 LEADER_ROUNDS = 2
 PLACE = ["doc", "line"]
 ROW = [*PLACE, "n", "p", "bits"]
-#: words of 64 bits in the wide outline of a line that has a possible partner
-WIDE = 4
+#: words of 64 bits in the wide outline of a line that has a possible partner;
+#: sets up to NARROW words are told apart by the one outline of the prefix rows
+WIDE, NARROW = 4, 80
 WIDE_ROW = [f"w{i}" for i in range(WIDE)]
 
 
@@ -118,9 +119,10 @@ def _outline(keys, part: int | None = None) -> Column:
 
 
 def _wide_possible() -> Column:
-    """The filters of ``_possible`` with the wide outlines."""
+    """The filters of ``_possible``, and the wide outlines where both have one."""
     differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
-    return _possible("x", "y") & (9 * differ <= F.col("x.n") + F.col("y.n"))
+    return _possible("x", "y") & ((F.least("x.n", "y.n") <= NARROW)
+                                  | (9 * differ <= F.col("x.n") + F.col("y.n")))
 
 
 def _possible(x: str, y: str) -> Column:
@@ -161,17 +163,18 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     rows = stash(rows.alias("x").join(
         rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other & _possible("x", "y"),
         "left_semi"), "line-rows")
-    places = stash(rows.select(*PLACE).distinct(), "line-places")
+    places = stash(rows.select(*PLACE, "n").distinct(), "line-places")
     n_docs = places.select("doc").distinct().count()
     if not n_docs:
-        return places
+        return places.select(*PLACE)
     # the texts of those lines; a Bloom filter spares the shuffle the other documents
     rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_docs))
     level = Level(places.select(F.col("doc").alias("key")).distinct(), n_docs, min(rate, 0.9), 1)
     texts = lines.where(level.has(F.col("doc"))).join(places, PLACE)
-    hashed = texts.withColumn("_h", F.array_distinct(F.transform(_split(F.col("s")), lambda w: F.xxhash64(w))))
-    texts = stash(hashed.select(*PLACE, "s", *[_outline("_h", i).alias(f"w{i}") for i in range(WIDE)]),
-                  "line-texts")
+    hashed = texts.withColumn("_h", F.when(F.col("n") > NARROW, F.array_distinct(
+        F.transform(_split(F.col("s")), lambda w: F.xxhash64(w)))))
+    outlines = [F.coalesce(_outline("_h", i), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WIDE)]
+    texts = stash(hashed.select(*PLACE, "s", *outlines), "line-texts")
     rows = rows.join(texts.drop("s"), PLACE)
     rows = stash(rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other
                                       & _wide_possible(), "left_semi"), "line-rows")
