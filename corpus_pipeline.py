@@ -3,7 +3,9 @@
 ``run(spark, sf_dir)`` applies ``STAGES`` to the table of documents; each
 stage's rows are written as Parquet in the shared folder and read again as the
 next one's documents.  All stages but the last return the columns of
-documents; texts that a stage changes get their new ``n_chars``.
+documents; texts that a stage changes get their new ``n_chars``.  As a stage
+is only called with a written table, it first removes the intermediate tables
+of the stages before it.
 
 SQL cannot express the n-gram join, the tagger and the packing, so there is no
 ``ORACLE_SQL``; the tests hold each stage against a brute-force version.
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import jaccard_join, line_dedup, packing, pii, quality_rules
-from wordloom.llm.scratch import stash
+from wordloom.llm.scratch import clear, remove, table_path, written
 from wordloom.sources.tables import read_table
 
 
@@ -28,28 +30,35 @@ def _recounted(df: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their domain's verdict."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", "text")
+    clear(spark)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("_row"), "source", "text")
     rated = quality_rules.rate_documents(rows)
-    return rated.where("kept").select("_row.*")
+    return rated.where("kept").select(*[F.col(c) if c == "text" else F.col(f"_row.`{c}`")
+                                        for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier line."""
+    clear(spark)
     return _recounted(line_dedup.dedup_documents(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    clear(spark)
     return jaccard_join.keep_one(docs)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data masked."""
+    clear(spark)
     return _recounted(pii.mask_documents(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, packed into sequences."""
+    clear(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                   public_tokenizers.PATTERN)
 
@@ -62,9 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash(docs, f"stage-{name}")
-    return docs
+    docs, before = read_table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = table_path(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -164,13 +164,14 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
         rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other & _possible("x", "y"),
         "left_semi"), "line-rows")
     places = stash(rows.select(*PLACE, "n").distinct(), "line-places")
-    n_docs = places.select("doc").distinct().count()
-    if not n_docs:
+    n_places = places.count()
+    if not n_places:
         return places.select(*PLACE)
-    # the texts of those lines; a Bloom filter spares the shuffle the other documents
-    rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_docs))
-    level = Level(places.select(F.col("doc").alias("key")).distinct(), n_docs, min(rate, 0.9), 1)
-    texts = lines.where(level.has(F.col("doc"))).join(places, PLACE)
+    # the texts of those lines; a Bloom filter spares the shuffle the other lines
+    rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_places))
+    place = F.xxhash64(*PLACE)
+    level = Level(places.select(place.alias("key")), n_places, min(rate, 0.9), 1)
+    texts = lines.where(level.has(place)).join(places, PLACE)
     hashed = texts.withColumn("_h", F.when(F.col("n") > NARROW, F.array_distinct(
         F.transform(_split(F.col("s")), lambda w: F.xxhash64(w)))))
     outlines = [F.coalesce(_outline("_h", i), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WIDE)]

@@ -23,16 +23,37 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The files cut the lineage, survive lost executors and keep column pruning
-    for every later reader.  They are removed when the driver ends.
+    for every later reader.  They are removed by ``clear`` or when the driver
+    ends.
     """
-    spark = df.sparkSession
+    path = table_path(df.sparkSession, name)
+    _made.append(path)
+    return written(df, path)
+
+
+#: tables of ``stash`` that are still there
+_made: list[str] = []
+
+
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
     path = f"{scratch_dir(spark)}/wordloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables of ``stash``; for callers whose results are written."""
+    while _made:
+        remove(spark, _made.pop())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     if SparkContext._active_spark_context is spark.sparkContext:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
