@@ -39,13 +39,10 @@ from .url_filter import MAX_BITS, Level
 
 CELLS = 1 << 20
 CHUNK = 1 << 10
-#: rounds against the earliest line of a bucket
-LEADER_ROUNDS = 2
 PLACE = ["doc", "line"]
 ROW = [*PLACE, "n", "p", "bits"]
-#: words of 64 bits in the wide outline of a line that has a possible partner;
-#: sets up to NARROW words are told apart by the one outline of the prefix rows
-WIDE, NARROW = 4, 80
+#: words of 64 bits in the wide outline of a line that has a possible partner
+WIDE = 4
 WIDE_ROW = [f"w{i}" for i in range(WIDE)]
 
 
@@ -61,6 +58,12 @@ def _split(line: Column) -> Column:
     return F.split(line, " ")
 
 
+def _hashes(line: Column) -> Column:
+    """Hashes of the distinct words."""
+    hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
+
+
 def rarity_classes(lines: DataFrame) -> DataFrame:
     """One row: for every hash cell the rounded logarithm of its words' count,
     as an array of arrays."""
@@ -88,8 +91,7 @@ def line_sets(lines: DataFrame, classes: DataFrame) -> DataFrame:
                   h.bitwiseAND(F.lit(CHUNK - 1)).cast("int"))
         return F.shiftleft(k.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    hashes = F.array_distinct(F.transform(_split(F.col("s")), lambda w: F.xxhash64(w)))
-    keys = F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key)
+    keys = F.transform(_hashes(F.col("s")), key)
     keyed = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
     keyed = keyed.withColumn("n", F.size("keys"))
     need = (4 * F.col("n") + 4) / 5
@@ -119,10 +121,9 @@ def _outline(keys, part: int | None = None) -> Column:
 
 
 def _wide_possible() -> Column:
-    """The filters of ``_possible``, and the wide outlines where both have one."""
+    """The filters of ``_possible`` with the wide outlines."""
     differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
-    return _possible("x", "y") & ((F.least("x.n", "y.n") <= NARROW)
-                                  | (9 * differ <= F.col("x.n") + F.col("y.n")))
+    return _possible("x", "y") & (9 * differ <= F.col("x.n") + F.col("y.n"))
 
 
 def _possible(x: str, y: str) -> Column:
@@ -163,35 +164,40 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     rows = stash(rows.alias("x").join(
         rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other & _possible("x", "y"),
         "left_semi"), "line-rows")
-    places = stash(rows.select(*PLACE, "n").distinct(), "line-places")
+    places = stash(rows.select(*PLACE).distinct(), "line-places")
     n_places = places.count()
     if not n_places:
-        return places.select(*PLACE)
+        return places
     # the texts of those lines; a Bloom filter spares the shuffle the other lines
     rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_places))
     place = F.xxhash64(*PLACE)
     level = Level(places.select(place.alias("key")), n_places, min(rate, 0.9), 1)
     texts = lines.where(level.has(place)).join(places, PLACE)
-    hashed = texts.withColumn("_h", F.when(F.col("n") > NARROW, F.array_distinct(
-        F.transform(_split(F.col("s")), lambda w: F.xxhash64(w)))))
-    outlines = [F.coalesce(_outline("_h", i), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WIDE)]
+    hashed = texts.withColumn("_h", _hashes(F.col("s")))
+    outlines = [_outline("_h", i).alias(f"w{i}") for i in range(WIDE)]
     texts = stash(hashed.select(*PLACE, "s", *outlines), "line-texts")
     rows = rows.join(texts.drop("s"), PLACE)
     rows = stash(rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other
                                       & _wide_possible(), "left_semi"), "line-rows")
     texts = texts.drop(*WIDE_ROW)
-    found, left = None, rows
-    for _ in range(LEADER_ROUNDS):
-        lead = left.groupBy("key").agg(F.min(F.struct(*ROW, *WIDE_ROW)).alias("r")).select("key", "r.*")
-        first = (_pairs(left, lead).groupBy("xd", "xl").agg(F.min(F.struct("yd", "yl", "n")).alias("y"))
+    def lead_of(some):
+        return some.groupBy("key").agg(F.min(F.struct(*ROW, *WIDE_ROW)).alias("r")).select("key", "r.*")
+
+    def hits(some, lead):
+        first = (_pairs(some, lead).groupBy("xd", "xl").agg(F.min(F.struct("yd", "yl", "n")).alias("y"))
                  .select("xd", "xl", "y.*"))
-        hit = stash(_verify(first, texts), "line-hits")
-        found = hit if found is None else found.union(hit)
-        rest = left.join(hit, PLACE, "left_anti").alias("x").join(
-            lead.alias("y"), (F.col("x.key") == F.col("y.key")) & ~other, "left_anti")
-        left = stash(rest, "line-rest")
+        return stash(_verify(first, texts), "line-hits")
+
+    # nothing lies before the first line of a bucket: it asks for no partner there
+    lead = lead_of(rows)
+    one = hits(rows, lead)
+    left = stash(rows.join(one, PLACE, "left_anti").alias("x").join(
+        lead.alias("y"), (F.col("x.key") == F.col("y.key")) & ~other, "left_anti"), "line-rest")
+    # the first line of what is left is a partner for the others, and still asks itself
+    two = hits(left, lead_of(left))
+    left = stash(left.join(two, PLACE, "left_anti"), "line-rest")
     last = stash(_verify(_pairs(left, rows).distinct(), texts), "line-hits")
-    return found.union(last).distinct()
+    return one.union(two).union(last).distinct()
 
 
 def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
