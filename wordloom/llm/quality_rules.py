@@ -117,7 +117,7 @@ def rate_documents(df: DataFrame, domain: str = "source", text_col: str = "text"
     flag = poor.withColumn("_poor", F.lit(True))
     out = rated.join(flag, rated[domain].eqNullSafe(flag["domain"]), "left")
     kept = ~F.col("base_failed") & ~(F.col("soft_failed") & F.col("_poor").isNotNull())
-    return out.select(*[rated[c] for c in rated.columns], kept.alias("kept"))
+    return out.select(*[rated[c] for c in rated.columns if c.lower() != "kept"], kept.alias("kept"))
 
 
 ORACLE = r"""
