@@ -24,15 +24,15 @@ def test_url_id_never_fails(spark):
     df = spark.createDataFrame([("http://h.example.com/en/825?page=2",), ("https://h.example.org/en/25#top",),
                                 ("short",), (None,)], "url string")
     got = [r.i for r in df.select(T.url_id("url").alias("i")).collect()]
-    assert got == [825.0, None, None, None]
+    assert got == [825, 25, None, None]
 
 
 def test_recode_and_sign(spark):
-    df = spark.createDataFrame([("Disneyland_Paris", 3), ("Disneyland_HongKong", -1), ("x", None)],
+    df = spark.createDataFrame([("Shop_North", 3), ("Shop_South", -1), ("x", None)],
                                "b string, v int")
-    rec = T.recode("b", [("Disneyland_HongKong", "Hong Kong"), ("Disneyland_Paris", "Paris")])
+    rec = T.recode("b", [("Shop_South", "South"), ("Shop_North", "North")])
     rows = df.select(rec.alias("r"), T.sign_label("v").alias("s")).collect()
-    assert [(r.r, r.s) for r in rows] == [("Paris", "positive"), ("Hong Kong", "negative"), ("x", None)]
+    assert [(r.r, r.s) for r in rows] == [("North", "positive"), ("South", "negative"), ("x", None)]
 
 
 def test_separate_missing_part_is_null(spark):

@@ -103,19 +103,27 @@ def test_pairwise_cor_against_brute_force(spark):
     rows += [("everywhere", f) for f in range(60)] + [("w1", 1), ("w1", 1)]  # zero variance, duplicates
     df = spark.createDataFrame(rows, "word string, doc long")
     ref = _phi_brute(set(rows))
-    # tiny Arrow batches: features straddle batch boundaries inside a task
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-    try:
-        got = {(r.item1, r.item2): r.correlation
-               for r in pairwise_cor(df, "word", "doc", items_per_block=7, partitions=3).collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert set(got) == set(ref)
-    for k, v in ref.items():
-        assert (v is None and got[k] is None) or math.isclose(got[k], v, abs_tol=1e-9)
+    got = {(r.item1, r.item2): r.correlation for r in pairwise_cor(df, "word", "doc").collect()}
+    docs = {}
+    for w, d in rows:
+        docs.setdefault(w, set()).add(d)
+    assert set(got) == {k for k in ref if docs[k[0]] & docs[k[1]]}
+    for k, v in got.items():
+        assert (v is None and ref[k] is None) or math.isclose(v, ref[k], abs_tol=1e-9)
     anch = {(r.item1, r.item2): r.correlation
             for r in pairwise_cor_anchored(df, "word", "doc", ["w3", "everywhere"]).collect()}
     assert set(anch) == {k for k in ref if k[0] in ("w3", "everywhere")}
     for k, v in anch.items():
         assert (v is None and ref[k] is None) or math.isclose(v, ref[k], abs_tol=1e-9)
+
+
+def test_pairwise_cor_drops_null_features(spark):
+    rows = [("a", "1"), ("a", "2"), ("a", None), ("b", "1"), ("b", None), ("c", "3"), (None, "1")]
+    df = spark.createDataFrame(rows, "word string, doc string")
+    ref = _phi_brute({r for r in rows if None not in r})
+    got = {(r.item1, r.item2): r.correlation for r in pairwise_cor(df, "word", "doc").collect()}
+    assert set(got) == {("a", "b"), ("b", "a")}
+    assert math.isclose(got["a", "b"], ref["a", "b"], abs_tol=1e-9)
+    anch = {(r.item1, r.item2): r.correlation for r in pairwise_cor_anchored(df, "word", "doc", ["a"]).collect()}
+    assert set(anch) == {("a", "b"), ("a", "c")}
+    assert all(math.isclose(v, ref[k], abs_tol=1e-9) for k, v in anch.items())

@@ -9,7 +9,7 @@ from wordloom.sources.tables import (corpus_item, file_catalog, flatten, lines,
 
 
 def test_csv_round_trip(spark, tmp_path):
-    rows = [(1, 5, "Disneyland_Paris", 'said "great",\nthen left'), (2, 3, "Disneyland_HongKong", "ok")]
+    rows = [(1, 5, "North", 'said "great",\nthen left'), (2, 3, "South", "ok")]
     schema = "Review_ID int, Rating int, Branch string, text string"
     df = spark.createDataFrame(rows, schema)
     out = str(tmp_path / "reviews")

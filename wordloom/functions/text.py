@@ -41,13 +41,14 @@ def separate(col, i: int, sep: str = " ") -> Column:
 
 
 def url_id(url, part: int = 5) -> Column:
-    """Numeric id in the ``part``-th '/'-separated piece of a URL (query cut off).
+    """Whole-number id in the ``part``-th '/'-separated piece of a URL (query and
+    fragment cut off).
 
     Short URLs and non-numeric pieces give null instead of failing.
     """
-    no_query = F.regexp_replace(_c(url), r"[?].*$", "")
-    piece = F.try_element_at(F.split(no_query, "/"), F.lit(part))
-    return piece.try_cast("double")
+    plain = F.regexp_replace(_c(url), r"[?#].*$", "")
+    piece = F.try_element_at(F.split(plain, "/"), F.lit(part))
+    return piece.try_cast("bigint")
 
 
 def recode(col, mapping: list[tuple[str, str]]) -> Column:

@@ -1,11 +1,12 @@
 """Topic models: Spark ML LDA over token arrays, topic-term betas in long form,
 and the two-topic comparison (spread, filter, log ratio).
 
-The document-term vectors are built by ``CountVectorizer`` from the token
-array of each text (no explode/collect round trip).  The fitted model's
-topic matrix is k x vocabulary; it is read back through ``describeTopics``
-(normalised per topic) as a DataFrame, and the vocabulary (bounded by
-``vocab_size``) is joined to it by term index.
+The document-term vectors are built by ``CountVectorizerModel`` from the token
+array of each text.  The vocabulary is every term, counted in a distributed
+aggregate and ordered by count and term, so term numbers do not depend on the
+run.  By Spark ML's design the vocabulary and the k x vocabulary topic matrix
+live on the driver; the matrix is read back through ``describeTopics``
+(normalised per topic) and joined to the terms by index.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +33,30 @@ def token_arrays(df: DataFrame, key: str, text: str = "text", drop: list[str] |
     return df.select(key, toks.alias("words"))
 
 
-def fit_lda(arrays: DataFrame, k: int = 2, seed: int = 123, max_iter: int = 10,
-            optimizer: str = "online", vocab_size: int = 1 << 18, min_df: float = 1.0):
-    """Fit ``CountVectorizer`` + ``LDA``; returns ``(vectorizer_model, lda_model)``.
+#: the documents are dealt into this many partitions, whatever the cluster: the
+#: random start of the model is drawn per partition
+LDA_PARTITIONS = 32
 
-    The token arrays are persisted for the two passes (vocabulary, vectors)
-    and released after the fit; lost partitions are recomputed from lineage.
+
+def fit_lda(arrays: DataFrame, key: str = "doc_id", k: int = 2, seed: int = 123, max_iter: int = 10,
+            partitions: int = LDA_PARTITIONS):
+    """Term vectors + ``LDA`` by expectation maximisation: every iteration reads
+    every document, no term is left out.  Returns ``(vectorizer, model)``.
+
+    The token arrays are hash-partitioned by ``key`` into a fixed number of
+    partitions and sorted, so the result does not depend on the number of
+    cores (but for the order of floating-point sums).  They are persisted for
+    the two passes and released after the fit; lost partitions are recomputed.
     """
-    arrays = arrays.persist(StorageLevel.MEMORY_AND_DISK)
+    arrays = (arrays.repartition(partitions, key).sortWithinPartitions(key)
+              .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab_size,
-                             minDF=min_df).fit(arrays)
+        terms = (arrays.select(F.explode("words").alias("term")).groupBy("term").count()
+                 .orderBy(F.desc("count"), "term").select("term"))
+        cv = CountVectorizerModel.from_vocabulary([r.term for r in terms.toLocalIterator()],
+                                                  inputCol="words", outputCol="features")
         vecs = cv.transform(arrays).select("features")
-        model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features").fit(vecs)
+        model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="em", featuresCol="features").fit(vecs)
     finally:
         arrays.unpersist()
     return cv, model

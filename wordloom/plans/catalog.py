@@ -18,7 +18,7 @@ from ..operators import freq, graph, language, reshape, sentiment, stats, topics
 from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
 from ..operators.tokens import remove_stop_words, unnest_ngrams, unnest_tokens
 from ..sources.lexicons import STOP_WORDS
-from ..sources.tables import corpus_item, file_catalog, flatten, lines, nest, read_table, spread
+from ..sources.tables import corpus_item, lines, read_table, spread
 from .common import (GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
                      tidy_tokens, with_base)
 
@@ -391,32 +391,51 @@ def m7_graph_summary(spark, sf_dir):
 
 # ------------------------------------------------------------------ C2 / C3 / A9 / O5 / O6 / W1 / P13
 BENCH_GROUP = "src0"
-GROUPS = [f"src{i}" for i in range(20)]
-OTHERS = [g for g in GROUPS if g != BENCH_GROUP]
-_IN_OTHERS = ", ".join(f"'{g}'" for g in OTHERS)
 
 _FREQ_SQL = f"""
 ext AS (SELECT source AS author, nullif(regexp_extract(word, '([a-z'']+)', 1), '') AS word FROM tidyc),
 cnt AS (SELECT author, word, count(*) AS n FROM ext GROUP BY ALL),
 shares AS (SELECT author, word, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY author) AS proportion FROM cnt),
-words AS (SELECT DISTINCT word FROM cnt),
-others AS (SELECT unnest([{_IN_OTHERS}]) AS author),
+bench AS (SELECT word, proportion AS {BENCH_GROUP} FROM shares WHERE author = '{BENCH_GROUP}'),
+other AS (SELECT word, author, proportion FROM shares WHERE author <> '{BENCH_GROUP}'),
+authors AS (SELECT DISTINCT author FROM other),
 frequency AS (
-  SELECT w.word, b.proportion AS {BENCH_GROUP}, a.author, p.proportion
-  FROM words w CROSS JOIN others a
-  LEFT JOIN shares p ON p.word IS NOT DISTINCT FROM w.word AND p.author = a.author
-  LEFT JOIN shares b ON b.word IS NOT DISTINCT FROM w.word AND b.author = '{BENCH_GROUP}')
+  SELECT o.word, b.{BENCH_GROUP}, o.author, o.proportion
+  FROM other o LEFT JOIN bench b ON b.word IS NOT DISTINCT FROM o.word
+  UNION ALL
+  SELECT b.word, b.{BENCH_GROUP}, a.author, NULL FROM bench b CROSS JOIN authors a
+  WHERE NOT EXISTS (SELECT 1 FROM other o WHERE o.author = a.author AND o.word IS NOT DISTINCT FROM b.word)),
+pairs AS (SELECT * FROM frequency WHERE proportion IS NOT NULL AND {BENCH_GROUP} IS NOT NULL)
 """
 
 
-def frequency_table(spark, sf_dir):
-    """Share of each word per group, benchmark group as a column, the other
-    groups gathered into ``(author, proportion)`` (the correlogram data)."""
+def _bench_and_others(spark, sf_dir):
+    """Share of each word in the benchmark group, and in every other group."""
     toks = tidy_tokens(spark, sf_dir, custom=True).select(
         F.col(GROUP).alias("author"), extract_word("word").alias("word"))
     shares = freq.share_within(freq.count_by(toks, "author", "word"), ["author"]).drop("n")
-    wide = reshape.spread(shares, "author", "proportion", GROUPS)
-    return reshape.gather(wide.select("word", *GROUPS), "author", "proportion", OTHERS)
+    bench = shares.where(F.col("author") == BENCH_GROUP).select(
+        F.col("word").alias("bench_word"), F.col("proportion").alias(BENCH_GROUP))
+    return bench, shares.where(F.col("author") != BENCH_GROUP)
+
+
+def paired_shares(spark, sf_dir):
+    """Words with a share in both groups (the null word is a word): ``(word,
+    author, proportion, <benchmark>)``; groups come from the data."""
+    bench, others = _bench_and_others(spark, sf_dir)
+    return others.join(bench, others["word"].eqNullSafe(bench["bench_word"])).drop("bench_word")
+
+
+def frequency_table(spark, sf_dir):
+    """The correlogram data: rows with at least one of the two shares (a row
+    with neither holds nothing)."""
+    bench, others = _bench_and_others(spark, sf_dir)
+    both = others.join(bench, others["word"].eqNullSafe(bench["bench_word"]), "left").drop("bench_word")
+    names = others.select(F.sort_array(F.collect_set("author"))).scalar()  # one entry a group
+    grid = bench.select(F.col("bench_word").alias("word"), BENCH_GROUP, F.explode(names).alias("author"))
+    seen = others.select(F.col("word").alias("seen"), F.col("author").alias("in"))
+    only = grid.join(seen, grid["word"].eqNullSafe(seen["seen"]) & (grid["author"] == seen["in"]), "left_anti")
+    return both.unionByName(only.withColumn("proportion", F.lit(None).cast("double")))
 
 
 @register("c2_correlogram", with_base(f"""
@@ -450,7 +469,7 @@ FROM ct
 def c3_cor_test(spark, sf_dir):
     """Pearson test of each group's word shares against the benchmark group:
     r, complete pairs, t, df and the 95 % interval."""
-    t = stats.cor_test(frequency_table(spark, sf_dir), "proportion", BENCH_GROUP, ["author"], p_value=False)
+    t = stats.cor_test(paired_shares(spark, sf_dir), "proportion", BENCH_GROUP, ["author"], p_value=False)
     return t.select("author", F.round("estimate", R).alias("estimate"), "n",
                     F.round("statistic", 6).alias("statistic"), "df",
                     F.round("conf_low", R).alias("conf_low"), F.round("conf_high", R).alias("conf_high"))
@@ -460,7 +479,7 @@ def c3_cor_test(spark, sf_dir):
 def a9_cor_test_pvalue(spark, sf_dir):
     """The same test with its two-sided p-value (t distribution; the p-value
     runs on the one aggregated row per group)."""
-    return stats.cor_test(frequency_table(spark, sf_dir), "proportion", BENCH_GROUP, ["author"])
+    return stats.cor_test(paired_shares(spark, sf_dir), "proportion", BENCH_GROUP, ["author"])
 
 
 # ------------------------------------------------------------------ C19 / M1 / M2 / F6 / J9
@@ -503,9 +522,10 @@ def review_tokens(spark, sf_dir):
 
 
 @register("c19_pairwise_cor", with_base(
-    "SELECT item1, item2, round(correlation, 9) AS correlation FROM phi", _PHI_SQL))
+    "SELECT item1, item2, round(correlation, 9) AS correlation FROM phi JOIN co USING (item1, item2)", _PHI_SQL))
 def c19_pairwise_cor(spark, sf_dir):
-    """Phi correlation of every ordered pair of frequent words over documents."""
+    """Phi correlation over documents of every ordered pair of frequent words
+    that occur together."""
     out = pairwise_cor(review_tokens(spark, sf_dir), "word", "doc_id")
     return out.select("item1", "item2", F.round("correlation", R).alias("correlation"))
 
@@ -602,13 +622,10 @@ def x4_language_id(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ C1 / S1 / S13 / P1 / P3 / P6 / P10 / P11 / J1
-REVIEWS_PER_ROW = 1000
-
-
 @register("c1_review_etl", with_base("""
 SELECT l.listing_id, l.page_id, l.url, r.conv_id, r.turn, r.role, r.review_text
 FROM (SELECT page_id, url,
-             TRY_CAST(string_split(regexp_replace(url, '[?].*$', ''), '/')[5] AS DOUBLE) AS listing_id
+             TRY_CAST(string_split(regexp_replace(url, '[?#].*$', ''), '/')[5] AS BIGINT) AS listing_id
       FROM pages) l
 JOIN rev r ON l.listing_id = r.conv_id
 JOIN revlang USING (conv_id, turn)
@@ -618,16 +635,10 @@ rev AS (SELECT conv_id, turn, role, coalesce(role, 'NA') || '_' || coalesce(text
                coalesce(role, 'NA') || '_' || coalesce(text, 'NA') AS text FROM conversations),
 """ + _classify_sql("rev", "conv_id, turn", "revlang")))
 def c1_review_etl(spark, sf_dir):
-    """Listing/review ETL: nested reviews flattened, review text united,
-    language detected (English kept), listing id parsed from the URL, reviews
-    joined to listings, columns pruned by position and renamed."""
-    # the nested collection: listing rows with reviews as a list of structs,
-    # at most REVIEWS_PER_ROW reviews per row (bucket pattern)
-    convs = read_table(spark, sf_dir, "conversations")
-    nested = nest(convs, "conv_id", "reviews", ["turn", "role", "text"],
-                  bucket=F.floor(F.col("turn") / REVIEWS_PER_ROW))
-    reviews = flatten(nested, "reviews")
-    # already hash-partitioned by the nesting aggregate: no spreading needed
+    """Listing/review ETL: review text united, language detected (English kept),
+    listing id parsed from the URL, reviews joined to listings, columns pruned
+    by position and renamed.  (A nested collection is read with ``flatten``.)"""
+    reviews = spread(read_table(spark, sf_dir, "conversations"), "conv_id", "turn")
     reviews = reviews.select("conv_id", "turn", "role", unite("role", "text").alias("review_text"))
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
     profiles = language.train(docs.select("lang", "text"))
@@ -642,13 +653,6 @@ def c1_review_etl(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ S4 / S5 / S6 / S7
-@register("s4_file_catalog")
-def s4_file_catalog(spark, sf_dir):
-    """Listing of the table files in the data folder: name and size (file
-    bodies are not read)."""
-    return file_catalog(spark, sf_dir, "*.parquet").select("name", "length")
-
-
 @register("s5_corpus_item_id", """
 SELECT idx, url FROM (SELECT CAST(row_number() OVER (ORDER BY url) AS INTEGER) AS idx, url FROM pages) WHERE idx = 1
 """)
@@ -688,7 +692,7 @@ def s7_doc_term_counts(spark, sf_dir):
 def _lda(spark, sf_dir):
     arrays = topics.token_arrays(documents(spark, sf_dir, cols=("doc_id", "text")), "doc_id",
                                  drop=list(STOP_WORDS))
-    cv, model = topics.fit_lda(arrays, k=LDA_K, seed=LDA_SEED, max_iter=10)
+    cv, model = topics.fit_lda(arrays, "doc_id", k=LDA_K, seed=LDA_SEED, max_iter=10)
     return topics.topic_beta(spark, cv, model)
 
 
@@ -719,16 +723,16 @@ def w4_top_words_one_group(spark, sf_dir):
     return freq.top_n(freq.count_by(toks, "word"), TOP_WORDS)
 
 
-RECODE = [("src1", "Group 1"), ("src2", "Group 2"), ("src3", "Group 3")]
+RECODE = [("src17", "Group 17"), ("src18", "Group 18"), ("src19", "Group 19")]
 
 
 @register("p12_recode_groups", """
-SELECT doc_id, source, replace(replace(replace(source, 'src1', 'Group 1'), 'src2', 'Group 2'), 'src3', 'Group 3')
+SELECT doc_id, source, replace(replace(replace(source, 'src17', 'Group 17'), 'src18', 'Group 18'), 'src19', 'Group 19')
        AS resort FROM documents
 """)
 def p12_recode_groups(spark, sf_dir):
-    """Group names recoded by chained literal replacements (``src10`` becomes
-    ``Group 10`` too, as chained substitutions do)."""
+    """Group names recoded by chained literal replacements (no name is part of
+    another)."""
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", GROUP, recode(GROUP, RECODE).alias("resort"))
 
@@ -738,11 +742,12 @@ SELECT word, author, round(CASE WHEN proportion > 0 THEN log10(proportion) END,
        round(CASE WHEN {BENCH_GROUP} > 0 THEN log10({BENCH_GROUP}) END, 9) AS y,
        CASE WHEN proportion IS NOT NULL THEN printf('%.2f%%', proportion * 100) END AS x_label,
        CASE WHEN {BENCH_GROUP} IS NOT NULL THEN printf('%.2f%%', {BENCH_GROUP} * 100) END AS y_label
-FROM frequency
+FROM pairs
 """, _FREQ_SQL))
 def p21_correlogram_axes(spark, sf_dir):
-    """Log10 plot coordinates of the correlogram table and their percent labels."""
-    f = frequency_table(spark, sf_dir)
+    """Log10 plot coordinates of the correlogram table (words with both) and
+    their percent labels."""
+    f = paired_shares(spark, sf_dir)
     return f.select("word", "author", F.round(log10_axis("proportion"), R).alias("x"),
                     F.round(log10_axis(BENCH_GROUP), R).alias("y"),
                     percent_label("proportion").alias("x_label"),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins from runtime sizes (so a
@@ -28,7 +25,7 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, app: str =
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = "16g"
+    conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -42,18 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment and is read from the
-    session.  Only when it is unset (local tests) a scratch folder is made.
+    session.  Only when it is unset (local tests) a folder below the warehouse
+    is used, which all executors share.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if d:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(d)
         return d
-    d = tempfile.mkdtemp(prefix="wordloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    try:
-        spark.conf.set("spark.checkpoint.dir", d)
-    except Exception:  # core confs may be read-only at runtime; the context setting suffices
-        pass
+    d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     spark.sparkContext.setCheckpointDir(d)
     return d
 

@@ -16,19 +16,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy per-row work (tokenising) enough tasks.
-
-    A big input already arrives in many splits and is left alone (no shuffle);
-    an input that lands in fewer splits than the cluster has cores (a file
-    with one row group) is hash-partitioned on ``keys`` first.  Apply it to a
-    scan (filter/project over a file source): the split count of a scan is
-    known without running anything.
-    """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
+    """Deal rows out for CPU-heavy per-row work (tokenising): hash-partitioned on
+    ``keys`` into ``spark.sql.shuffle.partitions`` partitions, at every size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
