@@ -59,11 +59,6 @@ def recode(col, mapping: list[tuple[str, str]]) -> Column:
     return out
 
 
-def to_number(col) -> Column:
-    """String to double; text that is not a number becomes null."""
-    return _c(col).try_cast("double")
-
-
 def label(prefix: str, col) -> Column:
     return F.concat(F.lit(prefix), _c(col).cast("string"))
 

@@ -88,6 +88,38 @@ def order_column(df: DataFrame, by, label: str, group: list[str] | None = None,
     return df.withColumn(name, (F.dense_rank() if dense else F.row_number()).over(spec))
 
 
+def order_column_wide(df: DataFrame, by: str, label: str, group: list[str],
+                      name: str = "ord") -> DataFrame:
+    """``order_column`` for groups that are not small: the rows of a group are
+    numbered inside each value of ``by``, and start behind the rows with
+    smaller values.  The starts come from a histogram of ``by``, so no task
+    orders a whole group.  Null values of ``by`` come first."""
+    hist = df.groupBy(*group, by).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*group, by]
+    hist = hist.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                       F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(label))
+    return df.withColumn("_in", inside).join(hist, same).select(
+        *df.columns, (F.col("_start") + F.col("_in")).cast("int").alias(name))
+
+
+def order_by_stat(df: DataFrame, by: str, label: str, stat: str = "mean", digits: int = 9,
+                  group: list[str] | None = None, name: str = "ord") -> DataFrame:
+    """Display order of a label that occurs on several rows: every row of a
+    label gets the label's position by the ``mean`` or ``median`` of ``by`` over
+    its rows (rounded, ties by label).  Meant for already-reduced results."""
+    group = list(group or [])
+    value = {"mean": F.avg, "median": F.median}[stat](by)
+    pos = df.groupBy(*group, label).agg(F.round(value, digits).alias("_stat"))
+    pos = order_column(pos, "_stat", label, group, name)
+    keys = [*group, label]
+    pos = pos.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], name)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(pos, same).select(*df.columns, name)
+
+
 def histogram(df: DataFrame, value, group: list[str], hi: float, bins: int = 30,
               lo: float = 0.0) -> DataFrame:
     """Counts of ``value`` in ``bins`` equal bins on ``[lo, hi]`` per group;
@@ -100,10 +132,12 @@ def histogram(df: DataFrame, value, group: list[str], hi: float, bins: int = 30,
             .withColumn("bin_lo", F.round(F.lit(lo) + F.col("bin") * F.lit(width), 12)))
 
 
-def keep_frequent(df: DataFrame, key: str, min_n: int) -> DataFrame:
-    """Keep every row whose ``key`` occurs at least ``min_n`` times.
+def keep_frequent(df: DataFrame, key: str, min_n: int, weight: str | None = None) -> DataFrame:
+    """Keep every row whose ``key`` occurs at least ``min_n`` times; ``weight``
+    names the column that counts for each row (rows count once without it).
 
     A count aggregate plus a semi join (not a window over the key, which would
     put all rows of a hot key in one task)."""
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_n).select(key)
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    hot = df.groupBy(key).agg(n.alias("_n")).where(F.col("_n") >= min_n).select(key)
     return df.join(hot, df[key].eqNullSafe(hot[key]), "left_semi")

@@ -1,4 +1,8 @@
-"""Directed word graphs as two tables: ``edges(from, to, …)`` and ``vertices(name)``."""
+"""Directed word graphs as two tables: ``edges(from, to, …)`` and ``vertices(name)``.
+
+``group`` names the columns that tell several graphs in one table apart (one
+graph per group, all built by the same jobs); without it there is one graph.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +10,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def graph_from_edges(df: DataFrame, src: str = "word1", dst: str = "word2") -> tuple[DataFrame, DataFrame]:
-    """First two columns are the edge ends (``from``/``to``), the rest edge
+def _ends(edges: DataFrame, group: list[str]) -> DataFrame:
+    return (edges.select(*group, F.col("from").alias("name"))
+            .union(edges.select(*group, F.col("to").alias("name"))))
+
+
+def graph_from_edges(df: DataFrame, src: str = "word1", dst: str = "word2",
+                     group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``src`` and ``dst`` become the edge ends (``from``/``to``), the rest edge
     attributes; vertices are the distinct names on either end."""
-    attrs = [c for c in df.columns if c not in (src, dst)]
-    edges = df.select(F.col(src).alias("from"), F.col(dst).alias("to"), *attrs)
-    vertices = (edges.select(F.col("from").alias("name"))
-                .union(edges.select(F.col("to").alias("name"))).distinct())
-    return edges, vertices
+    group = list(group or [])
+    attrs = [c for c in df.columns if c not in (src, dst, *group)]
+    edges = df.select(*group, F.col(src).alias("from"), F.col(dst).alias("to"), *attrs)
+    return edges, _ends(edges, group).distinct()
 
 
-def degrees(edges: DataFrame) -> DataFrame:
+def degrees(edges: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Per vertex: ``out_degree`` and ``in_degree`` (0 when absent)."""
-    out_d = edges.groupBy(F.col("from").alias("name")).agg(F.count(F.lit(1)).alias("out_degree"))
-    in_d = edges.groupBy(F.col("to").alias("name")).agg(F.count(F.lit(1)).alias("in_degree"))
-    return (out_d.join(in_d, "name", "full")
-            .select("name", F.coalesce("out_degree", F.lit(0)).alias("out_degree"),
-                    F.coalesce("in_degree", F.lit(0)).alias("in_degree")))
-
-
-def summary(edges: DataFrame) -> DataFrame:
-    """One row: number of vertices and edges."""
-    v = (edges.select(F.col("from").alias("name"))
-         .union(edges.select(F.col("to").alias("name"))))
-    return (v.agg(F.count_distinct("name").alias("vertices"))
-            .withColumn("edges", edges.select(F.count(F.lit(1))).scalar()))
+    group = list(group or [])
+    out = edges.select(*group, F.col("from").alias("name"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+    into = edges.select(*group, F.col("to").alias("name"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    return out.union(into).groupBy(*group, "name").agg(F.sum("o").alias("out_degree"),
+                                                       F.sum("i").alias("in_degree"))
+
+
+def summary(edges: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """Number of vertices and edges, per graph (one row without ``group``)."""
+    group = list(group or [])
+    # every vertex once with the edges that leave it: both numbers in one pass
+    per_vertex = degrees(edges, group)
+    return per_vertex.groupBy(*group).agg(F.count(F.lit(1)).alias("vertices"),
+                                          F.coalesce(F.sum("out_degree"), F.lit(0)).alias("edges"))

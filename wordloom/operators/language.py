@@ -67,6 +67,13 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top: int
     return ranked(char_grams(counted, [lang]), [lang], top, "pr")
 
 
+def train_counted(counted: DataFrame, lang: str = "lang", top: int = TOP) -> DataFrame:
+    """``train`` from token counts per text, ``(key…, lang, w, c)``."""
+    per_lang = (counted.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"), "w")
+                .agg(F.sum("c").alias("c")))
+    return ranked(char_grams(per_lang, ["lang"]), ["lang"], top, "pr")
+
+
 def text_grams(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
     """``(key…, gram, cnt)`` for every text."""
     keys = [key] if isinstance(key, str) else list(key)

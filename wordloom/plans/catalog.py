@@ -13,13 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_word, log10_axis, percent_label, recode, unite, url_id
+from ..functions.text import (extract_word, log10_axis, percent_label, recode, round_half_even,
+                              separate, unite, url_id)
 from ..operators import freq, graph, language, reshape, sentiment, stats, topics
 from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
-from ..operators.tokens import remove_stop_words, unnest_ngrams, unnest_tokens
-from ..sources.lexicons import STOP_WORDS
+from ..operators.tokens import anti_join_words, remove_stop_words, unnest_ngrams, unnest_tokens
+from ..sources.lexicons import STOP_WORDS, with_custom_words
 from ..sources.tables import corpus_item, lines, read_table, spread
-from .common import (GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
+from .common import (CUSTOM_WORDS, GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
                      tidy_tokens, with_base)
 
 R = 9  # digits kept when doubles are compared
@@ -74,7 +75,7 @@ GROUP BY word
 def c21_word_count(spark, sf_dir):
     """Word counts of a whole text table (all languages), stop words removed."""
     toks = remove_stop_words(unnest_tokens(documents(spark, sf_dir, lang=None,
-                                                     cols=("doc_id", "text"))), stop(spark))
+                                                     cols=("doc_id", "text"))), stop())
     return freq.count_by(toks, "word", sort=True)
 
 
@@ -96,7 +97,7 @@ def c10_frequent_words(spark, sf_dir):
     """Words above a count threshold per group, with their display order
     (custom stop words removed as well)."""
     counts = freq.count_by(tidy_tokens(spark, sf_dir, custom=True), GROUP, "word")
-    return freq.order_column(counts.where(F.col("n") > 50), "n", "word", group=[GROUP])
+    return freq.order_column_wide(counts.where(F.col("n") > 50), "n", "word", group=[GROUP])
 
 
 # ------------------------------------------------------------------ C7 / A11 / W8
@@ -179,6 +180,7 @@ def c11_emotion_vocabulary(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ C12 / W6
+# The emotions that are shown.
 EMO_KEEP = ["positive", "negative", "trust", "fear", "anticipation", "sadness"]
 
 
@@ -235,10 +237,9 @@ QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= {TOP_NEGATIVE_DOC})
 """, _SCORES_SQL))
 def c14_negative_doc_words(spark, sf_dir):
     """Top 10 words per group in documents whose score is negative."""
-    neg = _scores(spark, sf_dir).where(F.col("sentiment") < 0).select("doc_id")
-    docs = documents(spark, sf_dir).join(neg, "doc_id", "left_semi")  # per document, before tokenising
-    top = freq.top_n(freq.count_by(tidy(docs, custom=True), GROUP, "word"), TOP_NEGATIVE_DOC, "n",
-                     group=[GROUP])
+    counts = sentiment.words_of_negative(tidy_tokens(spark, sf_dir, custom=True), afinn(spark, sf_dir),
+                                         "doc_id", [GROUP])
+    top = freq.top_n(counts, TOP_NEGATIVE_DOC, "n", group=[GROUP])
     return freq.order_column(top, "n", "word", group=[GROUP])
 
 
@@ -280,7 +281,7 @@ SELECT source, word1, word2, count(*) AS n FROM bif GROUP BY ALL
 """, _NGRAM_SQL))
 def c15_bigram_counts_filtered(spark, sf_dir):
     """Bigram counts per group with neither word a stop word."""
-    grams = remove_stop_words(_bigrams(spark, sf_dir), stop(spark), ["word1", "word2"])
+    grams = remove_stop_words(_bigrams(spark, sf_dir), stop(), ["word1", "word2"])
     return freq.count_by(grams, GROUP, "word1", "word2")
 
 
@@ -295,7 +296,7 @@ GROUP BY ALL
 def c17_fourgram_counts(spark, sf_dir):
     """4-gram counts per group with no stop word in any position."""
     grams = unnest_ngrams(documents(spark, sf_dir), 4)
-    grams = remove_stop_words(grams, stop(spark), ["word1", "word2", "word3", "word4"])
+    grams = remove_stop_words(grams, stop(), ["word1", "word2", "word3", "word4"])
     return freq.count_by(grams, GROUP, "word1", "word2", "word3", "word4")
 
 
@@ -311,7 +312,7 @@ def c16_bigrams_by_rating(spark, sf_dir):
     """Most frequent stop-word-free bigrams per (group, rating), ties cut by
     the bigram text, with their display order inside the (group, rating) facet."""
     docs = rated_documents(spark, sf_dir, how="inner").withColumnRenamed("quality", "rating")
-    grams = remove_stop_words(unnest_ngrams(docs, 2), stop(spark), ["word1", "word2"])
+    grams = remove_stop_words(unnest_ngrams(docs, 2), stop(), ["word1", "word2"])
     grams = grams.select(GROUP, "rating", unite("word1", "word2", sep=" ").alias("word"))
     top = freq.top_n(freq.count_by(grams, GROUP, "rating", "word"), TOP_BIGRAMS, "n",
                      group=[GROUP, "rating"], ties=False)
@@ -342,7 +343,7 @@ def c6_negated_bigrams(spark, sf_dir):
 # ------------------------------------------------------------------ C18 / M6 / M7
 EDGE_MIN = 20
 _EDGES_SQL = f"""
-edges AS (SELECT word1 AS "from", word2 AS "to", count(*) AS n FROM (
+edges AS (SELECT source, word1 AS "from", word2 AS "to", count(*) AS n FROM (
   SELECT * FROM bi WHERE NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = bi.word1)
                      AND NOT EXISTS (SELECT 1 FROM stop s WHERE s.word = bi.word2)) b
   GROUP BY ALL HAVING count(*) > {EDGE_MIN})
@@ -350,43 +351,45 @@ edges AS (SELECT word1 AS "from", word2 AS "to", count(*) AS n FROM (
 
 
 def _edges(spark, sf_dir):
-    grams = remove_stop_words(_bigrams(spark, sf_dir), stop(spark), ["word1", "word2"])
-    counts = freq.count_by(grams.select("word1", "word2"), "word1", "word2")
-    return graph.graph_from_edges(counts.where(F.col("n") > EDGE_MIN))
+    grams = remove_stop_words(_bigrams(spark, sf_dir), stop(), ["word1", "word2"])
+    counts = freq.count_by(grams, GROUP, "word1", "word2")
+    return graph.graph_from_edges(counts.where(F.col("n") > EDGE_MIN), group=[GROUP])
 
 
-@register("m6_graph_edges", with_base('SELECT "from", "to", n FROM edges', _NGRAM_SQL + "," + _EDGES_SQL))
+@register("m6_graph_edges", with_base('SELECT source, "from", "to", n FROM edges', _NGRAM_SQL + "," + _EDGES_SQL))
 def m6_graph_edges(spark, sf_dir):
-    """Edges of the bigram graph (bigram counts above the cut)."""
+    """Edges of each group's bigram graph (bigram counts above the cut)."""
     return _edges(spark, sf_dir)[0]
 
 
 @register("m6_graph_vertices", with_base(
-    'SELECT DISTINCT name FROM (SELECT "from" AS name FROM edges UNION ALL SELECT "to" FROM edges)',
+    'SELECT DISTINCT source, name FROM (SELECT source, "from" AS name FROM edges'
+    ' UNION ALL SELECT source, "to" FROM edges)',
     _NGRAM_SQL + "," + _EDGES_SQL))
 def m6_graph_vertices(spark, sf_dir):
-    """Vertices of the bigram graph."""
+    """Vertices of each group's bigram graph."""
     return _edges(spark, sf_dir)[1]
 
 
 @register("m7_graph_degrees", with_base("""
-SELECT name, coalesce(o.out_degree, 0) AS out_degree, coalesce(i.in_degree, 0) AS in_degree
-FROM (SELECT "from" AS name, count(*) AS out_degree FROM edges GROUP BY 1) o
-FULL JOIN (SELECT "to" AS name, count(*) AS in_degree FROM edges GROUP BY 1) i USING (name)
+SELECT source, name, coalesce(o.out_degree, 0) AS out_degree, coalesce(i.in_degree, 0) AS in_degree
+FROM (SELECT source, "from" AS name, count(*) AS out_degree FROM edges GROUP BY ALL) o
+FULL JOIN (SELECT source, "to" AS name, count(*) AS in_degree FROM edges GROUP BY ALL) i USING (source, name)
 """, _NGRAM_SQL + "," + _EDGES_SQL))
 def m7_graph_degrees(spark, sf_dir):
-    """In/out degree of every vertex of the bigram graph."""
-    return graph.degrees(_edges(spark, sf_dir)[0])
+    """In/out degree of every vertex of each group's bigram graph."""
+    return graph.degrees(_edges(spark, sf_dir)[0], [GROUP])
 
 
 @register("m7_graph_summary", with_base("""
-SELECT (SELECT count(DISTINCT name) FROM (SELECT "from" AS name FROM edges UNION ALL SELECT "to" FROM edges)) AS vertices,
-       (SELECT count(*) FROM edges) AS edges
+SELECT source, vertices, edges
+FROM (SELECT source, count(DISTINCT name) AS vertices FROM (
+        SELECT source, "from" AS name FROM edges UNION ALL SELECT source, "to" FROM edges) GROUP BY source) v
+JOIN (SELECT source, count(*) AS edges FROM edges GROUP BY source) e USING (source)
 """, _NGRAM_SQL + "," + _EDGES_SQL))
 def m7_graph_summary(spark, sf_dir):
-    """Vertex and edge count of the bigram graph."""
-    return graph.summary(_edges(spark, sf_dir)[0])
-
+    """Vertex and edge count of each group's bigram graph."""
+    return graph.summary(_edges(spark, sf_dir)[0], [GROUP])
 
 
 # ------------------------------------------------------------------ C2 / C3 / A9 / O5 / O6 / W1 / P13
@@ -475,11 +478,24 @@ def c3_cor_test(spark, sf_dir):
                     F.round("conf_low", R).alias("conf_low"), F.round("conf_high", R).alias("conf_high"))
 
 
-@register("a9_cor_test_pvalue")
+# Student's t with whole degrees of freedom is a finite series in the cosine of atan(t / sqrt(df))
+@register("a9_cor_test_pvalue", with_base("""
+SELECT author, round(r, 9) AS estimate, n, round(t, 6) AS statistic, df,
+       abs(round(1 - CASE WHEN df % 2 = 0 THEN sin(th) * (SELECT coalesce(sum(exp(
+             lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi()) + 2 * k * ln(cos(th)))), 0)
+           FROM range(0, df // 2) s(k))
+         ELSE 2 / pi() * (th + sin(th) * (SELECT coalesce(sum(exp(
+             lgamma(k + 1) - lgamma(k + 1.5) + 0.5 * ln(pi()) - ln(2) + (2 * k + 1) * ln(cos(th)))), 0)
+           FROM range(0, (df - 1) // 2) s(k))) END, 9)) AS p_value
+FROM (SELECT *, atan(abs(t) / sqrt(CAST(df AS DOUBLE))) AS th FROM (
+  SELECT author, r, n, n - 2 AS df, r * sqrt(CAST(n AS DOUBLE) - 2) / sqrt(1.0 - r * r) AS t FROM ct))
+""", _FREQ_SQL + "," + _CORTEST_SQL))
 def a9_cor_test_pvalue(spark, sf_dir):
     """The same test with its two-sided p-value (t distribution; the p-value
     runs on the one aggregated row per group)."""
-    return stats.cor_test(paired_shares(spark, sf_dir), "proportion", BENCH_GROUP, ["author"])
+    t = stats.cor_test(paired_shares(spark, sf_dir), "proportion", BENCH_GROUP, ["author"])
+    return t.select("author", F.round("estimate", R).alias("estimate"), "n",
+                    F.round("statistic", 6).alias("statistic"), "df", F.round("p_value", R).alias("p_value"))
 
 
 # ------------------------------------------------------------------ C19 / M1 / M2 / F6 / J9
@@ -516,9 +532,7 @@ def review_tokens(spark, sf_dir):
     aggregate (one tokenising pass, the shuffle is reused)."""
     toks = unnest_tokens(documents(spark, sf_dir)).select("doc_id", extract_word("word").alias("word"))
     per_doc = toks.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    hot = (per_doc.groupBy("word").agg(F.sum("c").alias("n"))
-           .where(F.col("n") >= MIN_WORD_N).select("word"))
-    return per_doc.join(hot, per_doc["word"].eqNullSafe(hot["word"]), "left_semi").select("doc_id", "word")
+    return freq.keep_frequent(per_doc, "word", MIN_WORD_N, weight="c").select("doc_id", "word")
 
 
 @register("c19_pairwise_cor", with_base(
@@ -546,7 +560,7 @@ def m2_cor_anchor_top(spark, sf_dir):
     as partners)."""
     cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS)
     cors = remove_stop_words(cors.withColumn("correlation", F.round("correlation", R)),
-                             stop(spark), ["item2"])
+                             stop(), ["item2"])
     top = freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item1"])
     return freq.order_column(top, "correlation", "item2", group=["item1"])
 
@@ -564,11 +578,44 @@ def m2_cor_anchor_item2_top(spark, sf_dir):
     cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS_ITEM2)
     cors = cors.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"),
                        F.round("correlation", R).alias("correlation"))
-    cors = remove_stop_words(cors, stop(spark), ["item1"])
+    cors = remove_stop_words(cors, stop(), ["item1"])
     top = freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item2"])
     return freq.order_column(top, "correlation", "item1", group=["item2"])
 
 
+_M2_ALL_SQL = """
+tops AS (SELECT item1, item2, round(correlation, 9) AS correlation FROM phi
+  WHERE {anchor} IN ({anchors}) AND correlation IS NOT NULL
+  QUALIFY rank() OVER (PARTITION BY {anchor} ORDER BY round(correlation, 9) DESC) <= {k}),
+pos AS (SELECT {other}, CAST(row_number() OVER (ORDER BY stat, {other}) AS INTEGER) AS ord FROM (
+  SELECT {other}, round(avg(correlation), 9) AS stat FROM tops GROUP BY ALL))
+"""
+
+
+@register("m2_cor_anchor_top_all", with_base(
+    "SELECT item1, item2, correlation, ord FROM tops JOIN pos USING (item2)",
+    _PHI_SQL + "," + _M2_ALL_SQL.format(anchor="item1", other="item2", anchors=_IN_ANCH, k=TOP_CORRELATED)))
+def m2_cor_anchor_top_all(spark, sf_dir):
+    """Ten words most correlated with each anchor word, stop words included; a
+    partner has one display position, by its mean correlation over the anchors."""
+    cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS)
+    top = freq.top_n(cors.withColumn("correlation", F.round("correlation", R)), TOP_CORRELATED,
+                     "correlation", group=["item1"])
+    return freq.order_by_stat(top, "correlation", "item2")
+
+
+@register("m2_cor_anchor_item2_top_all", with_base(
+    "SELECT item1, item2, correlation, ord FROM tops JOIN pos USING (item1)",
+    _PHI_SQL + "," + _M2_ALL_SQL.format(anchor="item2", other="item1", anchors=_IN_ANCH2, k=TOP_CORRELATED)))
+def m2_cor_anchor_item2_top_all(spark, sf_dir):
+    """The same for anchors used as ``item2``."""
+    cors = pairwise_cor_anchored(review_tokens(spark, sf_dir), "word", "doc_id", ANCHORS_ITEM2)
+    cors = cors.select(F.col("item2").alias("item1"), F.col("item1").alias("item2"),
+                       F.round("correlation", R).alias("correlation"))
+    return freq.order_by_stat(freq.top_n(cors, TOP_CORRELATED, "correlation", group=["item2"]),
+                              "correlation", "item1")
+
+
 # ------------------------------------------------------------------ X4 language identification
 def _grams_sql(src: str, key: str) -> str:
     """SQL for ``(key, g, cnt)``: char 1..3-grams of padded distinct tokens."""
@@ -615,27 +662,31 @@ def x4_language_id(spark, sf_dir):
     """Language of every document from character n-gram profiles trained on
     the labelled documents (out-of-place distance, top 400 grams)."""
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
-    # training aggregates tokens per language before cutting grams (few
-    # distinct words per language), classifying per document
-    profiles = language.train(docs.select("lang", "text"))
-    return language.classify(docs.select("doc_id", "text"), profiles, "doc_id")
+    # texts are tokenised and counted once, dealt by document; training adds the
+    # counts up per language (few distinct words), classifying keeps them apart
+    key = ["doc_id", "label"]
+    counted = spread(language.token_counts(docs.withColumnRenamed("lang", "label"), key), "doc_id")
+    profiles = language.train_counted(counted, "label")
+    return language.classify(language.char_grams(counted, key), profiles, key).drop("label")
 
 
 # ------------------------------------------------------------------ C1 / S1 / S13 / P1 / P3 / P6 / P10 / P11 / J1
 @register("c1_review_etl", with_base("""
-SELECT l.listing_id, l.page_id, l.url, r.conv_id, r.turn, r.role, r.review_text
-FROM (SELECT page_id, url,
+SELECT l.listing_id, l.page_id, l.country, l.url, r.conv_id, r.turn, r.role, r.review_text
+FROM (SELECT page_id, url, string_split(regexp_replace(url, '[?#].*$', ''), '/')[4] AS country,
              TRY_CAST(string_split(regexp_replace(url, '[?#].*$', ''), '/')[5] AS BIGINT) AS listing_id
-      FROM pages) l
+      FROM pages JOIN listlang USING (page_id) WHERE listlang.predicted = 'en') l
 JOIN rev r ON l.listing_id = r.conv_id
 JOIN revlang USING (conv_id, turn)
 WHERE revlang.predicted = 'en'
 """, _LANG_SQL + """
 rev AS (SELECT conv_id, turn, role, coalesce(role, 'NA') || '_' || coalesce(text, 'NA') AS review_text,
                coalesce(role, 'NA') || '_' || coalesce(text, 'NA') AS text FROM conversations),
-""" + _classify_sql("rev", "conv_id, turn", "revlang")))
+listing AS (SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pages),
+""" + _classify_sql("rev", "conv_id, turn", "revlang") + "," + _classify_sql("listing", "page_id", "listlang")))
 def c1_review_etl(spark, sf_dir):
-    """Listing/review ETL: review text united, language detected (English kept),
+    """Listing/review ETL: review text united, languages of listing and review
+    text detected (English kept), country lifted from the listing's address,
     listing id parsed from the URL, reviews joined to listings, columns pruned
     by position and renamed.  (A nested collection is read with ``flatten``.)"""
     reviews = spread(read_table(spark, sf_dir, "conversations"), "conv_id", "turn")
@@ -645,11 +696,18 @@ def c1_review_etl(spark, sf_dir):
     lang = language.classify(reviews.withColumnRenamed("review_text", "text"), profiles, ["conv_id", "turn"])
     english = reviews.join(lang.where(F.col("predicted") == "en").select("conv_id", "turn"),
                            ["conv_id", "turn"])
-    listings = read_table(spark, sf_dir, "pages").select(url_id("url").alias("id"), "page_id", "url", "html")
-    listings = reshape.drop_at(listings, [4])            # html: not needed downstream
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    shown = F.regexp_replace("html", "<[^>]*>", " ")
+    listed = language.classify(spread(pages.select("page_id", shown.alias("text")), "page_id"), profiles, "page_id")
+    # the address of a listing, nested as in a document store
+    country = separate(F.regexp_replace("url", r"[?#].*$", ""), 4, sep="/")
+    listings = pages.select(url_id("url").alias("id"), "page_id", "url", "html",
+                            F.struct(country.alias("country")).alias("address"))
+    listings = reshape.lift(reshape.drop_at(listings, [4]), "address.country", "country")
     listings = reshape.rename_at(listings, 1, "listing_id")
+    listings = listings.join(listed.where(F.col("predicted") == "en").select("page_id"), "page_id", "left_semi")
     return (listings.join(english, listings["listing_id"] == english["conv_id"])
-            .select("listing_id", "page_id", "url", "conv_id", "turn", "role", "review_text"))
+            .select("listing_id", "page_id", "country", "url", "conv_id", "turn", "role", "review_text"))
 
 
 # ------------------------------------------------------------------ S4 / S5 / S6 / S7
@@ -752,3 +810,106 @@ def p21_correlogram_axes(spark, sf_dir):
                     F.round(log10_axis(BENCH_GROUP), R).alias("y"),
                     percent_label("proportion").alias("x_label"),
                     percent_label(BENCH_GROUP).alias("y_label"))
+
+
+# ------------------------------------------------------------------ helpers of the inventory in queries
+@register("j7_table_stop_words", with_base("""
+SELECT source, word, count(*) AS n FROM tidyc GROUP BY source, word
+"""))
+def j7_table_stop_words(spark, sf_dir):
+    """Word counts per group without the words of a stop table that custom words
+    are appended to (an anti join with the counted words)."""
+    counts = freq.count_by(unnest_tokens(documents(spark, sf_dir)), GROUP, "word")
+    return anti_join_words(counts, with_custom_words(spark, CUSTOM_WORDS))
+
+
+@register("o4_bound_word_counts", with_base("""
+SELECT source, word, count(*) AS n, 'documents' AS origin FROM tidy GROUP BY source, word
+UNION ALL
+SELECT NULL, word, count(*), 'benchmark' FROM (
+  SELECT unnest(regexp_extract_all(lower(text), {P})) AS word FROM benchmark) GROUP BY word
+"""))
+def o4_bound_word_counts(spark, sf_dir):
+    """Word counts of two text tables, tagged with their origin and bound by
+    column name (the second has no group)."""
+    docs = freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word")
+    bench = freq.count_by(unnest_tokens(read_table(spark, sf_dir, "benchmark").select("text")), "word")
+    return reshape.bind_rows(reshape.tag(docs, "origin", "documents"), reshape.tag(bench, "origin", "benchmark"))
+
+
+@register("p9_separated_bigrams", with_base("""
+SELECT source, word1, word2, count(*) AS n FROM bif GROUP BY ALL
+""", _NGRAM_SQL))
+def p9_separated_bigrams(spark, sf_dir):
+    """Counted bigrams separated into their words, stop words removed."""
+    counts = freq.count_by(_bigrams(spark, sf_dir, joined="bigram"), GROUP, "bigram")
+    words = counts.select(GROUP, separate("bigram", 1).alias("word1"), separate("bigram", 2).alias("word2"), "n")
+    return remove_stop_words(words, stop(), ["word1", "word2"])
+
+
+@register("p20_rounded_lengths", """
+SELECT doc_id, CAST(round_even(length(text) / 100.0, 0) * 100 AS BIGINT) AS n_chars FROM documents
+""")
+def p20_rounded_lengths(spark, sf_dir):
+    """Text lengths rounded to hundreds, halves to the even hundred."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", round_half_even(F.char_length("text").cast("bigint"), -2).alias("n_chars"))
+
+
+@register("s6_chosen_document_lines", """
+SELECT doc_id, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line, unnest(parts) AS text
+FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents
+      WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
+""")
+def s6_chosen_document_lines(spark, sf_dir):
+    """Documents chosen by a table of ids, one row per text line."""
+    ids = read_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    return lines(docs, "text", keep=["doc_id"])
+
+
+@register("w10_words_by_median", with_base(f"""
+, topw AS (SELECT source, word, n FROM (SELECT source, word, count(*) AS n FROM tidy GROUP BY source, word)
+  QUALIFY rank() OVER (PARTITION BY source ORDER BY n DESC) <= {TOP_WORDS}),
+pos AS (SELECT word, CAST(row_number() OVER (ORDER BY stat, word) AS INTEGER) AS ord FROM (
+  SELECT word, round(median(n), 9) AS stat FROM topw GROUP BY word))
+SELECT source, word, n, ord FROM topw JOIN pos USING (word)
+"""))
+def w10_words_by_median(spark, sf_dir):
+    """Top words per group; a word has one display position in all groups, by
+    the median of its counts."""
+    counts = freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word")
+    return freq.order_by_stat(freq.top_n(counts, TOP_WORDS, "n", group=[GROUP]), "n", "word", "median")
+
+
+SHARE_TOPICS = ["src0", "src1"]
+
+
+@register("m5_share_log_ratio", with_base(f"""
+, c AS (SELECT source, word AS term, count(*) AS n FROM tidy
+  WHERE source IN ('{SHARE_TOPICS[0]}', '{SHARE_TOPICS[1]}') GROUP BY ALL),
+b AS (SELECT term, source, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY source) AS beta FROM c),
+w AS (SELECT term, max(beta) FILTER (source = '{SHARE_TOPICS[0]}') AS topic1,
+             max(beta) FILTER (source = '{SHARE_TOPICS[1]}') AS topic2 FROM b GROUP BY term)
+SELECT term, round(topic1, 9) AS topic1, round(topic2, 9) AS topic2, round(log2(topic2 / topic1), 9) AS log_ratio
+FROM w WHERE topic1 > {topics.TOPIC1_LIMIT} OR topic2 > {topics.TOPIC2_LIMIT}
+"""))
+def m5_share_log_ratio(spark, sf_dir):
+    """The topic comparison on two topics known in advance: the term shares of
+    two groups."""
+    counts = freq.count_by(tidy_tokens(spark, sf_dir).where(F.col(GROUP).isin(SHARE_TOPICS)), GROUP, "word")
+    shares = freq.share_within(counts, [GROUP], name="beta")
+    beta = shares.select(F.when(F.col(GROUP) == SHARE_TOPICS[0], 1).otherwise(2).alias("topic"),
+                         F.col("word").alias("term"), "beta")
+    out = topics.topic_log_ratio(beta)
+    return out.select("term", *[F.round(c, R).alias(c) for c in ("topic1", "topic2", "log_ratio")])
+
+
+@register("m4_topic_totals", with_base(f"""
+SELECT CAST(t.topic AS INTEGER) AS topic, (SELECT count(DISTINCT word) FROM tidy) AS n_terms, 1.0::DOUBLE AS beta_sum
+FROM range(1, {LDA_K} + 1) t(topic)
+"""))
+def m4_topic_totals(spark, sf_dir):
+    """Terms and total beta of each topic: the model leaves no term out."""
+    return _lda(spark, sf_dir).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("beta"), 6).alias("beta_sum"))

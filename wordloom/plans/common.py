@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
     return spread(d.select(*cols), "doc_id")
 
 
-def stop(spark: SparkSession) -> list[str]:
+def stop() -> list[str]:
     """The stop-word list (a fixed list: filtered as a hash set, no join)."""
     return list(lexicons.STOP_WORDS)
 
@@ -43,7 +43,7 @@ def rated_documents(spark: SparkSession, sf_dir: str, how: str = "left") -> Data
 
 def tidy(docs: DataFrame, custom: bool = False) -> DataFrame:
     """Tokens of a document table without stop words (and custom words)."""
-    toks = remove_stop_words(unnest_tokens(docs), stop(None))
+    toks = remove_stop_words(unnest_tokens(docs), stop())
     if custom:
         toks = remove_stop_words(toks, CUSTOM_WORDS)
     return toks

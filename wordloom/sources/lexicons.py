@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.reshape import bind_rows
 
 # The default English stop-word list shipped with Spark ML
 # (``StopWordsRemover.loadDefaultStopWords("english")``), 181 words, in its
@@ -61,7 +62,7 @@ def with_custom_words(spark: SparkSession, words: list[str], base: DataFrame | N
     """Custom words (lexicon ``custom``) appended to a stop-word table."""
     custom = word_table(spark, words, lexicon)
     base = base if base is not None else stop_words(spark)
-    return custom.unionByName(base)
+    return bind_rows(custom, base)
 
 
 def benchmark_vocabulary(benchmark: DataFrame) -> DataFrame:
