@@ -38,6 +38,35 @@ def test_graph_helpers(spark):
     assert (s.vertices, s.edges) == (3, 3)
 
 
+def test_one_graph_per_group(spark):
+    counts = spark.createDataFrame([("g", "a", "b", 5), ("g", "b", "c", 3), ("h", "a", "b", 1)],
+                                   "grp string, word1 string, word2 string, n long")
+    edges, vertices = graph.graph_from_edges(counts, group=["grp"])
+    assert edges.columns == ["grp", "from", "to", "n"]
+    assert sorted(map(tuple, vertices.collect())) == [("g", "a"), ("g", "b"), ("g", "c"), ("h", "a"), ("h", "b")]
+    deg = {(r.grp, r.name): (r.out_degree, r.in_degree) for r in graph.degrees(edges, ["grp"]).collect()}
+    assert deg[("g", "b")] == (1, 1) and deg[("h", "a")] == (1, 0)
+    assert {r.grp: (r.vertices, r.edges) for r in graph.summary(edges, ["grp"]).collect()} == {"g": (3, 2), "h": (2, 1)}
+    none = graph.summary(edges.where("false")).collect()
+    assert [tuple(r) for r in none] == [(0, 0)]
+
+
+def test_words_of_negative_documents(spark):
+    toks = spark.createDataFrame([(1, "g", "bad"), (1, "g", "oak"), (1, "g", "oak"), (2, "g", "good"), (2, "g", "oak"),
+                                  (3, "h", "bad"), (3, "h", "good"), (4, "h", "oak")], "doc int, grp string, word string")
+    values = spark.createDataFrame([("good", 3), ("bad", -2)], "word string, value int")
+    got = {(r.grp, r.word): r.n for r in sentiment.words_of_negative(toks, values, "doc", ["grp"]).collect()}
+    assert got == {("g", "bad"): 1, ("g", "oak"): 2}  # 3 scores above zero, 4 has no score
+
+
+def test_label_counts_with_a_repeated_lexicon_row(spark):
+    toks = spark.createDataFrame([("g", "good"), ("g", "good"), ("g", "bad")], "grp string, word string")
+    lex = spark.createDataFrame([("good", "positive"), ("good", "positive"), ("good", "trust")],
+                                "word string, sentiment string")
+    got = {(r.word, r.sentiment): r.n for r in sentiment.label_counts(toks, lex, ["grp"]).collect()}
+    assert got == {("good", "positive"): 4, ("good", "trust"): 2}
+
+
 def test_sentiment_helpers(spark):
     toks = spark.createDataFrame([(1, "g", "good"), (1, "g", "bad"), (1, "g", "good"), (2, "g", "meh"),
                                   (3, "h", "bad")], "doc int, grp string, word string")

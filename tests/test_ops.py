@@ -43,6 +43,24 @@ def test_keep_frequent_and_histogram(spark):
     assert bins == {0: 1, 1: 2}
 
 
+def test_wide_order_equals_plain_order(spark):
+    rng = np.random.default_rng(5)
+    rows = [("g" if rng.random() < 0.7 else None, f"w{i}", int(rng.integers(0, 9)) or None) for i in range(200)]
+    df = spark.createDataFrame(rows, "grp string, word string, n int")
+    plain = freq.order_column(df, "n", "word", group=["grp"])
+    wide = freq.order_column_wide(df, "n", "word", group=["grp"])
+    assert sorted(map(str, plain.collect())) == sorted(map(str, wide.collect()))
+
+
+def test_order_by_mean_and_median(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 9.0), ("a", "y", 4.0), ("c", "x", 2.0)],
+                               "g string, w string, v double")
+    mean = {r.w: r.ord for r in freq.order_by_stat(df, "v", "w").collect()}
+    assert mean == {"x": 1, "y": 2}  # both 4.0: ties by label
+    rows = freq.order_by_stat(df.union(spark.createDataFrame([("d", "x", 99.0)], df.schema)), "v", "w", "median")
+    assert {r.w: r.ord for r in rows.collect()} == {"y": 1, "x": 2} and rows.count() == 5
+
+
 def test_spread_gather_round_trip(spark):
     df = spark.createDataFrame([("w1", "A", 0.1), ("w1", "B", 0.2), ("w2", "A", 0.3)],
                                "word string, author string, p double")

@@ -43,3 +43,17 @@ def test_ratings_join_documents_not_tokens(spark):
     gen = plan.index("Generate explode(regexp_extract_all")
     # the labels join sits below the tokenizer in the tree (printed after it)
     assert plan.find("Join", gen) > gen
+
+
+def test_lexicon_is_joined_to_counts(spark):
+    for name in ("c5_sentiment_words", "c13_doc_sentiment"):
+        plan = _initial_plan(QUERIES[name](spark, SF001))
+        gen = plan.index("Generate explode(regexp_extract_all")
+        # above the tokenizer (printed before it) the tokens are counted, then joined
+        assert 0 < plan.index("Join") < plan.rindex("partial_count(1)", 0, gen) < gen, name
+
+
+def test_language_texts_are_tokenised_once(spark):
+    plan = _final_plan(QUERIES["x4_language_id"](spark, SF001)).split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("Generate explode(regexp_extract_all") == 1
+    assert "ReusedExchange" in plan

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from conftest import SF001, SF01
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry_mod
@@ -49,12 +49,14 @@ def test_topic_betas_sum_to_one(spark):
     assert len(sums) == 2 and all(abs(s - 1) < 1e-6 for s in sums)
 
 
-def test_language_id_accuracy(spark):
-    pred = QUERIES["x4_language_id"](spark, SF001)
-    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "lang")
-    j = pred.join(docs, "doc_id")
-    acc = j.where(F.col("lang") == F.col("predicted")).count() / j.count()
-    assert acc > 0.95
+def test_language_id_accuracy_on_held_out_documents(spark):
+    from wordloom.operators import language
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang", "text")
+    profiles = language.train(docs.where("doc_id % 2 = 0").select("lang", "text"))
+    held_out = docs.where("doc_id % 2 = 1 and lang is not null")
+    j = language.classify(held_out.select("doc_id", "text"), profiles, "doc_id").join(held_out, "doc_id")
+    n = j.count()
+    assert n > 300 and j.where(F.col("lang") == F.col("predicted")).count() / n > 0.95
 
 
 def test_phi_symmetric_and_bounded(spark):

@@ -30,6 +30,16 @@ def count_by(df: DataFrame, *keys: str, name: str = "n", sort: bool = False) ->
     return out
 
 
+def held(key: str, n: str = "n") -> Column:
+    """The key of a count table, for readers that share its shuffle.
+
+    Its value is the key's (a count is never 0), but as it depends on the
+    count, filters on it stay above the aggregate.  On the plain key the
+    optimizer would move each reader's filters below the shuffle, and readers
+    with different filters would each compute the counts anew."""
+    return F.when(F.col(n) > 0, F.col(key)).alias(key)
+
+
 def group_totals(df: DataFrame, group: list[str], value: str = "n", name: str = "total") -> DataFrame:
     return df.groupBy(*group).agg(F.sum(value).alias(name))
 
@@ -139,5 +149,5 @@ def keep_frequent(df: DataFrame, key: str, min_n: int, weight: str | None = None
     A count aggregate plus a semi join (not a window over the key, which would
     put all rows of a hot key in one task)."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    hot = df.groupBy(key).agg(n.alias("_n")).where(F.col("_n") >= min_n).select(key)
+    hot = df.groupBy(key).agg(n.alias("_n")).where(F.col("_n") >= min_n)
     return df.join(hot, df[key].eqNullSafe(hot[key]), "left_semi")

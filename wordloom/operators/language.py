@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .freq import held
 
 # Profile length and the longest character n-gram.
 TOP = 400
@@ -69,8 +70,8 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", top: int
 
 def train_counted(counted: DataFrame, lang: str = "lang", top: int = TOP) -> DataFrame:
     """``train`` from token counts per text, ``(key…, lang, w, c)``."""
-    per_lang = (counted.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"), "w")
-                .agg(F.sum("c").alias("c")))
+    per_lang = counted.groupBy(F.col(lang).alias("lang"), "w").agg(F.sum("c").alias("c"))
+    per_lang = per_lang.select(held("lang", "c"), "w", "c").where(F.col("lang").isNotNull())
     return ranked(char_grams(per_lang, ["lang"]), ["lang"], top, "pr")
 
 

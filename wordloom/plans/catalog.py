@@ -528,10 +528,12 @@ def review_tokens(spark, sf_dir):
     word clean-up applied) seen at least ``MIN_WORD_N`` times.
 
     Tokens are counted once per (word, document); word totals come from those
-    counts and the rare words are dropped by a semi join on the same
-    aggregate (one tokenising pass, the shuffle is reused)."""
-    toks = unnest_tokens(documents(spark, sf_dir)).select("doc_id", extract_word("word").alias("word"))
-    per_doc = toks.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    counts and the rare words are dropped by a semi join on the same rows.  The
+    texts are dealt by document and text, so the counts have a shuffle of their
+    own, and every branch of the query reads it (one tokenising pass)."""
+    docs = documents(spark, sf_dir, cols=("doc_id", "text"), deal=("doc_id", "text"))
+    toks = unnest_tokens(docs).select("doc_id", extract_word("word").alias("word"))
+    per_doc = freq.count_by(toks, "word", "doc_id", name="c").select(freq.held("word", "c"), "doc_id", "c")
     return freq.keep_frequent(per_doc, "word", MIN_WORD_N, weight="c").select("doc_id", "word")
 
 
@@ -662,10 +664,11 @@ def x4_language_id(spark, sf_dir):
     """Language of every document from character n-gram profiles trained on
     the labelled documents (out-of-place distance, top 400 grams)."""
     docs = documents(spark, sf_dir, lang=None, cols=("doc_id", "lang", "text"))
-    # texts are tokenised and counted once, dealt by document; training adds the
-    # counts up per language (few distinct words), classifying keeps them apart
+    # texts are tokenised and counted once; training adds the counts up per
+    # language (few distinct words), classifying keeps them apart.  The shuffle of
+    # the counts, by other columns than the texts', is read by both
     key = ["doc_id", "label"]
-    counted = spread(language.token_counts(docs.withColumnRenamed("lang", "label"), key), "doc_id")
+    counted = spread(language.token_counts(docs.withColumnRenamed("lang", "label"), key), *key)
     profiles = language.train_counted(counted, "label")
     return language.classify(language.char_grams(counted, key), profiles, key).drop("label")
 

@@ -22,11 +22,13 @@ CUSTOM_WORDS = ["ing", "tion", "ed"]
 
 
 def documents(spark: SparkSession, sf_dir: str, lang: str | None = LANG,
-              cols: tuple[str, ...] = ("doc_id", GROUP, "text")) -> DataFrame:
+              cols: tuple[str, ...] = ("doc_id", GROUP, "text"),
+              deal: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of the documents of a language, dealt out by ``deal``."""
     d = read_table(spark, sf_dir, "documents")
     if lang:
         d = d.where(F.col("lang") == lang)
-    return spread(d.select(*cols), "doc_id")
+    return spread(d.select(*cols), *deal)
 
 
 def stop() -> list[str]:
