@@ -9,7 +9,7 @@ linked if the Jaccard similarity of their sets is at least 0.8.
    connected to the smallest of them (a star, never all pairs), and the
    connected components of these stars hold every candidate pair: a pair at
    the threshold is missed with probability (1 - 0.8^6)^40, about 5e-6.
-3. Inside a component pairs are compared in blocks: MinHash values 32 at a
+3. Inside a component pairs are compared in blocks: MinHash values 48 at a
    time, a pair is dropped as soon as the posterior probability (uniform
    prior) that its similarity reaches the threshold falls below ``TOLERANCE``;
    what is left is verified exactly on the sets.  Pairs are never emitted:
