@@ -99,13 +99,19 @@ def test_ngram_rows_match_token_counts_on_documents(spark):
 
 def test_p_values_consistent_with_statistic(spark):
     from wordloom.functions.stats import t_two_sided_p
+    from wordloom.operators.stats import cor_test
+    from wordloom.plans.catalog import BENCH_GROUP, paired_shares
+    # the operator's own values; the query rounds them
+    exact = {r.author: r for r in cor_test(paired_shares(spark, SF001), "proportion", BENCH_GROUP, ["author"]).collect()}
     rows = QUERIES["a9_cor_test_pvalue"](spark, SF001).collect()
     c3 = {r.author: r for r in QUERIES["c3_cor_test"](spark, SF001).collect()}
-    assert len(rows) == len(c3) > 0
+    assert len(rows) == len(c3) == len(exact) > 0
     for r in rows:
+        e = exact[r.author]
         assert 0.0 <= r.p_value <= 1.0
-        assert math.isclose(r.p_value, t_two_sided_p(r.statistic, float(r.df)), rel_tol=1e-12, abs_tol=1e-300)
-        assert r.n == c3[r.author].n and math.isclose(round(r.estimate, 9), c3[r.author].estimate)
+        assert math.isclose(e.p_value, t_two_sided_p(e.statistic, float(e.df)), rel_tol=1e-12, abs_tol=1e-300)
+        assert math.isclose(r.p_value, e.p_value, abs_tol=5.1e-10)
+        assert (r.n, r.estimate, r.statistic) == (c3[r.author].n, c3[r.author].estimate, c3[r.author].statistic)
 
 
 def test_topic_log_ratio_rows(spark):
