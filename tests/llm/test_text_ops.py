@@ -80,6 +80,24 @@ def test_rank_file_ids_equal_the_json_tokenizer(spark):
         assert mine.ids(t) == theirs.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("white", [" ", "\n", " \n\t", "\u3000", "\x85\u2028"])
+def test_very_long_white_space_equals_the_json_tokenizer(white):
+    from tokenizers import Tokenizer
+
+    mine = packing.Tokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    theirs = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    run, short = white * (1_200_000 // len(white)), white * (packing.LONG_RUN // len(white))
+    for t in (run, f"a b{run}c", f" {short}'s{short}1{short}\x1c{run}<|endoftext|>{short} x{short[1:]}!"):
+        assert mine.ids(t) == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_takes_very_long_white_space(spark):
+    df = spark.createDataFrame([(1, " " * 1_200_000), (2, "a" + "\n" * 1_200_000 + "b")], "doc_id long, text string")
+    rows = packing.pack_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    for i in (1, 2):
+        assert sum(r.length for r in rows if r.doc_id == i) == next(r.doc_tokens for r in rows if r.doc_id == i)
+
+
 @settings(max_examples=40, deadline=None, derandomize=True)
 @given(st.lists(st.integers(1, 2047), min_size=1, max_size=300))
 def test_packing_covers_every_id_without_padding(lengths):

@@ -13,7 +13,9 @@ powers of two, which need no padding.
 Tokenising runs where the rows lie, by the rank file of the same vocabulary
 (ids equal to those of the JSON tokenizer, several times faster; a test
 compares the two); the JSON's special string in a text becomes its id, as
-that library does by default.
+that library does by default.  A run of white space too long for the rank
+file's regex (it gives up near a million) is cut out by the same rule and
+encoded as the one piece that it is.
 
 Defined results: a null or empty text is the end id alone; documents that
 share an id are packed as separate documents; an empty table gives no pieces;
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 
 import numpy as np
@@ -35,6 +38,9 @@ WINDOW = 2048
 #: id behind every document
 END_ID = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: runs of white space (as the pattern's ``\s``) from this length on skip the regex
+LONG_RUN = 100_000
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: documents of a group on average
 GROUP_DOCS = 8192
 
@@ -43,24 +49,38 @@ class Tokenizer:
     """Byte-level BPE from a rank file."""
 
     def __init__(self, rank_path: str, pattern: str):
-        self.rank_path, self.pattern, self.encoding = rank_path, pattern, None
+        self.rank_path, self.pattern, self.encoding, self.one_piece = rank_path, pattern, None, None
 
-    def _load(self):
+    def _load(self, pattern: str):
         import tiktoken
 
         with open(self.rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=ranks,
-                                          special_tokens={})
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without the special string."""
+        out: list[int] = []
+        done = 0
+        for m in WHITE.finditer(text) if len(text) >= LONG_RUN else ():
+            # a run is one piece, but for its last character where a word follows
+            end = m.end() - (m.end() < len(text))
+            if end - m.start() >= LONG_RUN:
+                out += self.encoding.encode_ordinary(text[done:m.start()])
+                # loaded only where such a run occurs: it takes memory of its own
+                self.one_piece = self.one_piece or self._load(r"[\s\S]+")
+                out += self.one_piece.encode_ordinary(text[m.start():end])
+                done = end
+        return out + self.encoding.encode_ordinary(text[done:])
 
     def ids(self, text: str) -> list[int]:
         if self.encoding is None:
-            self._load()
+            self.encoding = self._load(self.pattern)
         if SPECIAL not in text:
-            return self.encoding.encode_ordinary(text)
+            return self._plain(text)
         out: list[int] = []
         for k, part in enumerate(text.split(SPECIAL)):
-            out += [SPECIAL_ID] * (k > 0) + self.encoding.encode_ordinary(part)
+            out += [SPECIAL_ID] * (k > 0) + self._plain(part)
         return out
 
 
