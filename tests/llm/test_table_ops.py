@@ -65,6 +65,17 @@ def test_line_dedup_against_all_pairs(docs):
             assert kept[i] == (None if t is None else "\n".join(lines))
 
 
+def test_line_dedup_tells_rows_with_one_id_apart(spark):
+    rows = [(None, "one a b c\ntwo d e f\none a b c"), (None, "p q r s\nt u v w\nonly x y z"),
+            (None, "k l m n\nt u v w"), (7, "g1 g2 g3\nt u v w"), (7, "h1 h2 h3\nh4 h5 h6"), (7, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(r.doc_id, r.text) for r in line_dedup.dedup_documents(df).collect()}
+    assert {(None, "one a b c\ntwo d e f"), (7, "g1 g2 g3"), rows[4], rows[5], rows[6]} < kept
+    a, b = {rows[1], (None, "k l m n")}, {rows[2], (None, "p q r s\nonly x y z")}
+    assert len(kept) == 7 and (a < kept or b < kept)
+    assert sorted(r.n_removed for r in line_dedup.judged_documents(df).collect()) == [0, 0, 0, 0, 1, 1, 1]
+
+
 def test_line_dedup_empty_table(docs):
     assert line_dedup.judged_documents(docs.limit(0)).count() == 0
     assert line_dedup.dedup_documents(docs.limit(0)).columns == docs.columns

@@ -1,8 +1,8 @@
 """Operator 3: line dedup as an exact set-similarity join.
 
 A line is the set of its words; a line is removed if an earlier line (smaller
-doc_id, then smaller line number; removed lines count as well) has a Jaccard
-similarity of at least 0.8.  Lines of the same set are settled by an
+doc_id, then smaller hash of the whole text, then smaller line number; removed
+lines count as well) has a Jaccard similarity of at least 0.8.  Lines of the same set are settled by an
 aggregate; between different sets the join works on prefixes:
 
 * words are ordered by rarity: classes of the logarithm of their count over
@@ -22,9 +22,10 @@ neither are compared with all earlier partners.
 
 Built-in functions only.  Defined results: words are separated by ASCII white
 space, a line without a word is kept and matches nothing; a null or empty text
-has no line to remove; a null doc_id comes first; rows that share a doc_id
-share the decisions about equally numbered lines; an empty table gives an
-empty table; extra columns are not touched.
+has no line to remove; a null doc_id comes first; rows that share a doc_id are
+told apart by the 64-bit hash of their text, so only rows equal in both share
+their decisions; an empty table gives an empty table; extra columns are not
+touched.
 """
 
 from __future__ import annotations
@@ -39,16 +40,26 @@ from .url_filter import MAX_BITS, Level
 
 CELLS = 1 << 20
 CHUNK = 1 << 10
-PLACE = ["doc", "line"]
+#: a document is its id and the hash of its text
+DOC = ["doc", "row"]
+PLACE = [*DOC, "line"]
 ROW = [*PLACE, "n", "p", "bits"]
+#: the places of a pair
+X, Y = ["xd", "xr", "xl"], ["yd", "yr", "yl"]
 #: words of 64 bits in the wide outline of a line that has a possible partner
 WIDE = 4
 WIDE_ROW = [f"w{i}" for i in range(WIDE)]
 
 
+def _doc(df: DataFrame, text_col: str, id_col: str) -> list[Column]:
+    return [F.coalesce(df[id_col].cast("long"), F.lit(-2**63)), F.xxhash64(df[text_col])]
+
+
 def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("doc"),
-                     F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "s"))
+    # hashed below the explode, once a text
+    texts = df.select(*[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)],
+                      df[text_col].alias("text"))
+    return texts.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
 def _split(line: Column) -> Column:
@@ -103,9 +114,8 @@ def line_sets(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _earlier(x: str, y: str) -> Column:
     """y lies before x."""
-    a, b = f"{x}.", f"{y}."
-    return (F.col(b + "doc") < F.col(a + "doc")) | (
-        (F.col(b + "doc") == F.col(a + "doc")) & (F.col(b + "line") < F.col(a + "line")))
+    a, b = ([F.col(f"{side}.{c}") for c in PLACE] for side in (x, y))
+    return (b[0] < a[0]) | ((b[0] == a[0]) & ((b[1] < a[1]) | ((b[1] == a[1]) & (b[2] < a[2]))))
 
 
 def _outline(keys, part: int | None = None) -> Column:
@@ -138,20 +148,20 @@ def _possible(x: str, y: str) -> Column:
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Places x whose pair (x, y) has similarity 0.8 or more on the words."""
-    x = texts.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("s").alias("xs"))
-    y = texts.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("s").alias("ys"))
-    full = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
+    x, y = (texts.select(*[F.col(c).alias(k) for c, k in zip([*PLACE, "s"], [*at, side + "s"])])
+            for side, at in (("x", X), ("y", Y)))
+    full = pairs.join(x, X).join(y, Y)
     common = F.array_remove(F.array_intersect(_split(F.col("xs")), _split(F.col("ys"))), "")
     return full.where(9 * F.size(common) >= 4 * F.col("n")).select(
-        F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct()
+        *[F.col(k).alias(c) for c, k in zip(PLACE, X)]).distinct()
 
 
 def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """Places of possible pairs, y before x, a pair for every shared key."""
     joined = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key"))
                                & _earlier("x", "y") & _wide_possible())
-    return joined.select(F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"),
-                         F.col("y.doc").alias("yd"), F.col("y.line").alias("yl"),
+    return joined.select(*[F.col(f"x.{c}").alias(k) for c, k in zip(PLACE, X)],
+                         *[F.col(f"y.{c}").alias(k) for c, k in zip(PLACE, Y)],
                          (F.col("x.n") + F.col("y.n")).alias("n"))
 
 
@@ -160,7 +170,8 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     # below 4 words no other set can be similar
     rows = sets.where("n >= 4").select(*PLACE, "n", "bits", F.posexplode("prefix").alias("p", "key"))
     rows = rows.select("key", *PLACE, "n", (F.col("p") + 1).alias("p"), "bits")
-    other = (F.col("x.doc") != F.col("y.doc")) | (F.col("x.line") != F.col("y.line"))
+    other = ((F.col("x.doc") != F.col("y.doc")) | (F.col("x.row") != F.col("y.row"))
+             | (F.col("x.line") != F.col("y.line")))
     rows = stash(rows.alias("x").join(
         rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other & _possible("x", "y"),
         "left_semi"), "line-rows")
@@ -184,8 +195,8 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
         return some.groupBy("key").agg(F.min(F.struct(*ROW, *WIDE_ROW)).alias("r")).select("key", "r.*")
 
     def hits(some, lead):
-        first = (_pairs(some, lead).groupBy("xd", "xl").agg(F.min(F.struct("yd", "yl", "n")).alias("y"))
-                 .select("xd", "xl", "y.*"))
+        first = (_pairs(some, lead).groupBy(*X).agg(F.min(F.struct(*Y, "n")).alias("y"))
+                 .select(*X, "y.*"))
         return stash(_verify(first, texts), "line-hits")
 
     # nothing lies before the first line of a bucket: it asks for no partner there
@@ -201,8 +212,8 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``doc`` (the document's id; a null as the smallest long) and ``lines``,
-    the sorted numbers (from 0) of its removed lines, where there are any."""
+    """``doc`` (the document's id; a null as the smallest long), ``row`` (the
+    hash of its text) and ``lines``, the sorted numbers (from 0) of its removed lines, where there are any."""
     lines = _lines(df, text_col, id_col)
     classes = stash(rarity_classes(lines), "rarity")
     every = stash(line_sets(lines, classes), "line-sets")
@@ -212,7 +223,7 @@ def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     firsts = (every.groupBy("f1", "f2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
               .where("c > 1").select("f1", "f2", "first"))
     copies = every.join(firsts, ["f1", "f2"]).where(place != F.col("first")).select(*PLACE)
-    return (copies.union(similar.select(*PLACE)).groupBy("doc")
+    return (copies.union(similar.select(*PLACE)).groupBy(*DOC)
             .agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
@@ -221,9 +232,9 @@ def judged_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     removed = removed_lines(df, text_col, id_col)
     n_lines = F.size(F.split(text_col, "\n"))
     docs = df.select(F.col(id_col).alias("doc_id"), F.greatest(n_lines, F.lit(0)).alias("n_lines"),
-                     F.coalesce(F.col(id_col).cast("long"), F.lit(-2**63)).alias("doc"))
+                     *[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)])
     none = F.array().cast("array<int>")
-    return docs.join(removed, "doc", "left").select(
+    return docs.join(removed, DOC, "left").select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"),
         F.size(F.coalesce("lines", none)).cast("long").alias("n_removed"),
         F.coalesce("lines", none).alias("removed"))
@@ -232,9 +243,10 @@ def judged_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 def dedup_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` without the removed lines; a document that had words and lost
     every line with a word goes."""
-    removed = removed_lines(df, text_col, id_col).select(F.col("doc").alias("_doc"), F.col("lines").alias("_cut"))
-    mine = F.coalesce(df[id_col].cast("long"), F.lit(-2**63))
-    joined = df.join(removed, mine == removed["_doc"], "left")
+    removed = removed_lines(df, text_col, id_col).select(
+        F.col("doc").alias("_doc"), F.col("row").alias("_hash"), F.col("lines").alias("_cut"))
+    doc, row = _doc(df, text_col, id_col)
+    joined = df.join(removed, (doc == removed["_doc"]) & (row == removed["_hash"]), "left")
     joined = joined.withColumn("_lines", F.split(text_col, "\n"))
     numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
     kept = F.transform(F.array_except(numbers, F.col("_cut")), lambda i: F.get(F.col("_lines"), i))
