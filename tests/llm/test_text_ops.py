@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter as Counts
 
 import numpy as np
 import public_tokenizers as P
@@ -130,6 +131,15 @@ def test_packing_rows(spark):
     assert packing.pack_documents(df.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_packing_spreads_equal_rows_and_windows(spark):
+    df = spark.createDataFrame([(None, "")] * 4000 + [(1, " word" * 2048 * 60)], "doc_id long, text string").coalesce(2)
+    rows = packing.pack_documents(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, group_docs=400).collect()
+    assert len(rows) >= 4061 and sum(r.length for r in rows) == 4000 + next(r.doc_tokens for r in rows if r.doc_id)
+    for part in ([r for r in rows if r.doc_id is None], [r for r in rows if r.doc_id and r.length == 2048]):
+        sizes = Counts(r.sequence_id >> 32 for r in part)
+        assert max(sizes.values()) < len(part) / 3
+
+
 CHAT = st.text(alphabet="<>/s[]INSTYROLE \\a\n", max_size=40)
 
 

@@ -2,7 +2,9 @@
 
 A document is its token ids and an end id.  Windows of 2048 ids are cut off
 its start; what remains (1 to 2047 ids) is packed.  Remainders are dealt by
-hash into groups of a bounded number of documents.  In a group, combinations
+hash into groups of a bounded number of documents; the number of a copy among
+the equal rows of its input partition, which does not depend on their order,
+spreads repeated rows over the groups.  In a group, combinations
 of two or three lengths that fill a window exactly are enumerated, the number
 of times each should be used is the non-negative least-squares fit to the
 histogram of lengths, the fit is rounded within what is there, and what is
@@ -176,17 +178,22 @@ def pack_group(lengths: np.ndarray, window: int = WINDOW):
 def tokenised_parts(df: DataFrame, tokenizer: Tokenizer, text_col: str = "text",
                     id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """Whole windows and the remainder of every document:
-    ``doc_id, doc_tokens, start, length, ids`` (little-endian uint16)."""
+    ``doc_id, doc_tokens, start, length, ids`` (little-endian uint16) and
+    ``copy``, the row's number among the equal rows of its input partition."""
     source = df.select(F.col(id_col).alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        seen: dict[int, int] = {}
         for batch in batches:
-            texts = batch.column(1)
+            docs, texts = batch.columns
             for a in range(0, batch.num_rows, 512):
-                rows, total, start, length, ids = [], [], [], [], []
-                for k, text in enumerate(texts.slice(a, 512).to_pylist(), a):
+                rows, total, start, length, ids, copy = [], [], [], [], [], []
+                for k, (doc, text) in enumerate(zip(docs.slice(a, 512).to_pylist(),
+                                                    texts.slice(a, 512).to_pylist()), a):
+                    key = hash((str(doc), text))
+                    seen[key] = seen.get(key, -1) + 1
                     coded = np.array(tokenizer.ids(text) + [END_ID], np.uint16)
                     for b in range(0, len(coded), window):
                         part = coded[b:b + window]
@@ -195,14 +202,15 @@ def tokenised_parts(df: DataFrame, tokenizer: Tokenizer, text_col: str = "text",
                         start.append(b)
                         length.append(len(part))
                         ids.append(part.tobytes())
+                        copy.append(seen[key])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(total, pa.int64()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(ids, pa.binary())],
-                    names=["doc_id", "doc_tokens", "start", "length", "ids"])
+                     pa.array(ids, pa.binary()), pa.array(copy, pa.int64())],
+                    names=["doc_id", "doc_tokens", "start", "length", "ids", "copy"])
 
     return source.mapInArrow(run, f"doc_id {kind}, doc_tokens bigint, start bigint, "
-                                  "length bigint, ids binary")
+                                  "length bigint, ids binary, copy bigint")
 
 
 def pack_documents(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
@@ -224,13 +232,14 @@ def pack_documents(df: DataFrame, rank_path: str, pattern: str, text_col: str =
             full = [n == window for n in batch.column(3).to_pylist()]
             kept = [None if f and not with_ids else x for f, x in zip(full, raw)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(kept, pa.binary()), pa.array(sums, pa.int64())],
-                names=["doc_id", "doc_tokens", "start", "length", "ids", "crc"])
+                [*batch.columns[:4], pa.array(kept, pa.binary()), batch.column(5),
+                 pa.array(sums, pa.int64())],
+                names=["doc_id", "doc_tokens", "start", "length", "ids", "copy", "crc"])
 
     parts = parts.mapInArrow(summed, f"doc_id {kind}, doc_tokens bigint, start bigint, "
-                                     "length bigint, ids binary, crc bigint")
-    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc"),
-                                           F.lit(groups)))
+                                     "length bigint, ids binary, copy bigint, crc bigint")
+    dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc", "start", "copy"),
+                                           F.lit(groups))).drop("copy")
 
     def pack(table: pa.Table) -> pa.Table:
         group = table.column("grp")[0].as_py()
