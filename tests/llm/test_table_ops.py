@@ -130,6 +130,18 @@ def test_jaccard_keep_one(docs):
     assert jaccard_join.join_documents(docs.limit(0)).count() == 0
 
 
+def test_jaccard_keep_one_where_texts_share_an_id(spark):
+    def text(name, changed=0):
+        return " ".join(f"{name}{k}" if k >= changed else f"{name}new{k}" for k in range(60))
+    rows = [(None, text("a")), (None, text("a", 2)), (None, text("b")), (None, text("b") + " "), (None, ""), (None, ""),
+            (None, None), (3, text("c")), (5, text("c", 2)), (5, text("d")), (5, text("e")), (5, text("e", 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard_join.keep_one(df).collect()
+    assert Counter((r.doc_id, (r.text or "").strip()[:1], r.text is None) for r in kept) == Counter(
+        [(None, "a", False), (None, "b", False), (None, "", False), (None, "", True), (3, "c", False),
+         (5, "d", False), (5, "e", False)])
+
+
 def test_bayesian_pruning_keeps_what_may_reach_the_threshold():
     least = jaccard_join.least_matches(0.8)
     assert all(0 < k < 0.8 * h for h, k in least.items())

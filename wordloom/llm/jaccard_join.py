@@ -213,9 +213,11 @@ class Block:
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                  bands: bool = True) -> DataFrame:
-    """``doc_id, n_shingles, digest`` (null without shingles) and band keys."""
+    """``doc_id, n_shingles, digest`` (null without shingles), band keys and the
+    hash of the text."""
     source = df.select(F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
+                       F.xxhash64(text_col).alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -232,10 +234,12 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array(digest, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=["doc_id", "n_shingles", "digest", "bands"])
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                     batch.column(2).slice(a, b - a)],
+                    names=["doc_id", "n_shingles", "digest", "bands", "text_hash"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>")
+    return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, "
+                                  "bands array<bigint>, text_hash bigint")
 
 
 def _candidate_components(classes: DataFrame) -> DataFrame:
@@ -314,6 +318,13 @@ def _compare_components(df: DataFrame, classes: DataFrame, member: DataFrame, te
 
 def join_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, class_id, n_copies, n_links, group_id`` of every document."""
+    return _joined(df, text_col, id_col).drop("text_hash", "root")
+
+
+def _joined(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """The rows of ``join_documents`` with the hash of the text and ``root``, a
+    number of the group (null without shingles); several groups may have the
+    same smallest doc_id."""
     prints = stash(fingerprints(df, text_col, id_col), "prints")
     classes = (prints.where("digest is not null").groupBy("digest")
                .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"),
@@ -326,22 +337,28 @@ def join_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     group = components(found.where("other is not null"), "node", "other")
     ids = group.join(classes.select("node", "class_id"), "node")
     smallest = ids.groupBy("root").agg(F.min("class_id").alias("group_id"))
-    group = ids.join(smallest, "root").select("node", "group_id")
+    group = ids.join(smallest, "root").select("node", "root", "group_id")
     info = (classes.select("node", "digest", "class_id", "n_copies").join(links, "node", "left")
             .join(group, "node", "left")
             .select("digest", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    F.coalesce("group_id", "class_id").alias("group_id")))
-    return prints.select("doc_id", "digest").join(info, "digest", "left").select(
+                    F.coalesce("group_id", "class_id").alias("group_id"),
+                    F.coalesce("root", "node").alias("root")))
+    return prints.select("doc_id", "digest", "text_hash").join(info, "digest", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("group_id", "doc_id").alias("group_id"))
+        F.coalesce("group_id", "doc_id").alias("group_id"), "text_hash", "root")
 
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that represent their group (smallest doc_id; a row
-    that repeats doc_id and text is kept once)."""
-    first = join_documents(df, text_col, id_col).where("doc_id <=> group_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    kept = df.join(first, df[id_col].eqNullSafe(first["_kept"]), "left_semi")
-    return kept.withColumn("_text", F.xxhash64(text_col)).dropDuplicates([id_col, "_text"]).drop("_text")
+    """The rows of ``df`` that represent their group (smallest doc_id, and of
+    its texts the one of the smallest hash; a row that repeats doc_id and text is
+    kept once)."""
+    alone = F.when(F.col("root").isNull(), F.col("text_hash"))
+    first = (_joined(df, text_col, id_col).where("doc_id <=> group_id")
+             .groupBy("root", alone.alias("alone"), F.col("doc_id").alias("_kept"))
+             .agg(F.min("text_hash").alias("_hash")).select("_kept", "_hash"))
+    rows = df.withColumn("_text", F.xxhash64(text_col))
+    kept = rows.join(first, rows[id_col].eqNullSafe(first["_kept"])
+                     & (rows["_text"] == first["_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_text"]).drop("_text")
