@@ -1,6 +1,6 @@
 """Plan-shape regression tests: the properties the scale design relies on."""
 
-from conftest import SF001
+from fixture_paths import SF001
 from wordloom.plans.catalog import QUERIES
 
 

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, SF01
+from fixture_paths import SF001, SF01
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry_mod

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from fixture_paths import SF001
 from wordloom.operators.reshape import lift
 from wordloom.sources.tables import (corpus_item, file_catalog, flatten, lines, nest, read_csv,
                                      read_table)
