@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
-from . import (chat_format, jaccard_join, line_dedup, packing, pii, quality_rules,
-               sentencepiece_codec, token_counts, topk_search, url_filter)
+from . import (chat_format, jaccard_join, lexical_search, line_dedup, packing, pii, quality_rules,
+               sentencepiece_codec, spelling, substring_dedup, token_counts, topk_search, url_filter)
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a repeated window of 35 words, and the rest's digest."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup_documents(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word."""
+    return spelling.variant_groups(spelling.word_counts(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_topk_search": op1_topk_search,
     "op2_sentencepiece": op2_sentencepiece,
@@ -81,6 +98,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_pii": op9_pii,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE = {
@@ -88,4 +108,7 @@ ORACLE = {
     "op1_topk_search": topk_search.ORACLE,
     "op5_url_filters": url_filter.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
+    "op12_substring_dedup": substring_dedup.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
