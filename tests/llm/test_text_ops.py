@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from wordloom.llm import chat_format as chat
 from wordloom.llm import packing, pii, pii_labels
-from wordloom.llm.pieces import PieceModel
+from wordloom.llm.pieces import MARK, PieceModel
 from wordloom.llm.sentencepiece_codec import Encoder, decode, decode_documents, encode_documents
 from wordloom.llm.token_counts import Counter, count_documents
 
@@ -215,3 +215,21 @@ def test_viterbi_equals_the_best_path_by_enumeration():
     best = max(product(range(len(pii.LABELS)), repeat=words.size), key=lambda p: field.start[p[0]]
                + sum(scores[i, x] for i, x in enumerate(p)) + sum(field.moves[a, b] for a, b in zip(p, p[1:])))
     assert tuple(field.decode(words)) == best
+
+
+def test_a_long_unit_behind_spaces_takes_one_pass(model, library):
+    import random
+    import time
+    r = random.Random(3)
+    counter = Counter(model)
+    for _ in range(300):
+        unit = " " * r.randint(0, 40) + "".join(r.choice("thetionsaéx漢") for _ in range(r.randint(0, 9)))
+        want = [0] + [len(model.merged_ids(MARK + unit[:k].replace(" ", MARK))) for k in range(len(unit) + 1)]
+        assert counter.prefix_counts(unit) == want
+    text = "a  " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    started = time.time()
+    (words,) = counter.words([text])
+    assert counter.total(words) == len(library.encode(text)) > 4096
+    fit = counter.fitting(words, 4096)
+    assert time.time() - started < 30
+    assert len(library.encode(text[:fit])) <= 4096 < len(library.encode(text[:fit + 1]))

@@ -42,7 +42,7 @@ class PieceModel:
         self.bytes_id = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         skip = special | set(self.bytes_id)
         self.ids = {sp.id_to_piece(i): i for i in range(n) if i not in skip}
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
+        if any(MARK in p.lstrip(MARK) or MARK * 2 in p and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece goes on behind a space; words cannot be segmented alone")
         self.rank = {p: -sp.get_score(i) for p, i in self.ids.items() if len(p) > 1}
         # what a piece decodes to
@@ -64,11 +64,42 @@ class PieceModel:
                     if len(part) > 1 and self.rank[part] >= self.rank[p]:
                         raise ValueError("a piece ranks before one of its own parts")
         self.rank = {p: r for p, r in self.rank.items() if p in self.split}
+        self._count_runs()
         self.text = {i: p for p, i in self.ids.items()}
         self.score = {i: sp.get_score(i) for i in self.text}
         self.starts = {p[:k] for p in self.ids for k in range(len(p) + 1)}
         self._reset()
 
+    def _count_runs(self) -> None:
+        """Pieces of a run of marks: the longest piece again and again, then a
+        remainder.  Marks merge after everything else, so a run does not
+        depend on the text behind it (both checked)."""
+        runs = [p for p in self.rank if MARK * 2 in p]
+        if runs and min(self.rank[p] for p in runs) <= max(
+                (r for p, r in self.rank.items() if MARK * 2 not in p), default=0):
+            raise ValueError("marks merge before a piece of text")
+        self.longest_run = max(map(len, runs), default=1)
+        self.run_rest = [len(self.merge(MARK * k)[0]) for k in range(self.longest_run)]
+        if any(len(self.merge(MARK * k)[0]) != self.run_count(k) for k in range(4 * self.longest_run)):
+            raise ValueError("runs of marks do not repeat")
+
+    def run_count(self, marks: int) -> int:
+        """Tokens of a run of marks."""
+        return marks // self.longest_run + self.run_rest[marks % self.longest_run]
+
+    def prefix_counts(self, marks: int, word: str) -> list[int]:
+        """Tokens of the first 0, 1, 2 ... characters of ``marks`` marks and a
+        word, from one forward pass."""
+        out = [self.run_count(k) for k in range(marks + 1)]
+        for _, _, back, count, _ in self.walk([MARK + word] if word else []):
+            # where the first piece of every prefix ends; a lone mark belongs to the run
+            first = [0, 1]
+            for i in range(2, len(word) + 2):
+                first.append(first[back[i]] if back[i] else i)
+                alone = first[i] == 1
+                out.append(self.run_count(marks - (not alone)) + count[i] - alone)
+        return out
+
     def _reset(self) -> None:
         self.root = _Node("", ())
         self.nodes = {"": self.root}

@@ -2,8 +2,9 @@
 
 The forward pass of ``pieces`` stores the exact number of tokens of every
 prefix of a word; words do not influence each other, so the count of any
-prefix of a text is a sum of word counts and one stored prefix count.  The
-longest prefix within a budget is read off those numbers; nothing is encoded
+prefix of a text is a sum of word counts and one stored prefix count.  Behind
+a run of spaces the run and the word are counted apart (the model merges marks
+last), so a unit of any length takes one pass.  The longest prefix within a budget is read off those numbers; nothing is encoded
 again.
 
 Texts: null counts as empty (0 bytes, 0 tokens).  Rows are independent:
@@ -21,9 +22,6 @@ from pyspark.sql import DataFrame
 from .pieces import MARK, PieceModel, load
 from .sentencepiece_codec import REMEMBER, slices, units
 
-#: a longest piece of the model has this many marks
-LONGEST_RUN = 16
-
 
 class Counter:
     """Counts tokens of texts and of their prefixes, remembering words (bounded)."""
@@ -55,10 +53,8 @@ class Counter:
 
     def prefix_counts(self, unit: str) -> list[int]:
         """Tokens of the first 0, 1, 2 … characters of a marked unit."""
-        if unit and unit[0] != " ":
-            for _, _, _, count, _ in self.model.walk([MARK + unit]):
-                return list(count)
-        return [0] + [self._merged(unit[:k]) for k in range(len(unit) + 1)]
+        word = unit.lstrip(" ")
+        return self.model.prefix_counts(1 + len(unit) - len(word), word)
 
     def fitting(self, words: list[str], limit: int) -> int:
         """Characters of the longest prefix of the text with at most ``limit`` tokens."""
@@ -75,14 +71,7 @@ class Counter:
         before = ends[at - 1] if at else 0
         chars = sum(map(len, words[:at])) + max(0, at - 1)
         unit, room = words[at], limit - before
-        if unit and unit[0] != " ":
-            counts = self.prefix_counts(unit)
-            best = max(k for k, c in enumerate(counts) if c <= room)
-        else:
-            # counted with the mark; a run holds at most LONGEST_RUN marks a token
-            best = min(len(unit) + 1, LONGEST_RUN * room + len(unit.lstrip(" ")))
-            while best > 1 and self._merged(unit[:best - 1]) > room:
-                best -= 1
+        best = max(k for k, c in enumerate(self.prefix_counts(unit)) if c <= room)
         # ``best`` counts the unit's own mark: a space of the text, but for the first unit
         return chars + (best if at else max(0, best - 1))
 
