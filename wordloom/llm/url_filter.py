@@ -66,7 +66,8 @@ def longest_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> tu
 
 
 def _place(key: Column, level: int, hash_no: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level), F.lit(hash_no)), F.lit(bits))
+    # the key is hashed last: keys that collide on one level part on the next
+    return F.pmod(F.xxhash64(F.lit(level), F.lit(hash_no), key), F.lit(bits))
 
 
 class Level:
