@@ -229,3 +229,36 @@ def test_pipeline_against_its_stages_by_brute_force(spark):
     tok = Tokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     want = {i: len(tok.ids(pii.mask(texts[i], pii.find(field, [texts[i]])[0][1]))) + 1 for i in left}
     assert dict(got) == want
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    words = [" ".join(f"d{d}w{k}" for k in range(60)) for d in range(6)]
+    rows = [(d, t + "\n" + ("one line that all of them share" if d % 2 else f"line {d}"), "src0", 9, d, -d, "x", "y", "z", "k")
+            for d, t in enumerate(words)] + [(9, None, "src1", 0, 9, -9, "x", "y", "z", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, `a.b` int, _cut int, "
+                                       "_text string, held string, row string, kept string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert sorted(r["a.b"] for r in docs.collect()) == list(range(6)), name
+        assert all(r["_cut"] == -r["a.b"] and r["_text"] == "x" and r["held"] == "y" and r["kept"] == "k" for r in docs.collect())
+
+
+def test_a_stage_leaves_the_tables_of_other_queries(spark):
+    other = catalog.QUERIES["op6_quality_rules"](spark, SF001)
+    n = other.count()
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    corpus_pipeline.quality(spark, docs, SF001)
+    corpus_pipeline.lines(spark, docs, SF001)
+    assert other.count() == n
+
+
+def test_texts_under_one_id_are_compared_by_their_own_source(spark):
+    base = [" ".join(f"b{g}x{k}" for k in range(50)) for g in range(40)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base] + [(7, t + " other end") for t in base]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(4)
+    out = jaccard_join.join_documents(df).collect()
+    assert len(out) == 240 and all(r.n_links == 2 and r.n_copies == 2 for r in out)

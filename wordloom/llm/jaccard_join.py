@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import stash
+from .scratch import quoted, stash, unused
 from .sentencepiece_codec import slices
 
 SHINGLE_WORDS = 5
@@ -215,9 +215,9 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                  bands: bool = True) -> DataFrame:
     """``doc_id, n_shingles, digest`` (null without shingles), band keys and the
     hash of the text."""
-    source = df.select(F.col(id_col).alias("doc_id"),
-                       F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"),
-                       F.xxhash64(text_col).alias("text_hash"))
+    source = df.select(F.col(quoted(id_col)).alias("doc_id"),
+                       F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("_text"),
+                       F.xxhash64(quoted(text_col)).alias("text_hash"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -255,7 +255,7 @@ def _compare_components(df: DataFrame, classes: DataFrame, member: DataFrame, te
                         id_col: str) -> DataFrame:
     """``node, links, other``: links of a class found in one task (to be added
     up), or an edge of a spanning forest (``other`` not null)."""
-    member = member.join(classes.select("node", "class_id", "digest", "n_shingles"), "node")
+    member = member.join(classes.select("node", "class_id", "text_hash", "digest", "n_shingles"), "node")
     sizes = member.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS),
                    F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"),
@@ -267,10 +267,12 @@ def _compare_components(df: DataFrame, classes: DataFrame, member: DataFrame, te
     # small components share a task; a large one has a task for each pair of its blocks
     mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
     member = member.withColumn("block", mine)
-    texts = df.select(F.col(id_col).alias("class_id"),
-                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    full = member.join(texts, member["class_id"].eqNullSafe(texts["class_id"])).select(
-        "node", "root", "blocks", "block", "digest", "text")
+    # a class has one source: the texts of its doc_id are told apart by their hash
+    texts = df.select(F.col(quoted(id_col)).alias("class_id"), F.xxhash64(quoted(text_col)).alias("text_hash"),
+                      F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
+    full = member.join(texts, member["class_id"].eqNullSafe(texts["class_id"])
+                       & (member["text_hash"] == texts["text_hash"])).select(
+        "node", "root", "blocks", "block", "digest", "text").dropDuplicates(["node"])
     dealt = (full.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("node", "root", "block", "digest", "text",
                      F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins)) - bins)
@@ -326,11 +328,14 @@ def _joined(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     number of the group (null without shingles); several groups may have the
     same smallest doc_id."""
     prints = stash(fingerprints(df, text_col, id_col), "prints")
+    source = F.struct("doc_id", "text_hash")
     classes = (prints.where("digest is not null").groupBy("digest")
-               .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"),
+               .agg(F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), source)), F.min(source)).alias("source"),
+                    F.count(F.lit(1)).alias("n_copies"),
                     F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     # numbered as they are written: the numbers are read, never computed again
-    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = stash(classes.select(F.col("source.doc_id").alias("class_id"), "source.text_hash", "digest", "n_copies",
+                                   "n_shingles", "bands", F.monotonically_increasing_id().alias("node")), "classes")
     member = _candidate_components(classes)
     found = stash(_compare_components(df, classes, member, text_col, id_col), "links")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
@@ -358,7 +363,9 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     first = (_joined(df, text_col, id_col).where("doc_id <=> group_id")
              .groupBy("root", alone.alias("alone"), F.col("doc_id").alias("_kept"))
              .agg(F.min("text_hash").alias("_hash")).select("_kept", "_hash"))
-    rows = df.withColumn("_text", F.xxhash64(text_col))
-    kept = rows.join(first, rows[id_col].eqNullSafe(first["_kept"])
-                     & (rows["_text"] == first["_hash"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text"]).drop("_text")
+    doc, digest = unused(df, "kept", "digest")
+    first = first.select(F.col("_kept").alias(doc), F.col("_hash").alias(digest + "_"))
+    rows = df.withColumn(digest, F.xxhash64(quoted(text_col)))
+    kept = rows.join(first, rows[quoted(id_col)].eqNullSafe(first[doc])
+                     & (rows[digest] == first[digest + "_"]), "left_semi")
+    return kept.dropDuplicates([id_col, digest]).drop(digest)

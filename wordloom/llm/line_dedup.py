@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stash
+from .scratch import quoted, stash, unused
 from .url_filter import MAX_BITS, Level
 
 CELLS = 1 << 20
@@ -52,7 +52,7 @@ WIDE_ROW = [f"w{i}" for i in range(WIDE)]
 
 
 def _doc(df: DataFrame, text_col: str, id_col: str) -> list[Column]:
-    return [F.coalesce(df[id_col].cast("long"), F.lit(-2**63)), F.xxhash64(df[text_col])]
+    return [F.coalesce(df[f"`{id_col}`"].cast("long"), F.lit(-2**63)), F.xxhash64(df[f"`{text_col}`"])]
 
 
 def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -243,14 +243,15 @@ def judged_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 def dedup_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``df`` without the removed lines; a document that had words and lost
     every line with a word goes."""
-    removed = removed_lines(df, text_col, id_col).select(
-        F.col("doc").alias("_doc"), F.col("row").alias("_hash"), F.col("lines").alias("_cut"))
-    doc, row = _doc(df, text_col, id_col)
-    joined = df.join(removed, (doc == removed["_doc"]) & (row == removed["_hash"]), "left")
-    joined = joined.withColumn("_lines", F.split(text_col, "\n"))
-    numbers = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.transform(F.array_except(numbers, F.col("_cut")), lambda i: F.get(F.col("_lines"), i))
-    out = joined.withColumn("_kept", F.when(F.col("_cut").isNull(), F.col(text_col))
-                            .otherwise(F.array_join(kept, "\n")))
-    out = out.where(F.col("_cut").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else df[c] for c in df.columns])
+    removed = removed_lines(df, text_col, id_col)
+    others = [c for c in df.columns if c != text_col]
+    # the columns travel as one, whatever their names are
+    held = df.select(F.struct(F.lit(0).alias(unused(df, "_")[0]), *[F.col(quoted(c)) for c in others]).alias("held"),
+                     F.col(quoted(text_col)).alias("text"),
+                     *[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)])
+    joined = held.join(removed, DOC, "left").withColumn("all", F.split("text", "\n"))
+    numbers = F.sequence(F.lit(0), F.size("all") - 1)
+    kept = F.transform(F.array_except(numbers, F.col("lines")), lambda i: F.get(F.col("all"), i))
+    out = joined.withColumn("kept", F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = out.where(F.col("lines").isNull() | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"held.{quoted(c)}") for c in df.columns])

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_labels
+from .scratch import quoted, unused
 from .sentencepiece_codec import slices
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -392,17 +393,20 @@ def mask(text: str, spans: list[list[tuple[int, int]]]) -> str:
 def mask_documents(df: DataFrame, text_col: str = "text", lines: list[str] | None = None) -> DataFrame:
     """``df`` with the personal data of ``text_col`` masked (null stays null)."""
     field = df.sparkSession.sparkContext.broadcast(trained(lines))
-    at = df.columns.index(text_col)
+    others = [c for c in df.columns if c != text_col]
+    # the other columns travel as one, whatever their names are
+    held = df.select(F.struct(F.lit(0).alias(unused(df, "_")[0]), *[F.col(quoted(c)) for c in others]).alias("held"),
+                     F.col(quoted(text_col)).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices(texts, 4_000_000):
                 part = texts[a:b]
                 found = find(field.value, [t or "" for t in part])
                 clean = [None if t is None else mask(t, every) for t, (_, every) in zip(part, found)]
-                cols = [c.slice(a, b - a) for c in batch.columns]
-                cols[at] = pa.array(clean, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(clean, pa.string())],
+                                                 names=["held", "text"])
 
-    return df.mapInArrow(run, df.schema)
+    out = held.mapInArrow(run, held.schema)
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"held.{quoted(c)}") for c in df.columns])

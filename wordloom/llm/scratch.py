@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +25,26 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The files cut the lineage, survive lost executors and keep column pruning
-    for every later reader.  They are removed by ``clear`` or when the driver
-    ends.
+    for every later reader.  They are removed when the driver ends, or by the
+    caller that gathers their paths (``gathering``).
     """
     path = table_path(df.sparkSession, name)
-    _made.append(path)
+    if (paths := _paths.get()) is not None:
+        paths.append(path)
     return written(df, path)
 
 
-#: tables of ``stash`` that are still there
-_made: list[str] = []
+_paths: ContextVar[list[str] | None] = ContextVar("paths", default=None)
+
+
+@contextmanager
+def gathering(paths: list[str]):
+    """Paths of the tables that ``stash`` writes inside the block go to ``paths``."""
+    token = _paths.set(paths)
+    try:
+        yield paths
+    finally:
+        _paths.reset(token)
 
 
 def table_path(spark: SparkSession, name: str) -> str:
@@ -47,13 +59,23 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove the tables of ``stash``; for callers whose results are written."""
-    while _made:
-        remove(spark, _made.pop())
-
-
 def remove(spark: SparkSession, path: str) -> None:
     if SparkContext._active_spark_context is spark.sparkContext:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def quoted(name: str) -> str:
+    """A column name for ``F.col``, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where ``df`` has columns called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
