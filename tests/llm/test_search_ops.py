@@ -119,7 +119,7 @@ def brute_search(rows, items, k):
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk,block", [(4_000_000, 4_000_000), (60, 300)])
+@pytest.mark.parametrize("chunk,block", [(4_000_000, 4_000_000), (60, 9000)])
 def test_lexical_search_against_all_scores(spark, texts, monkeypatch, chunk, block):
     monkeypatch.setattr(lexical_search, "CHUNK_TERMS", chunk)
     monkeypatch.setattr(lexical_search, "PART", 50)

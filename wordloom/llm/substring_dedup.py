@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stash
+from .scratch import quoted, stash, unused
 
 #: words of a gram that can be an anchor
 GRAM = 8
@@ -66,17 +66,6 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, made longer where ``df`` has columns called so."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        while n.lower() in taken:
-            n += "_"
-        out.append(n)
-    return out
-
-
 def _doc(df: DataFrame, text_col: str, id_col: str) -> list[Column]:
     return [F.coalesce(df[f"`{id_col}`"].cast("long"), F.lit(-2**63)).alias("doc"),
             F.xxhash64(df[f"`{text_col}`"]).alias("row")]
@@ -375,7 +364,8 @@ def repeated_spans(df: DataFrame, window: int = 35, text_col: str = "text", id_c
     """``doc, row, spans``: the spans (from word ``a`` to before word ``b``) of
     every document that has any; they may overlap."""
     every = stash(_occurrences(df, text_col, id_col, window), "sub-runs")
-    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    # written, so that Spark can split the join's tasks at a very common anchor
+    twice = stash(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"), "sub-twice")
     some = stash(every.join(twice, "anchor").withColumnRenamed("anchor", "key"), "sub-some")
     pieces = stash(some.groupBy("key", "piece").agg(
         F.count(F.lit(1)).alias("weight"), F.min(F.struct(*DOC, "start", "n")).alias("at")), "sub-pieces")
@@ -390,8 +380,8 @@ def repeated_spans(df: DataFrame, window: int = 35, text_col: str = "text", id_c
     spans = stash(spans, "sub-spans")
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"),
                                                     (s["b"] + F.col("start")).alias("b")))
-    return (some.join(spans, ["key", "piece"]).select(*DOC, moved.alias("spans"))
-            .groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    return stash(some.join(spans, ["key", "piece"]).select(*DOC, moved.alias("spans"))
+                 .groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans")), "sub-found")
 
 
 def dedup_documents(df: DataFrame, window: int = 35, text_col: str = "text", id_col: str = "doc_id",
@@ -405,7 +395,7 @@ def _without(df: DataFrame, found: DataFrame, text_col: str, id_col: str, keep:
     keep = list(df.columns) if keep is None else keep
     row, doc, digest, spans, text = unused(df, "row", "doc", "digest", "spans", "words")
     others = [c for c in keep if c != text_col]
-    held = df.select(F.struct(*[df[f"`{c}`"] for c in others]).alias(row) if others else F.struct(F.lit(0)).alias(row),
+    held = df.select(F.struct(F.lit(0).alias(unused(df, "_")[0]), *[F.col(quoted(c)) for c in others]).alias(row),
                      *[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), (doc, digest))],
                      df[f"`{text_col}`"].cast("string").alias(text))
     found = found.select(F.col("doc").alias(doc), F.col("row").alias(digest), F.col("spans").alias(spans))
@@ -441,7 +431,7 @@ def _without(df: DataFrame, found: DataFrame, text_col: str, id_col: str, keep:
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     out = joined.mapInArrow(cut, schema)
     names = [c for c in keep if c not in ("n_words", "n_removed")]
-    return out.select(*[F.col("t").alias(c) if c == text_col else F.col(f"r.`{c}`") for c in names],
+    return out.select(*[F.col("t").alias(c) if c == text_col else F.col(f"r.{quoted(c)}") for c in names],
                       "n_words", "n_removed")
 
 
