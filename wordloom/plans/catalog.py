@@ -753,8 +753,7 @@ def s7_doc_term_counts(spark, sf_dir):
 def _lda(spark, sf_dir):
     arrays = topics.token_arrays(documents(spark, sf_dir, cols=("doc_id", "text")), "doc_id",
                                  drop=list(STOP_WORDS))
-    cv, model = topics.fit_lda(arrays, "doc_id", k=LDA_K, seed=LDA_SEED, max_iter=10)
-    return topics.topic_beta(spark, cv, model)
+    return topics.fit_vem(topics.term_counts(arrays, "doc_id"), k=LDA_K, seed=LDA_SEED).beta
 
 
 @register("m4_topic_beta")

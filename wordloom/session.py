@@ -50,3 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder for written intermediate tables that all executors share."""
+    return ensure_checkpoint_dir(spark).rstrip("/")
