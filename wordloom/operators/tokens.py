@@ -11,18 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import boundary_tokens, tokens
 
 
 def unnest_tokens(df: DataFrame, text_col: str = "text", out: str = "word",
-                  position: str | None = None) -> DataFrame:
+                  position: str | None = None, boundaries: bool = False) -> DataFrame:
     """One row per token; the text column is dropped, the others kept.
 
-    ``position`` (optional) names a 0-based token position column.
-    Documents without tokens give no rows.
+    ``position`` (optional) names a 0-based token position column;
+    ``boundaries`` cuts by the Unicode word boundary rules.  Documents without
+    tokens give no rows.
     """
     keep = [c for c in df.columns if c != text_col]
-    toks = tokens(text_col)
+    toks = boundary_tokens(text_col) if boundaries else tokens(text_col)
     if position:
         return df.select(*keep, F.posexplode(toks).alias(position, out))
     return df.select(*keep, F.explode(toks).alias(out))

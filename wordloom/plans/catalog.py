@@ -8,12 +8,14 @@ on doubles use the rounded value so last-bit differences cannot move ties.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (extract_word, log10_axis, percent_label, recode, round_half_even,
+from ..functions import text as text_functions
+from ..functions.text import (NOT_A_WORD, boundary_pattern, extract_word, log10_axis, percent_label, recode, round_half_even,
                               separate, unite, url_id)
 from ..operators import freq, graph, language, reshape, sentiment, stats, topics
 from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
@@ -88,6 +90,40 @@ def c9_group_word_counts(spark, sf_dir):
     return freq.count_by(tidy_tokens(spark, sf_dir), GROUP, "word")
 
 
+# ------------------------------------------------------------------ X1
+def sql_boundary_pattern() -> str:
+    """The boundary pattern for an engine without class subtraction."""
+    def ranges(wanted):
+        out: list[list[int]] = []
+        for c in filter(wanted, range(0x110000)):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+    def inside(c, *tables):
+        return any(a <= c <= b for t in tables for a, b in t)
+
+    letters = {c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl")}
+    return boundary_pattern(
+        ranges(lambda c: c in letters and not inside(c, text_functions.KATAKANA, text_functions.UNSPACED)),
+        ranges(lambda c: c in letters and inside(c, text_functions.UNSPACED)),
+        ranges(lambda c: unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Cf")
+               and c != text_functions.ZERO_WIDTH_SPACE))
+
+
+@register("x1_boundary_words", rf"""
+SELECT source, word, count(*) AS n FROM (
+  SELECT source, unnest(regexp_extract_all(lower(text), '{sql_boundary_pattern()}')) AS word FROM documents)
+WHERE NOT regexp_matches(word, '{NOT_A_WORD}') GROUP BY ALL
+""")
+def x1_boundary_words(spark, sf_dir):
+    """Word counts per group of all languages, words cut by the Unicode boundary rules."""
+    toks = unnest_tokens(documents(spark, sf_dir, lang=None), boundaries=True)
+    return freq.count_by(toks, GROUP, "word")
+
+
 # ------------------------------------------------------------------ C10
 @register("c10_frequent_words", with_base("""
 SELECT source, word, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n, word) AS INTEGER) AS ord
