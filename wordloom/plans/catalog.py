@@ -18,7 +18,8 @@ from ..functions import text as text_functions
 from ..functions.text import (NOT_A_WORD, boundary_pattern, extract_word, log10_axis, percent_label, recode, round_half_even,
                               separate, unite, url_id)
 from ..operators import freq, graph, language, reshape, sentiment, stats, topics
-from ..operators.pairwise import pairwise_cor, pairwise_cor_anchored
+from ..operators.pairwise import (never_together, pairwise_cor, pairwise_cor_above, pairwise_cor_anchored,
+                                  pairwise_cor_full)
 from ..operators.tokens import anti_join_words, remove_stop_words, unnest_ngrams, unnest_tokens
 from ..sources.lexicons import STOP_WORDS, with_custom_words
 from ..sources.tables import corpus_item, lines, read_table, spread
@@ -582,6 +583,38 @@ def c19_pairwise_cor(spark, sf_dir):
     return out.select("item1", "item2", F.round("correlation", R).alias("correlation"))
 
 
+@register("a10_pairwise_cor_full", with_base(
+    "SELECT item1, item2, round(correlation, 9) AS correlation FROM phi", _PHI_SQL))
+def a10_pairwise_cor_full(spark, sf_dir):
+    """Phi correlation of all ordered pairs of frequent words, those that never
+    occur together included."""
+    out = pairwise_cor_full(review_tokens(spark, sf_dir), "word", "doc_id")
+    return out.select("item1", "item2", F.round("correlation", R).alias("correlation"))
+
+
+@register("a10_never_together", with_base("""
+SELECT n1, n2, count(*) AS pairs, round(any_value(correlation), 9) AS correlation FROM (
+  SELECT m1.n AS n1, m2.n AS n2, phi.correlation FROM phi JOIN marg m1 ON m1.item = item1 JOIN marg m2 ON m2.item = item2
+  WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.item1 = phi.item1 AND co.item2 = phi.item2)) GROUP BY n1, n2
+""", _PHI_SQL))
+def a10_never_together(spark, sf_dir):
+    """The ordered pairs of frequent words that never occur together, in classes
+    of equal document counts, with their correlation."""
+    out = never_together(review_tokens(spark, sf_dir), "word", "doc_id")
+    return out.select("n1", "n2", "pairs", F.round("correlation", R).alias("correlation"))
+
+
+PHI_LEAST = 0.5
+
+
+@register("a10_phi_above", with_base(
+    f"SELECT item1, item2, round(correlation, 9) AS correlation FROM phi WHERE correlation >= {PHI_LEAST}", _PHI_SQL))
+def a10_phi_above(spark, sf_dir):
+    """Ordered pairs of frequent words with a phi correlation from the threshold up."""
+    out = pairwise_cor_above(review_tokens(spark, sf_dir), "word", "doc_id", PHI_LEAST)
+    return out.select("item1", "item2", F.round("correlation", R).alias("correlation"))
+
+
 _IN_ANCH = ", ".join(f"'{a}'" for a in ANCHORS)
 _IN_ANCH2 = ", ".join(f"'{a}'" for a in ANCHORS_ITEM2)
 
