@@ -151,3 +151,49 @@ def keep_frequent(df: DataFrame, key: str, min_n: int, weight: str | None = None
     n = F.sum(weight) if weight else F.count(F.lit(1))
     hot = df.groupBy(key).agg(n.alias("_n")).where(F.col("_n") >= min_n)
     return df.join(hot, df[key].eqNullSafe(hot[key]), "left_semi")
+
+
+#: cells of a count gate: its bitmap has a fixed size of CELLS / 8 bytes
+CELLS = 1 << 22
+
+
+def cell_gate(keys: DataFrame, key: Column, least: int, cells: int = CELLS) -> Column:
+    """A condition on ``key`` that holds for every key with ``least`` rows or more
+    in ``keys``, and for few others.
+
+    Rows are counted in a fixed number of hash cells; a key cannot be more
+    frequent than its cell.  The cells that reach ``least`` travel as a bitmap,
+    one scalar of fixed size, so rare keys stop in the stage that makes them
+    and are never shuffled.  Callers count the keys that pass exactly.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(cells))
+    full = (keys.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+            .groupBy(F.shiftright("cell", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")))
+    words = keys.sparkSession.range(cells // 64 + 1).withColumnRenamed("id", "word").join(full, "word", "left")
+    row = words.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+    bits = F.get(row.select(F.col("w.bits").alias("w")).scalar(), F.shiftright(cell, 6).cast("int"))
+    return F.call_function("shiftright", bits, cell.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def count_frequent(df: DataFrame, *keys: str, least: int, name: str = "n", cells: int = CELLS) -> DataFrame:
+    """``count_by`` of the keys with ``least`` rows or more; rows of other keys
+    are dropped before the shuffle, as far as the gate knows them."""
+    gate = cell_gate(df, F.struct(*[F.col(k) for k in keys]), least, cells)
+    return count_by(df.where(gate), *keys, name=name).where(F.col(name) >= least)
+
+
+def frequent_ngrams(grams: DataFrame, group: list[str], words: list[str], least: int,
+                    cells: int = CELLS) -> DataFrame:
+    """Counts of the n-grams (columns ``words``) with ``least`` occurrences or more
+    per group, by Apriori pruning: an n-gram goes on only if all its bigrams
+    may be as frequent.
+
+    Each position of the n-gram has a gate of its own: the pair at position i
+    of an n-gram with ``least`` rows has that many rows at position i as well.
+    """
+    passed = grams
+    for i in range(len(words) - 1):
+        pair = F.struct(*[F.col(c) for c in (*group, words[i], words[i + 1])])
+        passed = passed.where(cell_gate(grams, pair, least, cells))
+    return count_frequent(passed, *group, *words, least=least, cells=cells)

@@ -9,6 +9,7 @@ on doubles use the rounded value so last-bit differences cannot move ties.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from ..operators.pairwise import (never_together, pairwise_cor, pairwise_cor_abo
                                   pairwise_cor_full)
 from ..operators.tokens import anti_join_words, remove_stop_words, unnest_ngrams, unnest_tokens
 from ..sources.lexicons import STOP_WORDS, with_custom_words
-from ..sources.tables import corpus_item, lines, read_table, spread
+from ..session import shared_dir
+from ..sources.tables import (corpus_item, flatten, lines, numbered, read_csv, read_table, spread, write_csv,
+                              written_nested)
 from .common import (CUSTOM_WORDS, GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
                      tidy_tokens, with_base)
 
@@ -687,6 +690,86 @@ def m2_cor_anchor_item2_top_all(spark, sf_dir):
                               "correlation", "item1")
 
 
+# ------------------------------------------------------------------ F4 / F6 with a count gate, O6, S2, S5, S13, W10
+FREQUENT_GRAM = 3
+
+
+@register("f6_gated_bigrams", with_base(f"""
+SELECT source, word1, word2, count(*) AS n FROM bif GROUP BY ALL HAVING count(*) >= {FREQUENT_GRAM}
+""", _NGRAM_SQL))
+def f6_gated_bigrams(spark, sf_dir):
+    """Stop-word-free bigrams with enough occurrences per group; rare ones are
+    stopped by the count gate before the shuffle."""
+    grams = remove_stop_words(_bigrams(spark, sf_dir), stop(), ["word1", "word2"])
+    return freq.count_frequent(grams, GROUP, "word1", "word2", least=FREQUENT_GRAM)
+
+
+@register("f4_frequent_fourgrams", with_base(f"""
+SELECT source, word1, word2, word3, word4, count(*) AS n FROM quad WHERE word1 IS NOT NULL
+GROUP BY ALL HAVING count(*) >= {FREQUENT_GRAM}
+""", _NGRAM_SQL))
+def f4_frequent_fourgrams(spark, sf_dir):
+    """4-grams with enough occurrences per group, pruned by their bigrams."""
+    grams = unnest_ngrams(documents(spark, sf_dir), 4).where("word1 is not null")
+    return freq.frequent_ngrams(grams, [GROUP], ["word1", "word2", "word3", "word4"], FREQUENT_GRAM)
+
+
+@register("o6_gathered_labels", """
+SELECT doc_id, 'quality' AS label, CAST(quality AS BIGINT) AS value FROM labels
+UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS BIGINT) FROM labels
+""")
+def o6_gathered_labels(spark, sf_dir):
+    """The wide table of labels in long form, one row a document and label."""
+    labels = read_table(spark, sf_dir, "labels")
+    wide = labels.select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return reshape.gather(wide, "label", "value", ["quality", "toxic"])
+
+
+@register("s2_csv_reviews", """
+SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(length(text)) AS BIGINT) AS length,
+       CAST(sum(len(text) - len(replace(text, chr(10), ''))) AS BIGINT) AS line_ends
+FROM documents GROUP BY ALL
+""")
+def s2_csv_reviews(spark, sf_dir):
+    """All documents written as CSV (quotes and line ends inside texts) and read
+    back with inferred column types, summed up by language and group."""
+    path = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    write_csv(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), path)
+    back = read_csv(spark, path)
+    ends = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return back.groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("n_chars").cast("long")).alias("n_chars"),
+        F.sum(F.char_length("text").cast("long")).alias("length"), F.sum(ends.cast("long")).alias("line_ends"))
+
+
+@register("s13_nested_roles", """
+SELECT conv_id, role, count(*) AS n, CAST(max(turn) AS BIGINT) AS last_turn FROM conversations GROUP BY ALL
+""")
+def s13_nested_roles(spark, sf_dir):
+    """Turns by role of a stored nested collection (buckets of 64 turns); only
+    the named parts of the nested rows are read, not their texts."""
+    turns = read_table(spark, sf_dir, "conversations")
+    nested = written_nested(turns, "conv_id", "reviews", ["turn", "role", "text"], bucket=F.floor(F.col("turn") / 64))
+    flat = flatten(nested, "reviews", fields=["turn", "role"])
+    return flat.groupBy("conv_id", "role").agg(F.count(F.lit(1)).alias("n"), F.max("turn").cast("long").alias("last_turn"))
+
+
+@register("s5_corpus_middle_item", """
+SELECT idx, url FROM (SELECT CAST(row_number() OVER (ORDER BY url) AS INTEGER) AS idx, url FROM pages) WHERE idx = 40
+""")
+def s5_corpus_middle_item(spark, sf_dir):
+    """Id of the fortieth item of a corpus ordered by id."""
+    return corpus_item(read_table(spark, sf_dir, "pages"), "url", 40, ["url"])
+
+
+@register("w10_global_order", with_base("""
+SELECT word, n, row_number() OVER (ORDER BY n, word) AS ord FROM (SELECT word, count(*) AS n FROM tidy GROUP BY word)
+"""))
+def w10_global_order(spark, sf_dir):
+    """Place of every word in the order of counts over all groups."""
+    return numbered(freq.count_by(tidy_tokens(spark, sf_dir), "word"), "n", "word", name="ord")
+
+
 # ------------------------------------------------------------------ X4 language identification
 def _grams_sql(src: str, key: str) -> str:
     """SQL for ``(key, g, cnt)``: char 1..3-grams of padded distinct tokens."""
