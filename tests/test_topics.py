@@ -117,7 +117,7 @@ def test_iterations_move_no_documents(spark):
     df = spark.createDataFrame([(d, f"w{d % 7}", 1 + d % 3) for d in range(50)], "doc int, term string, n int")
     blocks = (df.selectExpr("doc % 4 as block", "doc", "xxhash64(term) as id", "n").selectExpr("cast(block as bigint) block", "doc", "id", "n")
               .groupBy("block").applyInArrow(topics._pack, "block bigint, ids array<bigint>, idx binary, n binary, ptr binary"))
-    path = f"{topics.shared_dir(spark)}/plan-{np.random.default_rng().integers(1 << 40)}"
+    path = topics.shared_path(spark, "plan")
     blocks.write.bucketBy(4, "block").option("path", path).format("parquet").saveAsTable("plan_blocks")
     try:
         t = spark.table("plan_blocks")

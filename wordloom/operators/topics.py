@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import label, tokens
-from ..session import shared_dir
+from ..session import remove_path, shared_path
 from .reshape import spread
 from .stats import log_ratio
 
@@ -182,7 +182,7 @@ def fit_vem(counts: DataFrame, k: int = 2, seed: int = 123, tolerance: float = T
     Null terms and documents take no part; an empty table gives no betas.
     """
     spark = counts.sparkSession
-    base = f"{shared_dir(spark)}/topics-{uuid.uuid4().hex}"
+    base = shared_path(spark, "topics")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
@@ -224,6 +224,7 @@ def fit_vem(counts: DataFrame, k: int = 2, seed: int = 123, tolerance: float = T
             totals = [row[c] for c in s]
             weights = stats.where("id is not null").groupBy("id").agg(*[F.sum(c).alias(c) for c in s])
             alpha = best_alpha(row["docs"], row["statistic"], k)
+            remove_path(spark, f"{base}/step-{len(bounds) - 1}")
             bounds.append(row["bound"])
             if len(bounds) > 2 and abs((bounds[-2] - bounds[-1]) / bounds[-2]) <= tolerance:
                 break
@@ -234,6 +235,8 @@ def fit_vem(counts: DataFrame, k: int = 2, seed: int = 123, tolerance: float = T
         beta = kept(beta, "beta")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for part in ("blocks", "counts", "start"):
+            remove_path(spark, f"{base}/{part}")
     return TopicModel(beta, alpha, bounds)
 
 

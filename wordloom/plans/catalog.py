@@ -9,7 +9,6 @@ on doubles use the rounded value so last-bit differences cannot move ties.
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from ..operators.pairwise import (never_together, pairwise_cor, pairwise_cor_abo
                                   pairwise_cor_full)
 from ..operators.tokens import anti_join_words, remove_stop_words, unnest_ngrams, unnest_tokens
 from ..sources.lexicons import STOP_WORDS, with_custom_words
-from ..session import shared_dir
+from ..session import shared_path
 from ..sources.tables import (corpus_item, flatten, lines, numbered, read_csv, read_table, spread, write_csv,
                               written_nested)
 from .common import (CUSTOM_WORDS, GROUP, P, afinn, bing, documents, nrc, rated_documents, stop, tidy,
@@ -733,7 +732,7 @@ FROM documents GROUP BY ALL
 def s2_csv_reviews(spark, sf_dir):
     """All documents written as CSV (quotes and line ends inside texts) and read
     back with inferred column types, summed up by language and group."""
-    path = f"{shared_dir(spark)}/reviews-{uuid.uuid4().hex}"
+    path = shared_path(spark, "reviews")
     write_csv(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), path)
     back = read_csv(spark, path)
     ends = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit("")))

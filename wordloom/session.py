@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job relies on.  AQE re-plans joins from runtime sizes (so a
@@ -52,6 +56,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder for written intermediate tables that all executors share."""
-    return ensure_checkpoint_dir(spark).rstrip("/")
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, for an intermediate
+    table; it is removed when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    if SparkContext._active_spark_context is spark.sparkContext:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

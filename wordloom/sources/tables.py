@@ -3,13 +3,11 @@ file catalogs, corpus look-ups and line splitting."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import shared_dir
+from ..session import shared_path
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -77,7 +75,7 @@ def flatten(df: DataFrame, field: str, keep: list[str] | None = None,
 def written_nested(df: DataFrame, key: str, field: str, cols: list[str], bucket=None) -> DataFrame:
     """``nest`` written to the shared folder and read back: a stored collection
     whose readers fetch only the parts they name."""
-    path = f"{shared_dir(df.sparkSession)}/nested-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "nested")
     rows = nest(df, key, field, cols, bucket)
     rows.write.parquet(path)
     return df.sparkSession.read.schema(rows.schema).parquet(path)
@@ -110,7 +108,7 @@ def numbered(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     enough columns to avoid that.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    path = shared_path(spark, "numbered")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_at", F.monotonically_increasing_id()))
