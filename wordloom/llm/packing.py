@@ -176,10 +176,11 @@ def pack_group(lengths: np.ndarray, window: int = WINDOW):
 
 
 def tokenised_parts(df: DataFrame, tokenizer: Tokenizer, text_col: str = "text",
-                    id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+                    id_col: str = "doc_id", window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Whole windows and the remainder of every document:
-    ``doc_id, doc_tokens, start, length, ids`` (little-endian uint16) and
-    ``copy``, the row's number among the equal rows of its input partition."""
+    ``doc_id, doc_tokens, start, length, ids`` (little-endian uint16; null for a
+    whole window without ``with_ids``, which needs no partner), ``copy``, the
+    row's number among the equal rows of its input partition, and ``crc``."""
     source = df.select(F.col(id_col).alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -189,7 +190,7 @@ def tokenised_parts(df: DataFrame, tokenizer: Tokenizer, text_col: str = "text",
         for batch in batches:
             docs, texts = batch.columns
             for a in range(0, batch.num_rows, 512):
-                rows, total, start, length, ids, copy = [], [], [], [], [], []
+                rows, total, start, length, ids, copy, sums = [], [], [], [], [], [], []
                 for k, (doc, text) in enumerate(zip(docs.slice(a, 512).to_pylist(),
                                                     texts.slice(a, 512).to_pylist()), a):
                     key = hash((str(doc), text))
@@ -201,16 +202,17 @@ def tokenised_parts(df: DataFrame, tokenizer: Tokenizer, text_col: str = "text",
                         total.append(len(coded))
                         start.append(b)
                         length.append(len(part))
-                        ids.append(part.tobytes())
+                        ids.append(part.tobytes() if with_ids or len(part) < window else None)
+                        sums.append(crc(part))
                         copy.append(seen[key])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), pa.array(total, pa.int64()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array(copy, pa.int64())],
-                    names=["doc_id", "doc_tokens", "start", "length", "ids", "copy"])
+                     pa.array(ids, pa.binary()), pa.array(copy, pa.int64()), pa.array(sums, pa.int64())],
+                    names=["doc_id", "doc_tokens", "start", "length", "ids", "copy", "crc"])
 
     return source.mapInArrow(run, f"doc_id {kind}, doc_tokens bigint, start bigint, "
-                                  "length bigint, ids binary, copy bigint")
+                                  "length bigint, ids binary, copy bigint, crc bigint")
 
 
 def pack_documents(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
@@ -219,25 +221,11 @@ def pack_documents(df: DataFrame, rank_path: str, pattern: str, text_col: str =
     """Pieces of all documents: ``doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset`` (and ``ids``, little-endian uint16)."""
     groups = max(1, math.ceil(df.count() / group_docs))
-    parts = tokenised_parts(df, Tokenizer(rank_path, pattern), text_col, id_col, window)
-    # a whole window needs no partner: only its check sum travels, unless ids are asked for
+    parts = tokenised_parts(df, Tokenizer(rank_path, pattern), text_col, id_col, window, with_ids)
     kind = parts.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     names += ["ids"] * with_ids
 
-    def summed(batches):
-        for batch in batches:
-            raw = batch.column(4).to_pylist()
-            sums = [crc(np.frombuffer(x, np.uint16)) for x in raw]
-            full = [n == window for n in batch.column(3).to_pylist()]
-            kept = [None if f and not with_ids else x for f, x in zip(full, raw)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array(kept, pa.binary()), batch.column(5),
-                 pa.array(sums, pa.int64())],
-                names=["doc_id", "doc_tokens", "start", "length", "ids", "copy", "crc"])
-
-    parts = parts.mapInArrow(summed, f"doc_id {kind}, doc_tokens bigint, start bigint, "
-                                     "length bigint, ids binary, copy bigint, crc bigint")
     dealt = parts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crc", "start", "copy"),
                                            F.lit(groups))).drop("copy")
 
