@@ -451,33 +451,39 @@ pairs AS (SELECT * FROM frequency WHERE proportion IS NOT NULL AND {BENCH_GROUP}
 """
 
 
-def _bench_and_others(spark, sf_dir):
-    """Share of each word in the benchmark group, and in every other group."""
+def _shares(spark, sf_dir):
+    """Share of each word in its group; all readers share one shuffle of counts."""
     toks = tidy_tokens(spark, sf_dir, custom=True).select(
         F.col(GROUP).alias("author"), extract_word("word").alias("word"))
-    shares = freq.share_within(freq.count_by(toks, "author", "word"), ["author"]).drop("n")
-    bench = shares.where(F.col("author") == BENCH_GROUP).select(
-        F.col("word").alias("bench_word"), F.col("proportion").alias(BENCH_GROUP))
-    return bench, shares.where(F.col("author") != BENCH_GROUP)
+    counts = freq.count_by(toks, "author", "word").select(freq.held("author"), "word", "n")
+    return freq.share_within(counts, ["author"])
 
 
 def paired_shares(spark, sf_dir):
     """Words with a share in both groups (the null word is a word): ``(word,
     author, proportion, <benchmark>)``; groups come from the data."""
-    bench, others = _bench_and_others(spark, sf_dir)
+    shares = _shares(spark, sf_dir).drop("n")
+    bench = shares.where(F.col("author") == BENCH_GROUP).select(
+        F.col("word").alias("bench_word"), F.col("proportion").alias(BENCH_GROUP))
+    others = shares.where(F.col("author") != BENCH_GROUP)
     return others.join(bench, others["word"].eqNullSafe(bench["bench_word"])).drop("bench_word")
 
 
 def frequency_table(spark, sf_dir):
     """The correlogram data: rows with at least one of the two shares (a row
-    with neither holds nothing)."""
-    bench, others = _bench_and_others(spark, sf_dir)
-    both = others.join(bench, others["word"].eqNullSafe(bench["bench_word"]), "left").drop("bench_word")
-    names = others.select(F.sort_array(F.collect_set("author"))).scalar()  # one entry a group
-    grid = bench.select(F.col("bench_word").alias("word"), BENCH_GROUP, F.explode(names).alias("author"))
-    seen = others.select(F.col("word").alias("seen"), F.col("author").alias("in"))
-    only = grid.join(seen, grid["word"].eqNullSafe(seen["seen"]) & (grid["author"] == seen["in"]), "left_anti")
-    return both.unionByName(only.withColumn("proportion", F.lit(None).cast("double")))
+    with neither holds nothing).
+
+    A word's shares meet in one row, an entry a group; a word of the benchmark
+    group is then listed for every other group."""
+    shares = _shares(spark, sf_dir)
+    # one entry a group; the count is read so that the shuffle of counts serves here too
+    names = shares.select(F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.col("author"))))).scalar()
+    entry = F.when(F.col("author") != BENCH_GROUP, F.struct("author", "proportion"))
+    words = shares.groupBy("word").agg(F.max(F.when(F.col("author") == BENCH_GROUP, F.col("proportion"))).alias(BENCH_GROUP),
+                                       F.map_from_entries(F.collect_list(entry)).alias("by"))
+    groups = F.when(F.col(BENCH_GROUP).isNull(), F.map_keys("by")).otherwise(F.array_remove(names, BENCH_GROUP))
+    return (words.select("word", BENCH_GROUP, "by", F.explode(groups).alias("author"))
+            .select("word", BENCH_GROUP, "author", F.try_element_at("by", F.col("author")).alias("proportion")))
 
 
 @register("c2_correlogram", with_base(f"""
