@@ -57,3 +57,11 @@ def test_language_texts_are_tokenised_once(spark):
     plan = _final_plan(QUERIES["x4_language_id"](spark, SF001)).split("== Initial Plan ==")[0]
     assert plan.count("FileScan") == 1 and plan.count("Generate explode(regexp_extract_all") == 1
     assert "ReusedExchange" in plan
+
+
+def test_correlograms_tokenise_once(spark):
+    for name in ("c2_correlogram", "c3_cor_test"):
+        plan = _final_plan(QUERIES[name](spark, SF001)).split("== Initial Plan ==")[0]
+        # c2 reads the counts of its subquery, whose plan is printed apart
+        assert plan.count("Generate explode(regexp_extract_all") <= 1, name
+        assert "ReusedExchange" in plan, name

@@ -122,3 +122,22 @@ def test_topic_log_ratio_rows(spark):
         assert r.topic1 > TOPIC1_LIMIT or r.topic2 > TOPIC2_LIMIT
         if r.topic1 and r.topic2:
             assert math.isclose(r.log_ratio, math.log2(r.topic2 / r.topic1), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_correlogram_of_words_on_one_side_only(spark, tmp_path):
+    from wordloom.plans.catalog import frequency_table
+    rows = [(1, "alpha alpha beta 77", "en", "src0"), (2, "alpha gamma gamma gamma", "en", "src1"),
+            (3, "beta", "en", "src2"), (4, None, "en", "src2"), (5, "alpha", "en", None), (6, "delta", "de", "src3")]
+    def table(rows, name):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return {(r.word, r.author): (r.src0, r.proportion)
+                for r in frequency_table(spark, f"{tmp_path}/{name}").collect()}
+    # 77 holds no letter: its word is null, and a word like the others
+    assert table(rows, "a") == {
+        ("alpha", "src1"): (0.5, 0.25), ("alpha", "src2"): (0.5, None), ("beta", "src1"): (0.25, None),
+        ("beta", "src2"): (0.25, 1.0), (None, "src1"): (0.25, None), (None, "src2"): (0.25, None),
+        ("gamma", "src1"): (None, 0.75)}
+    assert table(rows[:1], "only_benchmark") == {}
+    assert set(table(rows[1:3], "no_benchmark")) == {("alpha", "src1"), ("gamma", "src1"), ("beta", "src2")}
+    assert table(rows[:0], "empty") == {}
