@@ -578,7 +578,7 @@ def review_tokens(spark, sf_dir):
     own, and every branch of the query reads it (one tokenising pass)."""
     docs = documents(spark, sf_dir, cols=("doc_id", "text"), deal=("doc_id", "text"))
     toks = unnest_tokens(docs).select("doc_id", extract_word("word").alias("word"))
-    per_doc = freq.count_by(toks, "word", "doc_id", name="c").select(freq.held("word", "c"), "doc_id", "c")
+    per_doc = freq.count_by(toks, "word", "doc_id", name="c").select(freq.held("word", "c"), freq.held("doc_id", "c"), "c")
     return freq.keep_frequent(per_doc, "word", MIN_WORD_N, weight="c").select("doc_id", "word")
 
 
