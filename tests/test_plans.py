@@ -1,5 +1,7 @@
 """Plan-shape regression tests: the properties the scale design relies on."""
 
+import re
+
 from fixture_paths import SF001
 from wordloom.plans.catalog import QUERIES
 
@@ -65,3 +67,11 @@ def test_correlograms_tokenise_once(spark):
         # c2 reads the counts of its subquery, whose plan is printed apart
         assert plan.count("Generate explode(regexp_extract_all") <= 1, name
         assert "ReusedExchange" in plan, name
+
+
+def test_phi_branches_filter_the_counts_not_the_documents(spark):
+    for name in ("m2_cor_anchor_top", "c19_pairwise_cor"):
+        plan = _initial_plan(QUERIES[name](spark, SF001))
+        scans = set(re.findall(r"PushedFilters: \[[^\]]*\]", plan))
+        # scans with filters of their own would each tokenise the texts anew
+        assert scans == {"PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]"}, name
