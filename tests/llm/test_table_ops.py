@@ -1,9 +1,12 @@
 """Search, filters, dedup and join operators against brute force."""
 
+import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,33 @@ def test_line_dedup_tells_rows_with_one_id_apart(spark):
     assert sorted(r.n_removed for r in line_dedup.judged_documents(df).collect()) == [0, 0, 0, 0, 1, 1, 1]
 
 
+def test_line_sets_equal_plain_sets(monkeypatch):
+    rng = random.Random(5)
+    seps, words = [" ", "  ", "\t", "\x0b", "\r", "\n", "\n\n"], [f"w{k}" for k in range(30)] + ["\u00e9", "\u4e2d\u6587", "x" * 400, "\x1c", "\u00a0"]
+    texts = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randrange(80))) for _ in range(60)]
+    texts += [None, "", "\n", " \t", "a", "\na b\n\n c"]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "row": [0] * len(texts), "text": texts})
+    want = {}
+    for d, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if ws := frozenset(re.findall(r"[^\x20\x09-\x0D]+", line)):
+                want[d, k] = ws
+    classes = np.random.default_rng(1).integers(0, 9, line_dedup.CELLS).astype(np.uint8)
+    for block in (1 << 18, 300, 1):  # also texts cut between their lines
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        hashed = line_dedup.Words()
+        found = [line_dedup._sets(hashed, classes, p) for p in line_dedup._pieces([batch])]
+        rows = {(r["doc"], r["line"]): r for b in found if b is not None for r in b.to_pylist()}
+        assert rows.keys() == want.keys()
+        groups = defaultdict(set)
+        for at, ws in want.items():
+            r, n = rows[at], len(ws)
+            assert r["n"] == n and len(r["prefix"]) == (0 if n < 4 else n - -(-4 * n // 5) + 1)
+            assert r["prefix"] == sorted(set(r["prefix"]))
+            groups[r["f1"], r["f2"], tuple(r["prefix"]), r["w0"], r["w1"]].add(ws)
+        assert len(groups) == len(set(want.values())) and all(len(g) == 1 for g in groups.values())
+
+
 def test_line_dedup_empty_table(docs):
     assert line_dedup.judged_documents(docs.limit(0)).count() == 0
     assert line_dedup.dedup_documents(docs.limit(0)).columns == docs.columns

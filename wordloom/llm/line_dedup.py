@@ -10,17 +10,19 @@ aggregate; between different sets the join works on prefixes:
 * two sets that are similar share a word among the first
   ``n - ceil(0.8 n) + 1`` of each (prefix filter), their sizes differ by a
   fifth at most (length filter), the places of the shared word leave enough
-  words behind it (positional filter), and 64-bit outlines of the sets differ
+  words behind it (positional filter), and 128-bit outlines of the sets differ
   in few bits;
 * a semi join keeps the prefix rows that have any partner left; only their
-  lines are read again, a wider outline repeats the semi join, and pairs are
-  verified on the words.
+  lines are read again, and pairs are verified on the words.
 
 A group of many near copies is not paired off: each line is first verified
 against the earliest line of its buckets, twice, and only lines that match
 neither are compared with all earlier partners.
 
-Built-in functions only.  Defined results: words are separated by ASCII white
+Counting the words and making the sets is numpy on the bytes of the texts
+(a word's hash is a difference of prefix sums of a polynomial), in blocks of
+256 KB; the join and the verification are built-in functions.  The classes, one byte a cell,
+go to the tasks with the function.  Defined results: words are separated by ASCII white
 space, a line without a word is kept and matches nothing; a null or empty text
 has no line to remove; a null doc_id comes first; rows that share a doc_id are
 told apart by the 64-bit hash of their text, so only rows equal in both share
@@ -32,24 +34,34 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import quoted, stash, unused
+from .scratch import gathering, quoted, remove, stash, unused
 from .url_filter import MAX_BITS, Level
 
 CELLS = 1 << 20
-CHUNK = 1 << 10
+#: bytes of text that are hashed in one pass (a longer line makes a longer pass)
+BLOCK = 1 << 18
 #: a document is its id and the hash of its text
 DOC = ["doc", "row"]
 PLACE = [*DOC, "line"]
-ROW = [*PLACE, "n", "p", "bits"]
+ROW = [*PLACE, "n", "p"]
 #: the places of a pair
 X, Y = ["xd", "xr", "xl"], ["yd", "yr", "yl"]
-#: words of 64 bits in the wide outline of a line that has a possible partner
-WIDE = 4
+#: words of 64 bits in the outline of a line
+WIDE = 2
 WIDE_ROW = [f"w{i}" for i in range(WIDE)]
 
+SPACE = bytes(c == 0x20 or 0x09 <= c <= 0x0D for c in range(256))
+ODD = 0x9E3779B97F4A7C15
+#: a number of 64 bits for every byte
+BYTES = np.random.default_rng(3).integers(1, 1 << 64, 256, np.uint64)
+SETS = ("doc bigint, row bigint, line int, n int, f1 bigint, f2 bigint, prefix array<bigint>, "
+        + ", ".join(f"{w} bigint" for w in WIDE_ROW))
+
 
 def _doc(df: DataFrame, text_col: str, id_col: str) -> list[Column]:
     return [F.coalesce(df[f"`{id_col}`"].cast("long"), F.lit(-2**63)), F.xxhash64(df[f"`{text_col}`"])]
@@ -69,47 +81,159 @@ def _split(line: Column) -> Column:
     return F.split(line, " ")
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of the distinct words."""
-    hashes = F.array_distinct(F.transform(_split(line), lambda w: F.xxhash64(w)))
-    return F.array_remove(hashes, F.xxhash64(F.lit("")))
-
-
-def rarity_classes(lines: DataFrame) -> DataFrame:
-    """One row: for every hash cell the rounded logarithm of its words' count,
-    as an array of arrays."""
-    cell = F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")
-    counts = (lines.select(F.explode(_split(F.col("s"))).alias("w")).groupBy(cell)
-              .agg(F.count(F.lit(1)).alias("c")))
-    spark = lines.sparkSession
-    dense = (spark.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
-             .select("cell", F.floor(F.log2(F.coalesce("c", F.lit(1)))).cast("byte").alias("k")))
-    chunks = (dense.groupBy((F.col("cell") / CHUNK).cast("int").alias("chunk"))
-              .agg(F.sort_array(F.collect_list(F.struct("cell", "k"))).alias("a")))
-    return chunks.agg(F.sort_array(F.collect_list(F.struct("chunk", F.col("a.k").alias("k"))))
-                      .alias("a")).select(F.col("a.k").alias("classes"))
-
-
-def line_sets(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """Every line with a word: its place, the digest of its set, ``n`` distinct
-    words, its prefix (rarest words first) and its outline."""
-    # the table is named as a column for the lambda; the optimizer folds it into its only use
-    lines = (lines.where(F.col("s").rlike(r"[^\x20\x09-\x0D]"))
-             .withColumn("_classes", classes.select("classes").scalar()))
-
-    def key(h):
-        k = F.get(F.get(F.col("_classes"), F.shiftright(h, 10).bitwiseAND(F.lit(CHUNK - 1)).cast("int")),
-                  h.bitwiseAND(F.lit(CHUNK - 1)).cast("int"))
-        return F.shiftleft(k.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
-
-    keys = F.transform(_hashes(F.col("s")), key)
-    keyed = lines.select(*PLACE, F.sort_array(keys).alias("keys"))
-    keyed = keyed.withColumn("n", F.size("keys"))
-    need = (4 * F.col("n") + 4) / 5
-    return keyed.select(
-        *PLACE, "n", F.xxhash64("keys").alias("f1"), F.xxhash64(F.lit(7), "keys").alias("f2"),
-        F.slice("keys", F.lit(1), F.col("n") - F.floor(need).cast("int") + 1).alias("prefix"),
-        _outline("keys").alias("bits"))
+def _mixed(x: np.ndarray, by: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
+    return x ^ (x >> np.uint64(29))
+
+
+def _pieces(batches):
+    """Lists of (doc, row, first line, bytes) of about BLOCK bytes; a longer
+    text is cut between lines."""
+    held, size = [], 0
+    for batch in batches:
+        for doc, row, text in zip(*batch.columns):
+            if not text.is_valid:
+                continue
+            doc, row, text = doc.as_py(), row.as_py(), text.as_buffer().to_pybytes()
+            line, at = 0, 0
+            while len(text) - at > BLOCK:
+                cut = text.rfind(b"\n", at, at + BLOCK)
+                cut = cut if cut >= 0 else text.find(b"\n", at)
+                if cut < 0:
+                    break
+                yield [(doc, row, line, text[at:cut])]
+                line, at = line + text.count(b"\n", at, cut) + 1, cut + 1
+            held.append((doc, row, line, text[at:]))
+            size += len(text) - at + 64
+            if size >= BLOCK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+class Words:
+    """Hashes of the words of a list of texts, and where they stand."""
+
+    def __init__(self):
+        self.power, self.back = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            n = max(n, BLOCK * 2)
+            for name, by in (("power", ODD), ("back", pow(ODD, -1, 1 << 64))):
+                factors = np.full(n, by, np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors))
+
+    def of(self, texts: list[bytes]):
+        """The words' hashes, how many every line has, and the first line of every text."""
+        # a line break behind every text ends its last word
+        joined = b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(joined, np.uint8)
+        self._powers(len(raw))
+        space = np.frombuffer(joined.translate(SPACE), bool)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate(([0], edge))
+        start, end = edge[::2], edge[1::2]
+        # differences of prefix sums of a polynomial, moved to the origin
+        sums = BYTES.take(raw, mode="clip")
+        sums *= self.power[:len(raw)]
+        np.cumsum(sums, out=sums)
+        before = np.where(start > 0, sums[start - 1], np.uint64(0))
+        hashes = (sums[end - 1] - before) * self.back[start]
+        hashes = _mixed(hashes ^ (end - start).astype(np.uint64), 0xBF58476D1CE4E5B9)
+        breaks = np.flatnonzero(raw == 10)
+        first = np.cumsum([0, *map(len, texts[:-1])]) + np.arange(len(texts))
+        counts = np.diff(np.searchsorted(start, breaks), prepend=0)
+        return hashes, counts, np.searchsorted(breaks, first)
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
+
+
+def _texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    return df.select(*[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)],
+                     df[f"`{text_col}`"].cast("string").alias("text"))
+
+
+def rarity_classes(texts: DataFrame) -> np.ndarray:
+    """For each of the 2^20 hash cells the rounded logarithm of its words' count."""
+    def count(batches):
+        words, held, total = Words(), [], np.zeros(CELLS, np.int64)
+        for pieces in _pieces(batches):
+            held.append(_cells(words.of([p[3] for p in pieces])[0]))
+            if len(held) == 16:
+                total += np.bincount(np.concatenate(held), minlength=CELLS)
+                held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
+        found = np.flatnonzero(total)
+        for i in range(0, len(found), 1 << 16):
+            cell = found[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "c"])
+
+    counts = texts.mapInArrow(count, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
+    classes = np.zeros(CELLS, np.uint8)
+    # never more rows than cells
+    found = counts.select("cell", F.floor(F.log2("c")).cast("byte").alias("k")).toArrow()
+    classes[found["cell"].to_numpy()] = found["k"].to_numpy()
+    return classes
+
+
+def _sets(words: Words, classes: np.ndarray, pieces: list) -> pa.RecordBatch | None:
+    h, counts, first_line = words.of([p[3] for p in pieces])
+    if not len(h):
+        return None
+    filled = np.flatnonzero(counts)
+    text = np.searchsorted(first_line, filled, "right") - 1
+    line = filled - first_line[text]
+    of = np.repeat(np.arange(len(filled)), counts[filled])
+    # rarest first: one number for the line, the class and the upper bits of the hash
+    bits = np.uint64(max(1, int(len(text) - 1).bit_length()))
+    k = classes[_cells(h)].astype(np.uint64)
+    number = (of.astype(np.uint64) << (np.uint64(64) - bits)) | (((k << np.uint64(58)) | (h >> np.uint64(6))) >> bits)
+    order = np.argsort(number)
+    number, sorted_h = number[order], h[order]
+    same = number[1:] == number[:-1]
+    if (same & (sorted_h[1:] != sorted_h[:-1])).any():
+        order = np.lexsort((h, number[np.argsort(order)]))
+        sorted_h = h[order]
+        same &= sorted_h[1:] == sorted_h[:-1]
+    once = np.concatenate(([True], ~same))
+    h, of, k = sorted_h[once], of[order][once], k[order][once]
+    at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    n = np.diff(np.concatenate((at, [len(of)])))
+    digests = [np.add.reduceat(_mixed(h, by), at) for by in (0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+    bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(WIDE - 1)
+    outline = [np.bitwise_xor.reduceat(np.where(part == i, bit, np.uint64(0)), at) for i in range(WIDE)]
+    # below 4 words no other set can be similar
+    size = np.where(n < 4, 0, n - (4 * n + 4) // 5 + 1)
+    place = np.arange(len(of)) - at[of]
+    keys = ((k << np.uint64(57)) | (h >> np.uint64(7)))[place < size[of]]
+    doc, row, first = (np.array([p[i] for p in pieces], np.int64) for i in range(3))
+    prefix = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(keys.view(np.int64)))
+    longs = [pa.array(x.view(np.int64)) for x in (*digests, *outline)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc[text]), pa.array(row[text]), pa.array((first[text] + line).astype(np.int32)),
+         pa.array(n.astype(np.int32)), *longs[:2], prefix, *longs[2:]],
+        names=[*PLACE, "n", "f1", "f2", "prefix", *WIDE_ROW])
+
+
+def line_sets(texts: DataFrame, classes: np.ndarray) -> DataFrame:
+    """Every line with a word: its place, ``n`` distinct words, the digest of
+    their set, its prefix (rarest words first) and its outline: 128 bits, each
+    the parity of the words that fall on it, so that the bits that differ are at
+    most the words that differ."""
+    def find(batches):
+        words = Words()
+        for pieces in _pieces(batches):
+            if (found := _sets(words, classes, pieces)) is not None:
+                yield found
+
+    return texts.mapInArrow(find, SETS)
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -118,32 +242,13 @@ def _earlier(x: str, y: str) -> Column:
     return (b[0] < a[0]) | ((b[0] == a[0]) & ((b[1] < a[1]) | ((b[1] == a[1]) & (b[2] < a[2]))))
 
 
-def _outline(keys, part: int | None = None) -> Column:
-    """64 bits, each the parity of the words that fall on it (of one part of the
-    words): bits that differ are at most the words that differ."""
-    def fold(a, k):
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-        if part is not None:
-            mine = F.shiftright(k, 6).bitwiseAND(F.lit(WIDE - 1)) == part
-            bit = F.when(mine, bit).otherwise(F.lit(0).cast("long"))
-        return a.bitwiseXOR(bit)
-    return F.aggregate(keys, F.lit(0).cast("long"), fold)
-
-
-def _wide_possible() -> Column:
-    """The filters of ``_possible`` with the wide outlines."""
-    differ = sum((F.bit_count(F.col(f"x.w{i}").bitwiseXOR(F.col(f"y.w{i}"))) for i in range(WIDE)), F.lit(0))
-    return _possible("x", "y") & (9 * differ <= F.col("x.n") + F.col("y.n"))
-
-
-def _possible(x: str, y: str) -> Column:
+def _possible() -> Column:
     """Length, positional and outline filters of two prefix rows with one key."""
-    def c(side, name):
-        return F.col(f"{side}.{name}")
-    nx, ny, px, py = c(x, "n"), c(y, "n"), c(x, "p"), c(y, "p")
+    nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.p", "y.p"))
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WIDE_ROW), F.lit(0))
     return ((5 * nx >= 4 * ny) & (5 * ny >= 4 * nx)
             & (9 * (F.least(px, py) + F.least(nx - px, ny - py)) >= 4 * (nx + ny))
-            & (9 * F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= nx + ny))
+            & (9 * differ <= nx + ny))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,38 +264,40 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """Places of possible pairs, y before x, a pair for every shared key."""
     joined = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key"))
-                               & _earlier("x", "y") & _wide_possible())
+                               & _earlier("x", "y") & _possible())
     return joined.select(*[F.col(f"x.{c}").alias(k) for c, k in zip(PLACE, X)],
                          *[F.col(f"y.{c}").alias(k) for c, k in zip(PLACE, Y)],
                          (F.col("x.n") + F.col("y.n")).alias("n"))
 
 
+def _filter(keys: DataFrame, n_keys: int) -> Level | None:
+    """A Bloom filter of the keys, if one within ``MAX_BITS`` is of use."""
+    if not n_keys:
+        return None
+    rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_keys))
+    return Level(keys, n_keys, rate, 1) if rate <= 0.5 else None
+
+
 def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     """Places of first lines of a set that have an earlier similar line."""
-    # below 4 words no other set can be similar
-    rows = sets.where("n >= 4").select(*PLACE, "n", "bits", F.posexplode("prefix").alias("p", "key"))
-    rows = rows.select("key", *PLACE, "n", (F.col("p") + 1).alias("p"), "bits")
+    rows = sets.select("id", "n", *WIDE_ROW, F.posexplode("prefix").alias("p", "key"))
+    rows = rows.select("key", "id", "n", (F.col("p") + 1).alias("p"), *WIDE_ROW)
+    met = rows.alias("x").join(
+        rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & _possible(),
+        "left_semi")
+    rows = stash(met.join(sets.select("id", *PLACE), "id").select("key", *ROW, *WIDE_ROW), "line-rows")
     other = ((F.col("x.doc") != F.col("y.doc")) | (F.col("x.row") != F.col("y.row"))
              | (F.col("x.line") != F.col("y.line")))
-    rows = stash(rows.alias("x").join(
-        rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other & _possible("x", "y"),
-        "left_semi"), "line-rows")
     places = stash(rows.select(*PLACE).distinct(), "line-places")
     n_places = places.count()
     if not n_places:
         return places
-    # the texts of those lines; a Bloom filter spares the shuffle the other lines
-    rate = max(0.01, 2 ** (-MAX_BITS * math.log(2) / n_places))
+    # the texts of those lines; a Bloom filter, where it fits, spares the shuffle the other lines
     place = F.xxhash64(*PLACE)
-    level = Level(places.select(place.alias("key")), n_places, min(rate, 0.9), 1)
-    texts = lines.where(level.has(place)).join(places, PLACE)
-    hashed = texts.withColumn("_h", _hashes(F.col("s")))
-    outlines = [_outline("_h", i).alias(f"w{i}") for i in range(WIDE)]
-    texts = stash(hashed.select(*PLACE, "s", *outlines), "line-texts")
-    rows = rows.join(texts.drop("s"), PLACE)
-    rows = stash(rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & other
-                                      & _wide_possible(), "left_semi"), "line-rows")
-    texts = texts.drop(*WIDE_ROW)
+    if (wanted := _filter(places.select(place.alias("key")), n_places)) is not None:
+        lines = lines.where(wanted.has(place))
+    texts = stash(lines.join(places, PLACE).select(*PLACE, "s"), "line-texts")
+
     def lead_of(some):
         return some.groupBy("key").agg(F.min(F.struct(*ROW, *WIDE_ROW)).alias("r")).select("key", "r.*")
 
@@ -214,15 +321,29 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
 def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc`` (the document's id; a null as the smallest long), ``row`` (the
     hash of its text) and ``lines``, the sorted numbers (from 0) of its removed lines, where there are any."""
-    lines = _lines(df, text_col, id_col)
-    classes = stash(rarity_classes(lines), "rarity")
-    every = stash(line_sets(lines, classes), "line-sets")
+    texts = _texts(df, text_col, id_col)
     place = F.struct(*PLACE)
-    sets = every.groupBy("f1", "f2").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("r"))
-    similar = _similar_to_earlier(sets.select("r.*"), lines)
-    firsts = (every.groupBy("f1", "f2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
-              .where("c > 1").select("f1", "f2", "first"))
-    copies = every.join(firsts, ["f1", "f2"]).where(place != F.col("first")).select(*PLACE)
+    with gathering([]) as used:
+        every = stash(line_sets(texts, rarity_classes(texts)), "line-sets")
+        # digests that lines may share; all other lines need no shuffle to be told apart
+        shared = stash(every.groupBy("f1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                       .select(F.col("f1").alias("key")), "line-shared")
+        n_shared = shared.count()
+        again = _filter(shared, n_shared)
+    maybe = F.lit(n_shared > 0) if again is None else again.has(F.col("f1"))
+    alone, rest = every.where(~maybe), every.where(maybe)
+    others = ["n", "prefix", *WIDE_ROW]
+    firsts = rest.groupBy("f1", "f2").agg(F.min(place).alias("first"))
+    copies = stash(rest.select("f1", "f2", *PLACE).join(firsts, ["f1", "f2"]).where(place != F.col("first"))
+                   .select(*PLACE), "line-copies")
+    sets = (rest.where("n >= 4").groupBy("f1", "f2").agg(F.min(place).alias("first"), *[F.first(c).alias(c) for c in others])
+            .select("first.*", *others))
+    sets = sets.union(alone.where("n >= 4").select(*PLACE, *others))
+    # the number is written with its row, so it is the same for all readers
+    sets = stash(sets.withColumn("id", F.monotonically_increasing_id()), "line-firsts")
+    for path in used:
+        remove(df.sparkSession, path)
+    similar = _similar_to_earlier(sets, _lines(df, text_col, id_col))
     return (copies.union(similar.select(*PLACE)).groupBy(*DOC)
             .agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
@@ -230,8 +351,8 @@ def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 def judged_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, n_lines, n_removed, removed`` of every document."""
     removed = removed_lines(df, text_col, id_col)
-    n_lines = F.size(F.split(text_col, "\n"))
-    docs = df.select(F.col(id_col).alias("doc_id"), F.greatest(n_lines, F.lit(0)).alias("n_lines"),
+    n_lines = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(n_lines, F.lit(0)).alias("n_lines"),
                      *[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)])
     none = F.array().cast("array<int>")
     return docs.join(removed, DOC, "left").select(
