@@ -21,7 +21,7 @@ neither are compared with all earlier partners.
 
 Counting the words and making the sets is numpy on the bytes of the texts
 (a word's hash is a difference of prefix sums of a polynomial), in blocks of
-256 KB; the join and the verification are built-in functions.  The classes, one byte a cell,
+256 KB (a longer text is cut between its lines, a longer line is hashed whole); the join and the verification are built-in functions.  The classes, one byte a cell,
 go to the tasks with the function.  Defined results: words are separated by ASCII white
 space, a line without a word is kept and matches nothing; a null or empty text
 has no line to remove; a null doc_id comes first; rows that share a doc_id are
