@@ -91,3 +91,18 @@ def test_label_helpers(spark):
     assert (r.b, r.h, r.p) == (0.12, 0.13, "1.23%")
     none = spark.createDataFrame([(None,)], "s double").select(percent_label("s").alias("p")).collect()[0]
     assert none.p is None
+
+
+def test_text_profiles_equal_the_ranked_grams(spark):
+    rows = [(1, "Ein Haus, ein Baum"), (1, "ein Haus"), (2, "été à l’école \U00010348\U00010348x ￮"), (None, "x y_z"), (3, "  "),
+            (4, " ".join(f"w{k * k}" for k in range(300)))]
+    df = spark.createDataFrame(rows, "k int, text string")
+    counted = language.token_counts(df, ["k"])
+    for top in (5, 400):
+        want = language.ranked(language.char_grams(counted, ["k"]), ["k"], top, "r", with_size="_n")
+        out = language.text_profiles(counted, "k", top)
+        got = sorted(map(repr, out.select("k", "gram", "r", "_n").collect()))
+        assert got == sorted(map(repr, want.select("k", "gram", "r", "_n").collect())) and len(got) >= 20
+    # a row a text leaves the counts: no gram is shuffled or sorted
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.index("Generate posexplode") < plan.index("MapInArrow") < plan.index("Exchange")

@@ -827,7 +827,7 @@ def x4_language_id(spark, sf_dir):
     key = ["doc_id", "label"]
     counted = spread(language.token_counts(docs.withColumnRenamed("lang", "label"), key), *key)
     profiles = language.train_counted(counted, "label")
-    return language.classify(language.char_grams(counted, key), profiles, key).drop("label")
+    return language.classify(counted, profiles, key).drop("label")
 
 
 # ------------------------------------------------------------------ C1 / S1 / S13 / P1 / P3 / P6 / P10 / P11 / J1
