@@ -1,6 +1,7 @@
 """Count gates, global order, stored collections, inferred CSV, native p-values."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -130,3 +131,11 @@ def test_native_p_values(spark):
 def test_p_value_query_runs_without_python(spark):
     plan = QUERIES["a9_cor_test_pvalue"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "Arrow" not in plan
+
+
+def test_fourgrams_are_pruned_in_one_pass(spark):
+    df = QUERIES["f4_frequent_fourgrams"](spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # one bitmap for the gates of all pairs, so the texts are read for it and for the counts
+    assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 1
