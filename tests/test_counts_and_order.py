@@ -139,3 +139,12 @@ def test_fourgrams_are_pruned_in_one_pass(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     # one bitmap for the gates of all pairs, so the texts are read for it and for the counts
     assert len(set(re.findall(r"Subquery subquery#\d+", plan))) == 1
+
+
+def test_csv_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    df = spark.range(9001).selectExpr("id", "concat('a\n\"b\" ', id) AS text").repartition(1)
+    write_csv(df, f"{tmp_path}/t")
+    back = read_csv(spark, f"{tmp_path}/t")
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 5 and max(sizes) == 2000 and sum(sizes) == 9001
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))

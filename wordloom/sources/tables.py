@@ -37,9 +37,17 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.schema(schema).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """The layout that ``read_csv`` reads: header, quoted texts, doubled quotes."""
-    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+#: rows of a CSV file; a file with line ends inside texts is read by one task
+CSV_ROWS = 2000
+
+
+def write_csv(df: DataFrame, path: str, rows_per_file: int = CSV_ROWS) -> None:
+    """The layout that ``read_csv`` reads: header, quoted texts, doubled quotes.
+
+    A task starts a new file after ``rows_per_file`` rows, however much it
+    writes, since readers cannot split files with multi-line fields."""
+    (df.write.option("header", True).option("quoteAll", True).option("escape", '"')
+     .option("maxRecordsPerFile", rows_per_file).csv(path))
 
 
 def literal_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
