@@ -60,6 +60,27 @@ def test_substring_dedup_against_all_windows(texts, monkeypatch, size, hot, shar
     assert substring_dedup.dedup_documents(texts.limit(0), size).count() == 0
 
 
+def test_common_passage_makes_two_rows_a_piece_and_round(spark, monkeypatch):
+    """A passage in many surroundings is not written window by window."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in range(45)]
+    own = [[f"u{i}" for i in rng.integers(0, 10**6, 60)] for _ in range(60)]
+    rows = [(i, " ".join(w[:30] + passage + w[30:]), "s", "n", 1) for i, w in enumerate(own)]
+    written, stash = defaultdict(list), substring_dedup.stash
+
+    def counted(df, name):
+        out = stash(df, name)
+        written[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(substring_dedup, "stash", counted)
+    monkeypatch.setattr(substring_dedup, "HOT_PIECES", 8)
+    out = substring_dedup.dedup_documents(spark.createDataFrame(rows, SCHEMA), 35)
+    assert Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in out.collect()) == brute_windows(rows, 35)
+    hot = sum(written["sub-hot"])
+    assert hot >= 60 and max(n for name, c in written.items() if name not in ("sub-runs", "sub-some") for n in c) <= 2 * hot
+
+
 def test_automaton_counts_like_plain_search():
     rng = np.random.default_rng(1)
     lists = [(list(rng.integers(0, 3, int(rng.integers(1, 40)))), int(rng.integers(1, 4))) for _ in range(20)]

@@ -19,10 +19,12 @@ The reference is the corpus itself, so no shard can be sent to every document
   shard's automaton are counts over the corpus.  The task that builds it
   streams the shard's pieces through it; spans go back to all occurrences by
   an equi-join.  Shards have a bounded number of words;
-* an anchor with more than ``HOT_PIECES`` different pieces is keyed anew by
-  the hash of each whole window; windows seen once are dropped, the others
-  enter shards as pieces of their own.  So one anchor never fills a task, and
-  no occurrence is left out.
+* pieces of an anchor with more than ``HOT_PIECES`` different ones are halved by
+  the place of the anchor in their windows and keyed anew by the words that all
+  windows of a half contain.  Keys with one occurrence are dropped, and keys
+  that still have too many pieces are halved again, down to single windows.  So
+  one anchor never fills a task, a piece makes two rows a round (not one a
+  window), and no occurrence is left out.
 
 ``matched_spans`` is the same search against a second table of given texts.
 
@@ -52,7 +54,7 @@ from .scratch import quoted, stash, unused
 
 #: words of a gram that can be an anchor
 GRAM = 8
-#: an anchor with more different pieces is keyed by its windows
+#: the pieces of a key with more different ones are halved and keyed anew
 HOT_PIECES = 256
 #: words of a reference shard, on average
 SHARD_WORDS = 150_000
@@ -119,6 +121,15 @@ def span_hashes(ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return _mixed((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
+def gram_hashes(ids: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of every ``gram`` consecutive words."""
+    n = len(ids) - gram + 1
+    g = np.zeros(n, np.uint64)
+    for j in range(gram):
+        g += ids[j:j + n] * np.uint64(pow(int(ODD), j + 1, 1 << 64))
+    return _mixed(g)
+
+
 def runs(ids: np.ndarray, part: np.ndarray, window: int):
     """Runs of windows with one anchor: arrays of first word, word behind the
     last one, anchor.  ``part`` numbers the texts the words belong to."""
@@ -126,12 +137,8 @@ def runs(ids: np.ndarray, part: np.ndarray, window: int):
     none = np.zeros(0, np.int64)
     if len(ids) < window:
         return none, none, np.zeros(0, np.uint64)
-    n = len(ids) - gram + 1
-    g = np.zeros(n, np.uint64)
-    for j in range(gram):
-        g += ids[j:j + n] * np.uint64(pow(int(ODD), j + 1, 1 << 64))
-    g = _mixed(g)
-    best, width, want = np.arange(n), 1, window - gram + 1
+    g = gram_hashes(ids, gram)
+    best, width, want = np.arange(len(g)), 1, window - gram + 1
     while width < want:
         step = min(width, want - width)
         other = best[step:]
@@ -328,36 +335,68 @@ def _shards(words: int | None) -> int:
     return max(1, -(-(words or 0) // SHARD_WORDS))
 
 
-def _hot_spans(pieces: DataFrame, df: DataFrame, text_col: str, id_col: str, window: int) -> DataFrame:
-    """``key, piece, spans`` of pieces of hot anchors, keyed by their windows."""
-    pieces = stash(_words_of(pieces, df, text_col, id_col), "sub-hot")
-
-    def explode(batches):
-        hashes = Hashes()
-        for batch in batches:
-            key, piece, weight = (batch.column(i).to_pylist() for i in range(3))
-            for k, p, w, s in zip(key, piece, weight, batch.column(3)):
-                ids = hashes.of(s.as_py().encode().split())
-                at = np.arange(len(ids) - window + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [_long(span_hashes(ids, at, at + window)), pa.array(at.astype(np.int32)),
-                     pa.array([k] * len(at), pa.int64()), pa.array([p] * len(at), pa.int64()),
-                     pa.array([w] * len(at), pa.int64())], names=["win", "at", "key", "piece", "weight"])
-
-    windows = stash(pieces.mapInArrow(explode, "win bigint, at int, key bigint, piece bigint, weight bigint"),
-                    "sub-windows")
-    often = windows.groupBy("win").agg(F.sum("weight").alias("weight"),
-                                       F.min(F.struct("key", "piece", "at")).alias("one")).where("weight > 1")
-    often = stash(often, "sub-often")
-    chosen = (often.select("one.*", "win", "weight").groupBy("key", "piece")
-              .agg(F.collect_list(F.struct("at", "win", "weight")).alias("w")))
-    texts = (pieces.join(chosen, ["key", "piece"])
-             .select(F.split("words", " ").alias("s"), F.explode("w").alias("w"))
-             .select(F.col("w.win").alias("key"), F.lit(0).cast("long").alias("piece"), F.col("w.weight").alias("weight"),
-                     F.array_join(F.slice("s", F.col("w.at") + 1, F.lit(window)), " ").alias("words")))
-    found = _repeated(texts, _shards(window * often.count()), window).select(F.col("key").alias("win"))
-    return (windows.join(found, "win").groupBy("key", "piece")
-            .agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + window).alias("b"))).alias("spans")))
+PARTS = ("of_key bigint, of_piece bigint, at int, key bigint, piece bigint, weight bigint, words string, "
+         "lo int, hi int")
+
+
+def _halves(batches, window: int):
+    """For batches of ``key, piece, weight, words, lo, hi`` (the anchor lies ``lo``
+    to before ``hi`` words behind the start of each window) both halves of every
+    piece that have a window: its own words, where they start in the piece, and
+    the hash of the words that all windows of such a half contain as new key."""
+    hashes, gram = Hashes(), min(GRAM, window)
+    for batch in batches:
+        rows = []
+        for key, piece, weight, text, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+            words = text.encode().split()
+            ids, last = hashes.of(words), len(words) - window
+            anchor = int(np.argmin(gram_hashes(ids[:window], gram)))
+            half = (lo + hi) // 2
+            for lo_, hi_ in ((lo, half), (half, hi)):
+                start, stop = max(0, anchor - hi_ + 1), min(last, anchor - lo_) + window
+                if stop - start < window:
+                    continue
+                new, own = span_hashes(ids, np.array([anchor - lo_, start]), np.array([anchor - hi_ + 1 + window, stop]))
+                new = _mixed(new + np.uint64(lo_ * window + hi_))
+                rows.append((key, piece, start, int(new.view(np.int64)), int(own.view(np.int64)), weight,
+                             b" ".join(words[start:stop]).decode(), lo_, hi_))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), PART.types)], schema=PART)
+
+
+PART = pa.schema([("of_key", pa.int64()), ("of_piece", pa.int64()), ("at", pa.int32()), ("key", pa.int64()),
+                  ("piece", pa.int64()), ("weight", pa.int64()), ("words", pa.string()), ("lo", pa.int32()),
+                  ("hi", pa.int32())])
+
+
+def _hot_spans(pieces: DataFrame, window: int) -> DataFrame:
+    """``key, piece, spans`` of pieces (``key, piece, weight, words, lo, hi``) of
+    hot keys: they are halved and keyed anew."""
+    parts = stash(pieces.select("key", "piece", "weight", "words", "lo", "hi")
+                  .mapInArrow(lambda batches: _halves(batches, window), PARTS), "sub-parts")
+    halves = stash(parts.groupBy("key", "piece").agg(
+        F.sum("weight").alias("weight"), *[F.first(c).alias(c) for c in ("words", "lo", "hi")]), "sub-halves")
+    # windows under a key with one occurrence are seen once
+    keys = halves.groupBy("key").agg(F.sum("weight").alias("all"), F.count(F.lit(1)).alias("c")).where("all > 1")
+    keys = stash(keys.select("key", (F.col("c") > HOT_PIECES).alias("hot")), "sub-keys")
+    # the halves of a single window are equal
+    keyed = halves.join(keys, "key").withColumn("hot", F.col("hot") & (F.col("hi") - F.col("lo") > 1))
+    plain, hot = keyed.where("not hot"), keyed.where("hot")
+    size, n_hot = keyed.agg(F.sum(F.when(F.col("hot"), 0).otherwise(window + F.col("hi") - F.col("lo"))),
+                            F.count_if("hot")).first()
+    spans = _repeated(plain.select("key", "piece", "weight", "words"), _shards(size), window)
+    if n_hot:
+        spans = spans.union(_hot_spans(hot, window))
+    return _moved(parts.select("of_key", "of_piece", F.col("at").alias("start"), "key", "piece"),
+                  stash(spans, "sub-spans"), ["of_key", "of_piece"]).withColumnsRenamed({"of_key": "key", "of_piece": "piece"})
+
+
+def _moved(some: DataFrame, spans: DataFrame, owner: list[str]) -> DataFrame:
+    """The spans of the pieces that start at word ``start`` of an owner, gathered by owner."""
+    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"),
+                                                    (s["b"] + F.col("start")).alias("b")))
+    return (some.join(spans, ["key", "piece"]).select(*owner, moved.alias("spans"))
+            .groupBy(*owner).agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def repeated_spans(df: DataFrame, window: int = 35, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -376,12 +415,11 @@ def repeated_spans(df: DataFrame, window: int = 35, text_col: str = "text", id_c
     words = plain.agg(F.sum("at.n")).first()[0]
     spans = _repeated(cut, _shards(words), window)
     if not hot.isEmpty():
-        spans = spans.union(_hot_spans(pieces.join(hot, "key", "left_semi"), df, text_col, id_col, window))
-    spans = stash(spans, "sub-spans")
-    moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"),
-                                                    (s["b"] + F.col("start")).alias("b")))
-    return stash(some.join(spans, ["key", "piece"]).select(*DOC, moved.alias("spans"))
-                 .groupBy(*DOC).agg(F.flatten(F.collect_list("spans")).alias("spans")), "sub-found")
+        many = stash(_words_of(pieces.join(hot, "key", "left_semi"), df, text_col, id_col), "sub-hot")
+        # an anchor may start at any word of a window that leaves room for it
+        many = many.withColumns({"lo": F.lit(0), "hi": F.lit(window - min(GRAM, window) + 1)})
+        spans = spans.union(_hot_spans(many, window))
+    return stash(_moved(some, stash(spans, "sub-spans"), DOC), "sub-found")
 
 
 def dedup_documents(df: DataFrame, window: int = 35, text_col: str = "text", id_col: str = "doc_id",
