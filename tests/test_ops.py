@@ -1,12 +1,14 @@
 """Counting, top-k ties, shares, reshaping, tf-idf, correlation, phi."""
 
 import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from wordloom.operators import freq, reshape, stats
+from wordloom.operators import freq, pairwise, reshape, stats
 from wordloom.operators.pairwise import pairwise_cor, pairwise_cor_anchored
 
 
@@ -145,3 +147,39 @@ def test_pairwise_cor_drops_null_features(spark):
     anch = {(r.item1, r.item2): r.correlation for r in pairwise_cor_anchored(df, "word", "doc", ["a"]).collect()}
     assert set(anch) == {("a", "b"), ("a", "c")}
     assert all(math.isclose(v, ref[k], abs_tol=1e-9) for k, v in anch.items())
+
+
+def test_anchored_cor_counts_rare_items_and_features_without_frequent_ones(spark, monkeypatch):
+    """Lists and rows give the same as counting by hand: repeated features, no
+    feature, no item, items below the threshold, features without a tried item."""
+    rows = ([(i % 7, ["a", "b", "b", None]) for i in range(21)] + [(i, ["c", "rare"]) for i in range(7, 12)]
+            + [(20, ["d"] * 5 + ["b"]), (21, ["once"]), (22, []), (23, None), (None, ["a", "c", "d"]), (None, ["d", "e"] * 3)]
+            + [(30 + i, ["e"]) for i in range(2)])
+    least = 6
+    total = Counter(w for _, ws in rows for w in ws or [] if w)
+    held = defaultdict(set)
+    for f, ws in rows:
+        for w in ws or []:
+            if w and f is not None and total[w] >= least:
+                held[w].add(f)
+    n = len(set().union(*held.values()))
+    want = {}
+    for a in ("a", "e", "rare", "absent"):
+        for b in held:
+            if a in held and a != b:
+                x, y, both = len(held[a]), len(held[b]), len(held[a] & held[b])
+                want[a, b] = (n * both - x * y) / math.sqrt(x * (n - x) * y * (n - y))
+    monkeypatch.setattr(pairwise, "TRIED", 1)
+    lists = spark.createDataFrame(rows, "doc long, word array<string>")
+    for df in (lists, lists.select("doc", F.explode("word").alias("word"))):
+        out = pairwise.pairwise_cor_anchored(df.repartition(3), "word", "doc", ["a", "e", "rare", "absent"], least)
+        got = {(r.item1, r.item2): r.correlation for r in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_anchored_cor_shuffles_lists_not_presence_rows(spark):
+    """Beyond one row a feature only counts of items are shuffled: no row of an item and a feature."""
+    df = spark.createDataFrame([(i, [f"w{j}" for j in range(i % 5)]) for i in range(40)], "doc long, word array<string>")
+    plan = pairwise.pairwise_cor_anchored(df, "word", "doc", ["w1"])._jdf.queryExecution().executedPlan().toString()
+    dealt = set(re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\), ENSURE", plan))
+    assert dealt and not any("item" in d and "feature" in d for d in dealt)
