@@ -106,6 +106,40 @@ def test_line_sets_equal_plain_sets(monkeypatch):
         assert len(groups) == len(set(want.values())) and all(len(g) == 1 for g in groups.values())
 
 
+def test_line_dedup_runs_no_python(docs, monkeypatch):
+    plans, stash = [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name: (plans.append(df), stash(df, name))[1])
+    plans += [line_dedup.judged_documents(docs), line_dedup.dedup_documents(docs)]
+    assert len(plans) > 10
+    for df in plans:
+        assert not re.search("Arrow|Python|Pandas", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_native_line_sets_equal_plain_sets(spark):
+    rng = random.Random(5)
+    seps, words = [" ", "  ", "\t", "\x0b", "\x0c", "\r", "\n", "\n\n"], [f"w{k}" for k in range(30)] + ["\u00e9", "x" * 400, "\x1c", "\u00a0"]
+    texts = ["".join(rng.choice(words) + rng.choice(seps) for _ in range(rng.randrange(80))) for _ in range(60)]
+    texts += [None, "", "\n", " \t", "a", "\na b\n\n c", "a\tb c d\x0be"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(d, k): ws for d, t in enumerate(texts) for k, line in enumerate((t or "").split("\n"))
+            if (ws := frozenset(re.findall(r"[^\x20\x09-\x0D]+", line)))}
+    classes = line_dedup.rarity_classes(df, "text")
+    rows = {(r.doc, r.line): r for r in line_dedup.line_sets(line_dedup._lines(df, "text", "doc_id"), classes).collect()}
+    assert rows.keys() == want.keys()
+    groups = defaultdict(set)
+    for at, ws in want.items():
+        r, n = rows[at], len(ws)
+        assert r.n == n and r.prefix == sorted(set(r.prefix))
+        assert len(r.prefix) == (0 if n < 4 else n - -(-4 * n // 5) + 1)
+        groups[r.f1, r.f2, tuple(r.prefix), r.w0, r.w1].add(ws)
+    assert len(groups) == len(set(want.values())) and all(len(g) == 1 for g in groups.values())
+    for a, v in want.items():
+        for b, w in want.items():
+            x, y = rows[a], rows[b]
+            differ = sum(((i ^ j) & (1 << 64) - 1).bit_count() for i, j in ((x.w0, y.w0), (x.w1, y.w1)))
+            assert differ <= len(v ^ w)
+
+
 def test_line_dedup_empty_table(docs):
     assert line_dedup.judged_documents(docs.limit(0)).count() == 0
     assert line_dedup.dedup_documents(docs.limit(0)).columns == docs.columns

@@ -6,11 +6,11 @@ lines count as well) has a Jaccard similarity of at least 0.8.  Lines of the sam
 aggregate; between different sets the join works on prefixes:
 
 * words are ordered by rarity: classes of the logarithm of their count over
-  the whole corpus (counted in 2^20 hash cells), then by hash;
+  the whole corpus (counted in 2^18 hash cells), then by hash;
 * two sets that are similar share a word among the first
   ``n - ceil(0.8 n) + 1`` of each (prefix filter), their sizes differ by a
-  fifth at most (length filter), the places of the shared word leave enough
-  words behind it (positional filter), and 128-bit outlines of the sets differ
+  fifth at most (length filter), the places of the first shared word leave
+  enough words behind it (positional filter), and 128-bit outlines of the sets differ
   in few bits;
 * a semi join keeps the prefix rows that have any partner left; only their
   lines are read again, and pairs are verified on the words.
@@ -19,10 +19,9 @@ A group of many near copies is not paired off: each line is first verified
 against the earliest line of its buckets, twice, and only lines that match
 neither are compared with all earlier partners.
 
-Counting the words and making the sets is numpy on the bytes of the texts
-(a word's hash is a difference of prefix sums of a polynomial), in blocks of
-256 KB (a longer text is cut between its lines, a longer line is hashed whole); the join and the verification are built-in functions.  The classes, one byte a cell,
-go to the tasks with the function.  Defined results: words are separated by ASCII white
+Built-in functions only; the classes, a long a cell, are a scalar value of the
+plan.  ``Words``, ``_pieces`` and ``_sets`` are the numpy form of the sets used
+before; no query reads them, a test still holds them.  Defined results: words are separated by ASCII white
 space, a line without a word is kept and matches nothing; a null or empty text
 has no line to remove; a null doc_id comes first; rows that share a doc_id are
 told apart by the 64-bit hash of their text, so only rows equal in both share
@@ -42,7 +41,8 @@ from pyspark.sql import functions as F
 from .scratch import gathering, quoted, remove, stash, unused
 from .url_filter import MAX_BITS, Level
 
-CELLS = 1 << 20
+CELL_BITS = 18
+CELLS = 1 << CELL_BITS
 #: bytes of text that are hashed in one pass (a longer line makes a longer pass)
 BLOCK = 1 << 18
 #: a document is its id and the hash of its text
@@ -70,17 +70,28 @@ def _doc(df: DataFrame, text_col: str, id_col: str) -> list[Column]:
 def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     # hashed below the explode, once a text
     texts = df.select(*[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)],
-                      df[text_col].alias("text"))
+                      _spaced(df[f"`{text_col}`"].cast("string")).alias("text"))
     return texts.select(*DOC, F.posexplode(F.split("text", "\n")).alias("line", "s"))
 
 
-def _split(line: Column) -> Column:
-    """The words of a line, and an empty string for every further space."""
+def _spaced(text: Column) -> Column:
+    """The text with plain spaces for all others but line breaks."""
+    plain = text
     for c in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(c), F.lit(" "))
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), plain).otherwise(text)
+
+
+def _split(line: Column) -> Column:
+    """The words of a spaced line, and an empty string for every further space."""
     return F.split(line, " ")
 
 
+def _cell(h: Column) -> Column:
+    """The hash cell of a word."""
+    return F.shiftrightunsigned(h, 64 - CELL_BITS)
+
+
 def _mixed(x: np.ndarray, by: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(by)
     return x ^ (x >> np.uint64(29))
@@ -151,36 +162,19 @@ class Words:
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(44)).astype(np.int64)
-
-
-def _texts(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return df.select(*[c.alias(n) for c, n in zip(_doc(df, text_col, id_col), DOC)],
-                     df[f"`{text_col}`"].cast("string").alias("text"))
-
-
-def rarity_classes(texts: DataFrame) -> np.ndarray:
-    """For each of the 2^20 hash cells the rounded logarithm of its words' count."""
-    def count(batches):
-        words, held, total = Words(), [], np.zeros(CELLS, np.int64)
-        for pieces in _pieces(batches):
-            held.append(_cells(words.of([p[3] for p in pieces])[0]))
-            if len(held) == 16:
-                total += np.bincount(np.concatenate(held), minlength=CELLS)
-                held = []
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=CELLS)
-        found = np.flatnonzero(total)
-        for i in range(0, len(found), 1 << 16):
-            cell = found[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "c"])
-
-    counts = texts.mapInArrow(count, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c"))
-    classes = np.zeros(CELLS, np.uint8)
-    # never more rows than cells
-    found = counts.select("cell", F.floor(F.log2("c")).cast("byte").alias("k")).toArrow()
-    classes[found["cell"].to_numpy()] = found["k"].to_numpy()
-    return classes
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rarity_classes(df: DataFrame, text_col: str) -> DataFrame:
+    """One row: for every hash cell the rounded logarithm of its words' count, in
+    the upper seven bits of a long."""
+    text = F.replace(_spaced(df[f"`{text_col}`"].cast("string")), F.lit("\n"), F.lit(" "))
+    words = df.select(F.explode(_split(text)).alias("w"))
+    counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    dense = (df.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
+             .select("cell", F.floor(F.log2(F.coalesce("c", F.lit(1)))).cast("long").alias("k")))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("cell", F.shiftleft("k", 57).alias("k")))).alias("a")).select(
+        F.col("a.k").alias("classes"))
 
 
 def _sets(words: Words, classes: np.ndarray, pieces: list) -> pa.RecordBatch | None:
@@ -222,18 +216,37 @@ def _sets(words: Words, classes: np.ndarray, pieces: list) -> pa.RecordBatch | N
         names=[*PLACE, "n", "f1", "f2", "prefix", *WIDE_ROW])
 
 
-def line_sets(texts: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Every line with a word: its place, ``n`` distinct words, the digest of
-    their set, its prefix (rarest words first) and its outline: 128 bits, each
-    the parity of the words that fall on it, so that the bits that differ are at
-    most the words that differ."""
-    def find(batches):
-        words = Words()
-        for pieces in _pieces(batches):
-            if (found := _sets(words, classes, pieces)) is not None:
-                yield found
+def _outline(keys: str) -> list[Column]:
+    """128 bits, each the parity of the words that fall on it, so that the bits
+    that differ are at most the words that differ."""
+    def fold(bit):
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(
+            F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+    every, upper = F.lit(1).cast("long"), lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1))
+    return [fold(lambda k: every).alias("every"), fold(upper).alias("w1")]
 
-    return texts.mapInArrow(find, SETS)
+
+def line_sets(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every line with a word: its place, ``n`` distinct words, the digest of
+    their set, its prefix (rarest words first) and its outline."""
+    # the table is named as a column for the lambda; the optimizer folds it into its only use
+    lines = (lines.where(F.col("s").rlike("[^ ]"))
+             .withColumn("_classes", classes.select("classes").scalar()))
+    hashes = F.array_remove(F.array_distinct(F.transform(_split(F.col("s")), lambda w: F.xxhash64(w))),
+                            F.xxhash64(F.lit("")))
+
+    def key(h):
+        k = F.coalesce(F.get(F.col("_classes"), _cell(h).cast("int")), F.lit(0).cast("long"))
+        return k.bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    keyed = lines.select(*PLACE, F.sort_array(F.transform(hashes, key)).alias("keys"))
+    sets = keyed.select(*PLACE, F.size("keys").alias("n"), F.xxhash64("keys").alias("f1"),
+                        F.xxhash64(F.lit(7), "keys").alias("f2"), "keys", *_outline("keys"))
+    # below 4 words no other set can be similar
+    size = F.when(F.col("n") < 4, 0).otherwise(F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)"))
+    return sets.select(*PLACE, "n", "f1", "f2", F.slice("keys", F.lit(1), size).alias("prefix"),
+                       F.col("every").bitwiseXOR(F.col("w1")).alias("w0"), "w1")
 
 
 def _earlier(x: str, y: str) -> Column:
@@ -243,12 +256,13 @@ def _earlier(x: str, y: str) -> Column:
 
 
 def _possible() -> Column:
-    """Length, positional and outline filters of two prefix rows with one key."""
+    """Outline, length and positional filters of two prefix rows with one key; the
+    last holds at the first key that two similar sets share, so no pair is lost."""
     nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.p", "y.p"))
     differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WIDE_ROW), F.lit(0))
-    return ((5 * nx >= 4 * ny) & (5 * ny >= 4 * nx)
-            & (9 * (F.least(px, py) + F.least(nx - px, ny - py)) >= 4 * (nx + ny))
-            & (9 * differ <= nx + ny))
+    return ((9 * differ <= nx + ny)
+            & (9 * (F.least(nx - px, ny - py) + 1) >= 4 * (nx + ny))
+            & (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -321,10 +335,11 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
 def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc`` (the document's id; a null as the smallest long), ``row`` (the
     hash of its text) and ``lines``, the sorted numbers (from 0) of its removed lines, where there are any."""
-    texts = _texts(df, text_col, id_col)
+    lines = _lines(df, text_col, id_col)
     place = F.struct(*PLACE)
     with gathering([]) as used:
-        every = stash(line_sets(texts, rarity_classes(texts)), "line-sets")
+        classes = stash(rarity_classes(df, text_col), "line-classes")
+        every = stash(line_sets(lines, classes), "line-sets")
         # digests that lines may share; all other lines need no shuffle to be told apart
         shared = stash(every.groupBy("f1").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
                        .select(F.col("f1").alias("key")), "line-shared")
@@ -343,7 +358,7 @@ def removed_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     sets = stash(sets.withColumn("id", F.monotonically_increasing_id()), "line-firsts")
     for path in used:
         remove(df.sparkSession, path)
-    similar = _similar_to_earlier(sets, _lines(df, text_col, id_col))
+    similar = _similar_to_earlier(sets, lines)
     return (copies.union(similar.select(*PLACE)).groupBy(*DOC)
             .agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
