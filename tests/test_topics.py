@@ -140,3 +140,19 @@ def test_log_ratio_equals_sql_on_the_written_betas(spark, tmp_path):
     got = {r.term: (r.topic1, r.topic2, r.log_ratio) for r in topics.topic_log_ratio(spark.read.parquet(path)).collect()}
     assert got.keys() == want.keys() and len(got) > 100
     assert all(g[:2] == want[t][:2] and math.isclose(g[2], want[t][2], rel_tol=1e-12, abs_tol=1e-12) for t, g in got.items())
+
+
+def test_iterations_send_weights_to_places_only(spark):
+    # two blocks share a term: a term's row of places is opened behind the join, without its id
+    counts = spark.createDataFrame([(0, 1, 11, 2), (0, 1, 12, 1), (1, 2, 12, 3), (1, 3, 13, 1)],
+                                   "block long, doc long, id long, n int")
+    blocks = counts.groupBy("block").applyInArrow(
+        topics._pack, "block bigint, ids array<bigint>, idx binary, n binary, ptr binary").cache()
+    rows = spark.createDataFrame([(0, 0, 1.0, 2.0), (0, 1, 2.0, 1.0), (1, 0, 2.0, 1.0), (1, 1, 1.0, 1.0)],
+                                 "of long, local int, s0 double, s1 double")
+    got = topics._expected(blocks, rows, ["s0", "s1"], [4.0, 4.0], 0.5).collect()
+    by_id = {}
+    for r in got:
+        by_id[r.id] = by_id.get(r.id, 0) + r.s0 + r.s1
+    assert {i: round(v, 9) for i, v in by_id.items()} == {11: 2, 12: 4, 13: 1, None: 7}
+    assert sum(r.docs for r in got) == 3
