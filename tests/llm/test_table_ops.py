@@ -140,6 +140,27 @@ def test_native_line_sets_equal_plain_sets(spark):
             assert differ <= len(v ^ w)
 
 
+def test_line_dedup_splits_no_text_in_vain(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for k in range(40):  # sets of words on both sides of LONG, and their near copies
+        words = [f"k{k}w{i}" for i in range(line_dedup.LONG + rng.randrange(-12, 30))]
+        rows.append((3 * k, " ".join(words) + "\nx y z\n"))
+        rows.append((3 * k + 1, " ".join(rng.sample(words, len(words) - rng.randrange(26)))))
+        rows.append((3 * k + 2, "\t".join(words[rng.randrange(20):] + [f"n{i}" for i in range(rng.randrange(8))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, stash = {}, line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name: (plans.setdefault(name, df), stash(df, name))[1])
+    cut = brute_lines(rows)
+    assert 60 < sum(map(len, cut.values())) < 120
+    for r in line_dedup.judged_documents(df).collect():
+        assert r.removed == cut[r.doc_id]
+    plans = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in plans.items()}
+    # texts are not searched by patterns, and only documents with a line to verify are split
+    assert not any("RLIKE" in p.upper() for p in plans.values())
+    assert "scalar-subquery" in plans["line-texts"].partition("Generate ")[2]
+
+
 def test_line_dedup_empty_table(docs):
     assert line_dedup.judged_documents(docs.limit(0)).count() == 0
     assert line_dedup.dedup_documents(docs.limit(0)).columns == docs.columns

@@ -54,6 +54,8 @@ X, Y = ["xd", "xr", "xl"], ["yd", "yr", "yl"]
 #: words of 64 bits in the outline of a line
 WIDE = 2
 WIDE_ROW = [f"w{i}" for i in range(WIDE)]
+#: words of a set from which its outline takes 128 bits, else 64
+LONG = 96
 
 SPACE = bytes(c == 0x20 or 0x09 <= c <= 0x0D for c in range(256))
 ODD = 0x9E3779B97F4A7C15
@@ -76,10 +78,10 @@ def _lines(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
 def _spaced(text: Column) -> Column:
     """The text with plain spaces for all others but line breaks."""
-    plain = text
+    plain, odd = text, F.lit(False)
     for c in "\t\x0b\x0c\r":
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), plain).otherwise(text)
+        plain, odd = F.replace(plain, F.lit(c), F.lit(" ")), odd | F.contains(text, F.lit(c))
+    return F.when(odd, plain).otherwise(text)
 
 
 def _split(line: Column) -> Column:
@@ -87,6 +89,12 @@ def _split(line: Column) -> Column:
     return F.split(line, " ")
 
 
+def _words(line: Column) -> Column:
+    """The words of a spaced line."""
+    gaps = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(gaps, F.array_remove(_split(line), "")).otherwise(_split(line))
+
+
 def _cell(h: Column) -> Column:
     """The hash cell of a word."""
     return F.shiftrightunsigned(h, 64 - CELL_BITS)
@@ -166,14 +174,15 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def rarity_classes(df: DataFrame, text_col: str) -> DataFrame:
-    """One row: for every hash cell the rounded logarithm of its words' count, in
-    the upper seven bits of a long."""
+    """One row: for every hash cell the bits that turn the upper seven of its
+    hashes into the rounded logarithm of its words' count."""
     text = F.replace(_spaced(df[f"`{text_col}`"].cast("string")), F.lit("\n"), F.lit(" "))
     words = df.select(F.explode(_split(text)).alias("w"))
     counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).agg(F.count(F.lit(1)).alias("c"))
     dense = (df.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
              .select("cell", F.floor(F.log2(F.coalesce("c", F.lit(1)))).cast("long").alias("k")))
-    return dense.agg(F.sort_array(F.collect_list(F.struct("cell", F.shiftleft("k", 57).alias("k")))).alias("a")).select(
+    k = F.shiftleft(F.col("k").bitwiseXOR(F.shiftright("cell", CELL_BITS - 7)), 57)
+    return dense.agg(F.sort_array(F.collect_list(F.struct("cell", k.alias("k")))).alias("a")).select(
         F.col("a.k").alias("classes"))
 
 
@@ -217,31 +226,30 @@ def _sets(words: Words, classes: np.ndarray, pieces: list) -> pa.RecordBatch | N
 
 
 def _outline(keys: str) -> list[Column]:
-    """128 bits, each the parity of the words that fall on it, so that the bits
-    that differ are at most the words that differ."""
+    """64 bits, each the parity of the words that fall on it, so that the bits
+    that differ are at most the words that differ, and those of half the words;
+    only long sets need both."""
     def fold(bit):
         return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(
             F.call_function("shiftleft", bit(k), k.bitwiseAND(F.lit(63)).cast("int"))))
 
     every, upper = F.lit(1).cast("long"), lambda k: F.shiftright(k, 6).bitwiseAND(F.lit(1))
-    return [fold(lambda k: every).alias("every"), fold(upper).alias("w1")]
+    half = F.when(F.col("n") < LONG, F.lit(0).cast("long")).otherwise(fold(upper))
+    return [fold(lambda k: every).alias("every"), half.alias("w1")]
 
 
 def line_sets(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """Every line with a word: its place, ``n`` distinct words, the digest of
     their set, its prefix (rarest words first) and its outline."""
     # the table is named as a column for the lambda; the optimizer folds it into its only use
-    lines = (lines.where(F.col("s").rlike("[^ ]"))
+    lines = (lines.where(F.trim("s") != "")
              .withColumn("_classes", classes.select("classes").scalar()))
-    hashes = F.array_remove(F.array_distinct(F.transform(_split(F.col("s")), lambda w: F.xxhash64(w))),
-                            F.xxhash64(F.lit("")))
-
-    def key(h):
-        k = F.coalesce(F.get(F.col("_classes"), _cell(h).cast("int")), F.lit(0).cast("long"))
-        return k.bitwiseOR(F.shiftrightunsigned(h, 7))
-
-    keyed = lines.select(*PLACE, F.sort_array(F.transform(hashes, key)).alias("keys"))
-    sets = keyed.select(*PLACE, F.size("keys").alias("n"), F.xxhash64("keys").alias("f1"),
+    # lambdas are interpreted, node by node, so they do as little as they can
+    hashes = F.transform(_words(F.col("s")), lambda w: F.xxhash64(w))
+    keys = F.transform(hashes, lambda h: h.bitwiseXOR(F.col("_classes")[_cell(h)]))
+    keyed = lines.select(*PLACE, F.sort_array(F.array_distinct(keys)).alias("keys"))
+    sized = keyed.select(*PLACE, F.size("keys").alias("n"), "keys")
+    sets = sized.select(*PLACE, "n", F.xxhash64("keys").alias("f1"),
                         F.xxhash64(F.lit(7), "keys").alias("f2"), "keys", *_outline("keys"))
     # below 4 words no other set can be similar
     size = F.when(F.col("n") < 4, 0).otherwise(F.expr("cast(n - (4 * n + 4) div 5 + 1 as int)"))
@@ -259,10 +267,12 @@ def _possible() -> Column:
     """Outline, length and positional filters of two prefix rows with one key; the
     last holds at the first key that two similar sets share, so no pair is lost."""
     nx, ny, px, py = (F.col(c) for c in ("x.n", "y.n", "x.p", "y.p"))
-    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in WIDE_ROW), F.lit(0))
-    return ((9 * differ <= nx + ny)
+    w0, w1 = (F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}")) for w in WIDE_ROW)
+    # the bits of all words first; two long sets have more to tell them apart
+    return ((9 * F.bit_count(w0.bitwiseXOR(w1)) <= nx + ny)
+            & (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx)
             & (9 * (F.least(nx - px, ny - py) + 1) >= 4 * (nx + ny))
-            & (5 * nx >= 4 * ny) & (5 * ny >= 4 * nx))
+            & ((nx < LONG) | (ny < LONG) | (9 * (F.bit_count(w0) + F.bit_count(w1)) <= nx + ny)))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -306,10 +316,11 @@ def _similar_to_earlier(sets: DataFrame, lines: DataFrame) -> DataFrame:
     n_places = places.count()
     if not n_places:
         return places
-    # the texts of those lines; a Bloom filter, where it fits, spares the shuffle the other lines
-    place = F.xxhash64(*PLACE)
-    if (wanted := _filter(places.select(place.alias("key")), n_places)) is not None:
-        lines = lines.where(wanted.has(place))
+    # the texts of those lines; Bloom filters, where they fit, spare the other
+    # documents their split and the other lines their shuffle
+    for key in F.xxhash64(*DOC), F.xxhash64(*PLACE):
+        if (wanted := _filter(places.select(key.alias("key")), n_places)) is not None:
+            lines = lines.where(wanted.has(key))
     texts = stash(lines.join(places, PLACE).select(*PLACE, "s"), "line-texts")
 
     def lead_of(some):
