@@ -10,8 +10,8 @@ aggregate; between different sets the join works on prefixes:
 * two sets that are similar share a word among the first
   ``n - ceil(0.8 n) + 1`` of each (prefix filter), their sizes differ by a
   fifth at most (length filter), the places of the first shared word leave
-  enough words behind it (positional filter), and 128-bit outlines of the sets differ
-  in few bits;
+  enough words behind it (positional filter), and outlines of the sets (64 bits, 128 of
+  long ones) differ in few bits;
 * a semi join keeps the prefix rows that have any partner left; only their
   lines are read again, and pairs are verified on the words.
 
